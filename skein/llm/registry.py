@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import entropy_mix, language_id, line_edit_join, quality_rules, secret_crf, sentencepiece_codec, uniform_threshold
+from . import entropy_mix, jaccard_join, language_id, line_edit_join, quality_rules, secret_crf, sentencepiece_codec, uniform_threshold
 
-_MODULES = [sentencepiece_codec, language_id, uniform_threshold, line_edit_join, entropy_mix, secret_crf, quality_rules]
+_MODULES = [sentencepiece_codec, language_id, uniform_threshold, line_edit_join, jaccard_join, entropy_mix, secret_crf, quality_rules]
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
