@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 
@@ -135,10 +136,13 @@ def train_network(labelled: DataFrame, per_language: int = PER_LANGUAGE, windows
     return net
 
 
-def predict_languages(docs: DataFrame, net: ByteNet | None, id_col: str = "doc_id", text_col: str = "text", min_score: float = 0.0) -> DataFrame:
-    """id, lang_pred, score. Null texts and texts without a letter are `und` with score 0, as all are without a network."""
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = slim.schema["id"].dataType.simpleString()
+def predict_languages(docs: DataFrame, net: ByteNet | None, text_col: str = "text") -> DataFrame:
+    """The rows of docs with lang_pred and score (columns of these names are replaced).
+
+    Null texts and texts without a letter are `und` with score 0, as all are without a network.
+    """
+    docs = docs.drop("lang_pred", "score")
+    at_text = docs.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(net)  # a few tables of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +150,7 @@ def predict_languages(docs: DataFrame, net: ByteNet | None, id_col: str = "doc_i
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                texts = part.column(1).to_pylist()
+                texts = part.column(at_text).to_pylist()
                 names, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
                 if model:
                     rows = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
@@ -155,9 +159,9 @@ def predict_languages(docs: DataFrame, net: ByteNet | None, id_col: str = "doc_i
                         total = share @ model.log_probabilities(x) / share.sum()
                         p = _softmax(total[None])[0]
                         names[i], scores[i] = model.languages[int(p.argmax())], float(p.max())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["id", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*part.schema.names, "lang_pred", "score"])
 
-    return slim.mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def held_out_rows(id_col: str = "doc_id"):
@@ -167,7 +171,7 @@ def held_out_rows(id_col: str = "doc_id"):
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     net = train_network(docs.filter(~held_out_rows() & F.col("lang").isNotNull()).select(F.col("doc_id").alias("id"), "text", "lang"))
-    out = predict_languages(docs, net)
+    out = predict_languages(docs.select("doc_id", "text"), net)
     return out.select("doc_id", held_out_rows().alias("held_out"), "lang_pred", "score")
 
 
