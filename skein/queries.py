@@ -204,7 +204,7 @@ log_lines("log_unpack", f"{_ALL} | unpack", "SELECT event_type, CAST(user_id AS
 log_metric("log_count_over_time", f"sum by (event_type) (count_over_time({_ALL}[1d]))", "SELECT event_type, step, count(*) AS v FROM w GROUP BY event_type, step")
 log_metric("log_rate", f"sum by (team) (rate({_ALL}[1d]))", "SELECT team, step, count(*) / 86400.0 AS v FROM w GROUP BY team, step", ("team",))
 log_metric("log_bytes_over_time", f"sum by (event_type) (bytes_over_time({_ALL}[1d]))", "SELECT event_type, step, sum(strlen(line)) AS v FROM w GROUP BY event_type, step")
-log_metric("log_bytes_rate", f"sum by (event_type) (bytes_rate({_ALL}[1d]))", "SELECT event_type, step, sum(strlen(line)) / 86400.0 AS v FROM w GROUP BY event_type, step")
+log_metric("log_bytes_rate", f"sum by (event_type) (bytes_rate({_ALL}[1d]))", "SELECT event_type, step, sum(strlen(line)) / 86400.0 AS v FROM w GROUP BY event_type, step", digits=9)
 log_metric("log_volume_by_level", f"sum by (level) (count_over_time({_ALL} | logfmt [1d]))", "SELECT level, step, count(*) AS v FROM w GROUP BY level, step", ("level",))
 log_metric("log_parsed_filter", f"sum by (level) (count_over_time({_ALL} | logfmt | took >= 100ms [1d]))", "SELECT level, step, count(*) AS v FROM w WHERE event_id % 500 >= 100 GROUP BY level, step", ("level",))
 for _f, _x in {"sum": "sum(v0)", "avg": "avg(v0)", "min": "min(v0)", "max": "max(v0)", "stddev": "stddev_pop(v0)", "stdvar": "var_pop(v0)", "first": "arg_min(v0, ts)", "last": "arg_max(v0, ts)"}.items():
