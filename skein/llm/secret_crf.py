@@ -301,7 +301,7 @@ def _random_token(rng: np.random.Generator) -> str:
 
 
 def _other_secret(line: tuple, rng: np.random.Generator) -> tuple:
-    """The line with another secret in the place of each, another keyword before it and another sign between."""
+    """The line with another secret in the place of each, another keyword before it, another sign between, and often without quotes."""
     tokens, tags, files = list(line[0]), list(line[1]), line[2]
     for i, tag in enumerate(tags):
         if tag == B:
@@ -311,6 +311,9 @@ def _other_secret(line: tuple, rng: np.random.Generator) -> tuple:
                     tokens[j] = KEYWORDS[int(rng.integers(len(KEYWORDS)))]
                 elif tokens[j] in ("=", ":"):
                     tokens[j] = ("=", ":", "is", "=")[int(rng.integers(4))]
+    if rng.random() < 0.6:
+        kept = [i for i, t in enumerate(tokens) if t not in ("'", '"')]
+        tokens, tags = [tokens[i] for i in kept], [tags[i] for i in kept]
     return tokens, tags, files
 
 
@@ -338,9 +341,11 @@ def train_field(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_lines: int
             (hits if hit else rest).append((tokens, tags, features))
     rng = np.random.default_rng(3)
     take = lambda a, n: [a[i] for i in sorted(rng.permutation(len(a))[:n])]
-    hits, rest = hits + [_other_secret(x, rng) for x in take(hits, train_lines // 2) for _ in range(6)], rest + [_no_secret(x, rng) for x in take(rest, train_lines // 4)]
+    hits, rest = take(hits, train_lines // 4), take(rest, train_lines // 4)
+    # As many lines again, with other secrets in the place of the labelled ones, and with harmless mixed tokens.
+    more = [_other_secret(hits[i], rng) for i in rng.integers(0, len(hits), train_lines // 4)] if hits else []
     field = SecretField()
-    field.fit(take(hits, train_lines // 2) + take(rest, train_lines // 2))
+    field.fit(hits + more + rest + [_no_secret(x, rng) for x in rest])
     return field
 
 
