@@ -192,9 +192,10 @@ class LogPlanner(MetricPlanner):
 
     def _added(self, rows: DataFrame, found: Column) -> DataFrame:
         """Adds a parser's map: a name of the stream gets a suffix, and what an earlier parser gave stays."""
-        rows = rows.withColumn("found", F.transform_keys(F.coalesce(found, no_labels()), lambda k, v: F.when(F.map_contains_key(F.col("stream"), k), F.concat(k, F.lit("_extracted"))).otherwise(k)))
-        new = F.map_filter("found", lambda k, v: ~F.map_contains_key(F.col("bag"), k))
-        return rows.withColumn("bag", F.map_concat("bag", new)).drop("found")
+        rows = _once(rows, "found", F.coalesce(found, no_labels()))
+        renamed = F.transform_keys("found", lambda k, v: F.when(F.map_contains_key(F.col("stream"), k), F.concat(k, F.lit("_extracted"))).otherwise(k))
+        new = F.map_filter(renamed, lambda k, v: ~F.map_contains_key(F.col("bag"), k))
+        return _once(rows, "bag", F.map_concat("bag", new)).drop("found")
 
     def _json(self, rows: DataFrame, fields: tuple = (), flags: tuple = ()) -> DataFrame:
         if fields:
@@ -384,6 +385,11 @@ class LogPlanner(MetricPlanner):
         return out.withColumn("value", F.when(F.abs("value") == float("inf"), ieee.nan()).otherwise(F.col("value")))
 
 
+def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """A column that is computed once a row: the optimizer copies what a projection computes into each later use, but never through a generator."""
+    return rows.select(*[c for c in rows.columns if c != name], F.explode(F.array(value)).alias(name))
+
+
 def json_path(path: str) -> str:
     """`a.b[0]["c"]` as a JSON path."""
     return "$" + "".join(f"['{m[1] or m[3]}']" if (m[1] or m[3]) else f"[{m[2]}]" for m in re.finditer(r'\.?([A-Za-z_][\w-]*)|\[(\d+)\]|\["([^"]*)"\]', path))
