@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +30,14 @@ from .shingles import Shingler, set_key
 PACK, BLOCK_ROWS, BLOCK_ENTRIES, COLUMNS = 2_000_000, 128, 150_000, 4096
 
 
+def _squeeze(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
+
+
+def _numbers(x: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
+
+
 def linked(overlap, n1, n2):
     """100 * intersection >= 80 * union, by the overlap and the sizes."""
     return 9 * overlap >= 4 * (n1 + n2)
@@ -63,9 +72,8 @@ def shared_columns(docs: DataFrame, buckets: int) -> DataFrame:
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             h, row = h[order], row[order]
-            names = pa.array([keys.tobytes()] * buckets, pa.binary()), pa.array([sizes.tobytes()] * buckets, pa.binary())
-            short = np.uint16 if len(keys) < 65536 else np.uint32
-            out = [pa.array(np.arange(buckets, dtype=np.int32)), *names, pa.array([h[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()), pa.array([row[a:b].astype(short).tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())]
+            names = pa.array([keys.tobytes()] * buckets, pa.binary()), pa.array([_squeeze(sizes)] * buckets, pa.binary())
+            out = [pa.array(np.arange(buckets, dtype=np.int32)), *names, pa.array([h[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()), pa.array([_squeeze(row[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())]
             return pa.RecordBatch.from_arrays(out, ["bucket", "keys", "sizes", "h", "row"])
 
         for batch in batches:
@@ -85,9 +93,9 @@ def shared_columns(docs: DataFrame, buckets: int) -> DataFrame:
         for batch in packs:
             for i in range(batch.num_rows):
                 k = np.frombuffer(batch.column(1)[i].as_py(), np.int64)
-                n = np.frombuffer(batch.column(2)[i].as_py(), np.int64)
+                n = _numbers(batch.column(2)[i].as_py(), np.int64)
                 h = np.frombuffer(batch.column(3)[i].as_py(), np.uint64)
-                row = np.frombuffer(batch.column(4)[i].as_py(), np.uint16 if len(k) < 65536 else np.uint32)
+                row = _numbers(batch.column(4)[i].as_py(), np.uint32)
                 hs.append(h), keys.append(k[row]), sizes.append(n[row].astype(np.int32))
         h, k, n = np.concatenate(hs), np.concatenate(keys), np.concatenate(sizes)
         hs, keys, sizes = [], [], []
@@ -229,7 +237,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     sets = cut(document_sets(docs))
     chars = docs.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    buckets = parts_for(spark, chars / 1e6 * 2, 16)
+    buckets = parts_for(spark, chars / 1e6, 14)
     rows = candidate_rows(shared_columns(docs, buckets))
     blocks = cut(row_blocks(rows, parts_for(spark, 0)))
     roots = connected_components(block_links(blocks))

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from hashlib import blake2b
-from itertools import islice
 
 import numpy as np
-import xxhash
 
 WIDTH = 5
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -25,35 +22,43 @@ def ascii_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+_BASE = 0xC2B2AE3D27D4EB4F  # odd, so that its powers have inverses
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, 9, 10, 11, 12, 13]] = True
+
+
 class Shingler:
-    """Distinct shingle hashes of texts; remembers the hashes of recent words."""
-
-    def __init__(self, width: int = WIDTH, remember: int = 500_000):
-        self.width, self.remember = width, remember
-        self._clear()
-
-    def _clear(self) -> None:
-        self.ids: defaultdict[bytes, int] = defaultdict()
-        self.ids.default_factory = self.ids.__len__
-        self.hashes = np.zeros(0, np.uint64)
-
-    def word_hashes(self, words: list[bytes]) -> np.ndarray:
-        if len(self.ids) > self.remember:
-            self._clear()
-        known = len(self.hashes)
-        at = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
-        if len(self.ids) > known:
-            new = [xxhash.xxh64_intdigest(w) for w in islice(reversed(self.ids), len(self.ids) - known)][::-1]
-            self.hashes = np.concatenate([self.hashes, np.array(new, np.uint64)])
-        return self.hashes[at]
+    """Distinct shingle hashes of texts. Words are hashed all at once, by differences of one running polynomial over the bytes."""
+
+    def __init__(self, width: int = WIDTH):
+        self.width = width
+        self._powers(1 << 16)
+
+    def _powers(self, n: int) -> None:
+        one = np.ones(1, np.uint64)
+        with np.errstate(over="ignore"):
+            self.up = np.concatenate([one, np.cumprod(np.full(n, _BASE, np.uint64))])
+            self.down = np.concatenate([one, np.cumprod(np.full(n, pow(_BASE, -1, 1 << 64), np.uint64))])
+
+    def word_hashes(self, raw: bytes) -> np.ndarray:
+        """Hashes of the words of a text, A-Z lower-cased."""
+        a = np.frombuffer(raw.lower(), np.uint8)
+        if len(a) >= len(self.up):
+            self._powers(2 * len(a))
+        space = np.ones(len(a) + 2, np.int8)
+        space[1:-1] = _SPACE[a]
+        edge = np.diff(space)
+        start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        run = np.zeros(len(a) + 1, np.uint64)
+        np.cumsum((a.astype(np.uint64) + np.uint64(1)) * self.up[: len(a)], out=run[1:])
+        return mixed((run[end] - run[start]) * self.down[start] + (end - start).astype(np.uint64))
 
     def shingles(self, text: str | None) -> np.ndarray:
         """Sorted distinct hashes; a text with fewer words than the width has its whole sequence as one, one without words none."""
-        words = ascii_words(text)
-        n = len(words)
+        h = self.word_hashes(text.encode("utf-8", "surrogatepass")) if text else np.zeros(0, np.uint64)
+        n = len(h)
         if not n:
-            return np.zeros(0, np.uint64)
-        h = self.word_hashes(words)
+            return h
         width = min(n, self.width)
         out = np.full(n - width + 1, np.uint64(width if n < self.width else 0), np.uint64)
         for k in range(width):
