@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import cut, parts_for, shared_dir, table
 from .shingles import mixed
 
-K, CUTOFF, PACK_TOKENS = 5, 2, 1_200_000
+K, CUTOFF, PACK_TOKENS = 5, 2, 800_000
 BEGIN = -1  # context of the first token; no token itself
 END = b""  # the word of the end token: no word is empty
 
