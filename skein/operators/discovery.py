@@ -103,6 +103,22 @@ def span_tag_values(spans: DataFrame, field: str, query: str | None = None) -> D
     return rows.select(field_text(field).alias("value")).filter("value is not null").distinct()
 
 
+def root_values(spans: DataFrame, what: str) -> DataFrame:
+    """Distinct root_name, root_service or trace_duration of whole traces."""
+    from ..plans.traceql import trace_context
+
+    return trace_context(spans).select(F.col(what).alias("value")).filter("value is not null").distinct()
+
+
+def detected_field_values(logs: DataFrame, name: str, lines: int = 1000, limit: int = 1000) -> DataFrame:
+    """Values of one field of the newest lines."""
+    from ..plans.logql import _json_map, logfmt_map
+
+    newest = logs.orderBy(F.col("ts").desc(), "line").limit(lines)
+    fields = F.coalesce(_json_map("line"), logfmt_map(F.col("line"), False))
+    return newest.select(F.element_at(fields, name).alias("value")).filter("value is not null").distinct().orderBy("value").limit(limit)
+
+
 def metric_metadata(rows: DataFrame, at: int, days: int = 30, most: int = 8) -> DataFrame:
     """metric and its newest variants (type, help, unit) seen within some days, from rows (metric, type, help, unit, ts)."""
     fresh = rows.filter(F.col("ts") > at - days * 86400 * 10**9)

@@ -10,7 +10,7 @@ from __future__ import annotations
 import ipaddress
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -168,6 +168,28 @@ class LogPlanner(MetricPlanner):
         labels = F.when(F.col("err").isNull(), F.col("bag")).otherwise(F.map_concat(drop(F.col("bag"), [ERROR]), F.create_map(F.lit(ERROR), F.col("err"))))
         return entries.orderBy(*order).limit(limit).select("ts", labels.alias("labels"), "line")
 
+    def sampled(self, query: str, interval: int, limit: int = 100, backward: bool = True) -> DataFrame:
+        """Entries in order of time, each at least `interval` (ns) after the one kept before it, over all streams.
+
+        What is kept depends on all before it, so the ordered entries pass one task, a batch at a time; only the last time is held.
+        """
+        rows = self.entries(parse(query)).select("ts", F.col("bag").alias("labels"), "line")
+        order = [F.col("ts").desc(), F.col("line").desc()] if backward else ["ts", "line"]
+
+        def keep_apart(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            last, left = None, limit
+            for batch in batches:
+                kept = []
+                for i, ts in enumerate(batch["ts"]):
+                    if left and (last is None or abs(ts - last) >= interval):
+                        kept.append(i)
+                        last, left = ts, left - 1
+                yield batch.iloc[kept]
+                if not left:
+                    return
+
+        return rows.repartition(1).sortWithinPartitions(*order).mapInPandas(keep_apart, rows.schema)
+
     def pipeline(self, rows: DataFrame, stages: tuple) -> DataFrame:
         meta = F.transform_keys("meta", lambda k, v: F.when(F.map_contains_key(F.col("stream"), k), F.concat(k, F.lit("_extracted"))).otherwise(k))
         rows = rows.select("ts", "key", "stream", F.map_concat("stream", meta).alias("bag"), "line", F.lit(None).cast("string").alias("err"), F.col("line").alias("raw"))

@@ -407,3 +407,30 @@ QUERIES["expression_graph"] = expression_graph
 ORACLES["expression_graph"] = f"{_RR} SELECT event_type, round(v / sum(v) OVER () * 100, 6) AS value, CAST(CASE WHEN v / sum(v) OVER () * 100 > 20 THEN 1 ELSE 0 END AS DOUBLE) AS fires FROM d"
 QUERIES["usage_by_hour"] = lambda spark, sf_dir: discovery.usage(event_logs(spark, sf_dir), value_of(F.col("stream"), "event_type")).select("tenant", "hour", "entries", "bytes")
 ORACLES["usage_by_hour"] = f"WITH {_L} SELECT event_type AS tenant, ts - ts % {_HOUR} AS hour, count(*) AS entries, CAST(sum(strlen(line)) AS BIGINT) AS bytes FROM l GROUP BY ALL"
+QUERIES["log_interval_sample"] = lambda spark, sf_dir: LogPlanner(event_logs(spark, sf_dir), GRID).sampled('{event_type="error"}', DAY, 100, False).select("ts", "line")
+ORACLES["log_interval_sample"] = f"WITH RECURSIVE {_LR}, e AS (SELECT ts, line FROM r WHERE event_type = 'error'), c(ts) AS (SELECT min(ts) FROM e UNION ALL SELECT (SELECT min(e.ts) FROM e WHERE e.ts >= c.ts + {DAY}) FROM c WHERE c.ts IS NOT NULL) SELECT e.ts, e.line FROM e JOIN c ON e.ts = c.ts"
+QUERIES["log_detected_field_values"] = lambda spark, sf_dir: discovery.detected_field_values(event_logs(spark, sf_dir), "level")
+ORACLES["log_detected_field_values"] = f"WITH {_L} SELECT DISTINCT level AS value FROM (SELECT * FROM l ORDER BY ts DESC, line LIMIT 1000)"
+QUERIES["trace_root_values"] = lambda spark, sf_dir: discovery.root_values(conversation_spans(spark, sf_dir), "trace_duration")
+ORACLES["trace_root_values"] = f"WITH {_T} SELECT DISTINCT max(\"end\") - min(start) AS value FROM t GROUP BY trace"
+
+
+def prom_native_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of each event type as a native histogram of powers of two; its 0.9 quantile and the share between 8 and 64."""
+    from .functions import native_histogram as nh
+
+    s = event_samples(spark, sf_dir).withColumn("event_type", value_of(F.col("labels"), "event_type"))
+    none = F.create_map().cast("map<int,double>")
+    i = F.ceil(F.log2(F.greatest("value", F.lit(1e-9)))).cast("int")
+    small = F.col("value") <= 0.001
+    one = nh.struct(F.lit(0), F.lit(0.001), F.when(small, 1.0).otherwise(0.0), F.lit(1.0), F.col("value"), F.when(small, none).otherwise(F.create_map(i, F.lit(1.0))), none)
+    h = F.col("h")
+    return nh.summed(s.withColumn("h", one), ["event_type"]).select("event_type", F.round(nh.quantile(F.lit(0.9), h), 6).alias("q90"), F.round(nh.fraction(F.lit(8.0), F.lit(64.0), h), 6).alias("share"), F.round(nh.average(h), 6).alias("average"))
+
+
+QUERIES["prom_native_quantile"] = prom_native_quantile
+ORACLES["prom_native_quantile"] = """WITH b AS (SELECT event_type, pow(2, ceil(log2(value))) AS high, count(*) AS n FROM events WHERE value > 0.001 GROUP BY ALL), z AS (SELECT event_type, count(*) AS n FROM events WHERE value <= 0.001 GROUP BY ALL),
+    a AS (SELECT event_type, count(*) AS total, avg(value) AS average FROM events GROUP BY ALL), c AS (SELECT event_type, high, n, sum(n) OVER (PARTITION BY event_type ORDER BY high) + coalesce((SELECT z.n FROM z WHERE z.event_type = b.event_type), 0) AS seen FROM b),
+    q AS (SELECT c.event_type, high / 2 * pow(2, (0.9 * total - (seen - n)) / n) AS q90 FROM c JOIN a USING (event_type) WHERE seen >= 0.9 * total QUALIFY row_number() OVER (PARTITION BY c.event_type ORDER BY high) = 1),
+    s AS (SELECT event_type, sum(n) FILTER (high > 8 AND high <= 64) AS inside FROM b GROUP BY ALL)
+    SELECT event_type, round(CAST(q90 AS DOUBLE), 6) AS q90, round(CAST(inside / total AS DOUBLE), 6) AS share, round(average, 6) AS average FROM q JOIN a USING (event_type) JOIN s USING (event_type)"""

@@ -32,6 +32,18 @@ def as_logs(df: DataFrame, stream: dict[str, Column], ts: Column, line: Column,
     return df.select(bag.alias("stream"), (label_map(**meta) if meta else no_labels()).alias("meta"), key_of(bag).alias("key"), ts.alias("ts"), line.alias("line"))
 
 
+def as_log_records(df: DataFrame) -> DataFrame:
+    """Logs from records (ts, service, severity_text, body, trace_id, span_id, attributes, resource): the service and severity are stream labels under their usual names."""
+    mirrored = F.array(*[F.struct(F.lit(n).alias("key"), F.col(c).alias("value")) for n, c in (("service", "service"), ("service_name", "service"), ("level", "severity_text"), ("detected_level", "severity_text"))])
+    own = F.map_from_entries(F.filter(mirrored, lambda e: e["value"].isNotNull()))
+    resource = F.coalesce("resource", no_labels())
+    stream = F.map_concat(F.map_filter(resource, lambda k, v: ~F.map_contains_key(own, k)), own)
+    ids = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(n).alias("key"), F.col(n).alias("value")) for n in ("trace_id", "span_id")]), lambda e: F.coalesce(e["value"], F.lit("")) != ""))
+    attributes = F.coalesce("attributes", no_labels())
+    meta = F.map_concat(attributes, F.map_filter(ids, lambda k, v: ~F.map_contains_key(attributes, k)))
+    return df.select(stream.alias("stream"), meta.alias("meta"), key_of(stream).alias("key"), "ts", F.col("body").alias("line"))
+
+
 def resolve_duplicates(samples: DataFrame) -> DataFrame:
     """One sample for each series and time: a stale marker first, then the largest number, NaN only alone."""
     rank = F.struct(F.col("stale").cast("int").alias("s"), (~F.isnan("value")).cast("int").alias("n"), F.col("value").alias("v"))

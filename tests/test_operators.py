@@ -176,3 +176,12 @@ def test_metadata_keeps_newest_variants(spark):
     out = discovery.metric_metadata(spark.createDataFrame(rows, "metric string, type string, help string, unit string, ts long"), 10 * S)
     assert sorted(r.help for r in out.collect()) == [f"h{i}" for i in range(2, 10)]
 
+
+
+def test_log_records_mirror_service_and_level(spark):
+    from skein.sources.model import as_log_records
+
+    df = spark.createDataFrame([(1, "api", "WARN", "hi", "t1", "", {"level": "x", "a": "1"}, {"env": "p", "level": "old"})], "ts long, service string, severity_text string, body string, trace_id string, span_id string, attributes map<string,string>, resource map<string,string>")
+    r = as_log_records(df).first()
+    assert r.stream == {"env": "p", "service": "api", "service_name": "api", "level": "WARN", "detected_level": "WARN"}
+    assert r.meta == {"level": "x", "a": "1", "trace_id": "t1"}
