@@ -56,7 +56,11 @@ def document_sets(docs: DataFrame) -> DataFrame:
 
 
 def shared_columns(docs: DataFrame, buckets: int) -> DataFrame:
-    """cls, n, h, df: the entries of sets in columns that at least two distinct sets have."""
+    """cls, n, h, df (packed): the entries of sets in columns that at least two distinct sets have, a row for each set and bucket.
+
+    A bucket is a range of hashes, so that it stands for their highest bits, and 7 of their 8 bytes are sent.
+    Frequencies stop at 255: they order columns, and any order that all rows share will do.
+    """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
@@ -68,12 +72,12 @@ def shared_columns(docs: DataFrame, buckets: int) -> DataFrame:
             sizes = np.array([len(s) for s in sets.values()], np.int64)
             h = np.concatenate(list(sets.values()))
             row = np.repeat(np.arange(len(keys), dtype=np.uint32), sizes)
-            bucket = (h % np.uint64(buckets)).astype(np.int32)
+            bucket = (((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             h, row = h[order], row[order]
             names = pa.array([keys.tobytes()] * buckets, pa.binary()), pa.array([_squeeze(sizes)] * buckets, pa.binary())
-            out = [pa.array(np.arange(buckets, dtype=np.int32)), *names, pa.array([h[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()), pa.array([_squeeze(row[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())]
+            out = [pa.array(np.arange(buckets, dtype=np.int32)), *names, pa.array([h[a:b].view(np.uint8).reshape(-1, 8)[:, :7].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()), pa.array([_squeeze(row[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())]
             return pa.RecordBatch.from_arrays(out, ["bucket", "keys", "sizes", "h", "row"])
 
         for batch in batches:
@@ -94,7 +98,10 @@ def shared_columns(docs: DataFrame, buckets: int) -> DataFrame:
             for i in range(batch.num_rows):
                 k = np.frombuffer(batch.column(1)[i].as_py(), np.int64)
                 n = _numbers(batch.column(2)[i].as_py(), np.int64)
-                h = np.frombuffer(batch.column(3)[i].as_py(), np.uint64)
+                low = np.frombuffer(batch.column(3)[i].as_py(), np.uint8).reshape(-1, 7)
+                wide = np.zeros((len(low), 8), np.uint8)
+                wide[:, :7] = low
+                h = wide.view(np.uint64).ravel()
                 row = _numbers(batch.column(4)[i].as_py(), np.uint32)
                 hs.append(h), keys.append(k[row]), sizes.append(n[row].astype(np.int32))
         h, k, n = np.concatenate(hs), np.concatenate(keys), np.concatenate(sizes)
@@ -111,23 +118,38 @@ def shared_columns(docs: DataFrame, buckets: int) -> DataFrame:
         first[1:] = (h[1:] != h[:-1]) | (k[1:] != k[:-1])
         h, k, n = h[first], k[first], n[first]
         _, place, df = np.unique(h, return_inverse=True, return_counts=True)
-        df = df[place].astype(np.int32)
-        keep = df > 1
-        for at in range(0, max(int(keep.sum()), 1), 500_000):
-            part = np.flatnonzero(keep)[at : at + 500_000]
-            yield pa.RecordBatch.from_arrays([pa.array(k[part]), pa.array(n[part].astype(np.int64)), pa.array(h[part].view(np.int64)), pa.array(df[part])], ["cls", "n", "h", "df"])
+        keep = (df > 1)[place]
+        h, k, n, df = h[keep] | (np.uint64(key[0].as_py() & 255) << np.uint64(56)), k[keep], n[keep], np.minimum(df[place][keep], 255).astype(np.uint8)
+        order = np.argsort(k, kind="stable")
+        h, k, n, df = h[order], k[order], n[order], df[order]
+        at = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, np.int64)
+        end = np.r_[at[1:], len(k)]
+        for low in range(0, max(len(at), 1), 50_000):
+            spans = [*zip(at[low : low + 50_000].tolist(), end[low : low + 50_000].tolist(), strict=True)]
+            part = at[low : low + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(k[part]), pa.array(n[part].astype(np.int64)), pa.array([h[x:y].tobytes() for x, y in spans], pa.binary()), pa.array([df[x:y].tobytes() for x, y in spans], pa.binary())], ["cls", "n", "h", "df"])
 
     packed = docs.select("text").mapInArrow(pack, "bucket int, keys binary, sizes binary, h binary, row binary")
-    return packed.groupBy("bucket").applyInArrow(count, "cls long, n long, h long, df int")
+    return packed.groupBy("bucket").applyInArrow(count, "cls long, n long, h binary, df binary")
 
 
 def candidate_rows(entries: DataFrame) -> DataFrame:
-    """cls, n, columns (sorted by frequency), lead (the columns of the prefix that others may share)."""
-    rows = entries.groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("c"))
-    need = F.ceil(F.col("n") * 4 / 5)
-    rows = rows.filter(5 * F.size("c") >= 4 * F.col("n"))
-    lead = F.slice("c", 1, (F.size("c") - need + 1).cast("int"))
-    return rows.select("cls", "n", F.transform("c", lambda x: x["h"]).alias("columns"), F.transform(lead, lambda x: x["h"]).alias("lead"), F.element_at("c", -1)["h"].alias("label"))
+    """cls, n, columns (sorted by frequency), lead (the columns of the prefix that others may share), label (the most frequent column)."""
+
+    def arrange(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns, leads, labels = [], [], []
+            for n, parts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                h = np.frombuffer(b"".join([p["h"] for p in parts]), np.int64)
+                h = h[np.lexsort((h, np.frombuffer(b"".join([p["df"] for p in parts]), np.uint8)))]
+                columns.append(h)
+                leads.append(h[: len(h) + (-4 * n // 5) + 1])
+                labels.append(int(h[-1]))
+            kind = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(columns, kind), pa.array(leads, kind), pa.array(labels, pa.int64())], ["cls", "n", "columns", "lead", "label"])
+
+    rows = entries.groupBy("cls", "n").agg(F.sum(F.octet_length("df")).alias("m"), F.collect_list(F.struct("h", "df")).alias("parts"))
+    return rows.filter("5 * m >= 4 * n").select("cls", "n", "parts").mapInArrow(arrange, "cls long, n long, columns array<long>, lead array<long>, label long")
 
 
 def row_blocks(rows: DataFrame, partitions: int) -> DataFrame:
