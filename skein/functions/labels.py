@@ -59,3 +59,15 @@ def matches(value: Column, op: str, operand: str) -> Column:
     else:
         hit = value.rlike(f"(?s)\\A(?:{java_regex(operand)})\\z")
     return ~hit if op.startswith("!") else hit
+
+
+def selects(labels: Column, name: str, op: str, operand: str) -> Column:
+    """A matcher on a label of a set. Equality reads the map as a plain column where the map is made of columns, so that it reaches the scan."""
+    if op == "=" and operand:
+        return labels[name] == operand
+    return matches(value_of(labels, name), op, operand)
+
+
+def labels_of(key: Column) -> Column:
+    """The label set of a canonical string. Grouping by the string and reading the set from it keeps maps out of aggregation buffers, which hash aggregation cannot hold."""
+    return F.when(key == "", no_labels()).otherwise(F.str_to_map(key, F.lit("\x02"), F.lit("\x01")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ieee
+from ..functions.labels import labels_of
 from ..plans.grid import Grid
 
 MINUTE, HOUR = 60 * 10**9, 3600 * 10**9
@@ -45,7 +46,7 @@ def metric_hours(samples: DataFrame) -> DataFrame:
     fall = ieee.compare("<", v, F.col("before"))
     change = ieee.compare("!=", v, F.col("before")) & ~(F.isnan(v) & F.isnan("before"))
     return rows.groupBy("key", "hour").agg(
-        F.first("labels").alias("labels"), F.count("*").alias("count"), F.min_by(v, F.col("ts")).alias("first"), F.max_by(v, F.col("ts")).alias("last"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), ieee.least_of(v).alias("min"), ieee.most_of(v).alias("max"),
+        labels_of(F.col("key")).alias("labels"), F.count("*").alias("count"), F.min_by(v, F.col("ts")).alias("first"), F.max_by(v, F.col("ts")).alias("last"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), ieee.least_of(v).alias("min"), ieee.most_of(v).alias("max"),
         F.sum(F.when(F.col("before").isNotNull() & change, 1).otherwise(0)).alias("changes"), F.sum(F.when(fall, 1).otherwise(0)).alias("resets"), F.sum(F.when(fall, F.col("before")).otherwise(F.lit(0.0))).alias("lost"),
     )
 
@@ -63,7 +64,7 @@ def hours_over_time(hours: DataFrame, name: str, grid: Grid, window: int) -> Dat
     inside = F.col("edge_ts") > F.col("step") - window
     edge = lambda c, zero: F.when(inside, F.col(c)).otherwise(F.lit(zero))
     if name in ("rate", "increase", "delta"):
-        out = rows.groupBy("key", "step").agg(F.first("labels").alias("labels"), F.min_by("first", "ts").alias("a"), F.max_by("last", "ts").alias("b"), F.sum(F.col("lost") + edge("edge_lost", 0.0)).alias("lost"), F.min("first_ts").alias("t0"), F.max("last_ts").alias("t1"), F.sum("count").alias("n")).filter("n > 1 and t1 > t0")
+        out = rows.groupBy("key", "step").agg(labels_of(F.col("key")).alias("labels"), F.min_by("first", "ts").alias("a"), F.max_by("last", "ts").alias("b"), F.sum(F.col("lost") + edge("edge_lost", 0.0)).alias("lost"), F.min("first_ts").alias("t0"), F.max("last_ts").alias("t1"), F.sum("count").alias("n")).filter("n > 1 and t1 > t0")
         gain = F.col("b") - F.col("a") + (F.col("lost") if name != "delta" else F.lit(0.0))
         span = (F.col("t1") - F.col("t0")) / F.lit(1e9)
         gap = span / (F.col("n") - 1)
@@ -74,7 +75,7 @@ def hours_over_time(hours: DataFrame, name: str, grid: Grid, window: int) -> Dat
         value = gain * ((span + left + right) / span) / (window / 1e9 if name == "rate" else 1.0)
         return out.select("labels", "key", "step", value.alias("value"))
     agg = {"min_over_time": lambda: ieee.least_of(F.col("min")), "max_over_time": lambda: ieee.most_of(F.col("max")), "first_over_time": lambda: F.min_by("first", "ts"), "last_over_time": lambda: F.max_by("last", "ts"), "count_over_time": lambda: F.sum("count").cast("double"), "present_over_time": lambda: F.max(F.lit(1.0)), "changes": lambda: F.sum(F.col("changes") + edge("edge_change", 0)).cast("double"), "resets": lambda: F.sum(F.col("resets") + edge("edge_reset", 0)).cast("double")}
-    return rows.groupBy("key", "step").agg(F.first("labels").alias("labels"), agg[name]().alias("value")).select("labels", "key", "step", "value")
+    return rows.groupBy("key", "step").agg(labels_of(F.col("key")).alias("labels"), agg[name]().alias("value")).select("labels", "key", "step", "value")
 
 
 def write_layout(df: DataFrame, path: str, by: list[str], day: Column, mode: str = "append") -> None:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ieee
-from ..functions.labels import NAME, drop, put, rekeyed
+from ..functions.labels import NAME, drop, labels_of, put, rekeyed
 from ..plans.grid import Grid
 from ..plans.promql import MetricPlanner
 from ..plans.promql_parser import QueryError, Stream, tokens_of
@@ -182,7 +182,7 @@ def _math_column(node) -> Column:
 
 def reduce_last(vector: DataFrame) -> DataFrame:
     """labels, key, value: the newest value of each series."""
-    return rekeyed(vector.select("labels", "step", "value")).groupBy("key").agg(F.first("labels").alias("labels"), F.max_by("value", "step").alias("value")).select("labels", "key", "value")
+    return rekeyed(vector.select("labels", "step", "value")).groupBy("key").agg(labels_of(F.col("key")).alias("labels"), F.max_by("value", "step").alias("value")).select("labels", "key", "value")
 
 
 def threshold(frame: DataFrame, op: str, limit: float) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ieee
-from ..functions.labels import NAME, drop, put, rekeyed, value_of
+from ..functions.labels import NAME, drop, labels_of, put, rekeyed, value_of
 from .promql_parser import QueryError, Text
 
 
@@ -15,8 +15,8 @@ def buckets_of(vector: DataFrame) -> DataFrame:
     bound = value_of(F.col("labels"), "le")
     le = F.when(bound.isin("+Inf", "Inf", "inf", "+inf"), F.lit(float("inf"))).otherwise(bound.try_cast("double"))
     rows = rekeyed(vector.select(drop(F.col("labels"), [NAME, "le"]).alias("labels"), "step", le.alias("le"), "value").filter("le is not null"))
-    rows = rows.groupBy("key", "step", "le").agg(F.first("labels").alias("labels"), F.sum("value").alias("value"))
-    lists = rows.groupBy("key", "step").agg(F.first("labels").alias("labels"), F.array_sort(F.collect_list(F.struct("le", "value"))).alias("b"))
+    rows = rows.groupBy("key", "step", "le").agg(labels_of(F.col("key")).alias("labels"), F.sum("value").alias("value"))
+    lists = rows.groupBy("key", "step").agg(labels_of(F.col("key")).alias("labels"), F.array_sort(F.collect_list(F.struct("le", "value"))).alias("b"))
 
     def rise(s: Column, x: Column) -> Column:
         n = F.greatest(s["n"], x["value"])

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ieee
-from ..functions.labels import no_labels, drop, java_regex, keep, key_of, matches, put, rekeyed, value_of
+from ..functions.labels import drop, java_regex, keep, key_of, labels_of, matches, no_labels, put, rekeyed, selects, value_of
 from ..functions.templates import compile_template
 from ..functions.units import bytes_of, seconds_of
 from .grid import Grid
@@ -154,7 +154,7 @@ class LogPlanner(MetricPlanner):
     def select(self, node: LogQuery) -> DataFrame:
         rows = self.logs
         for name, op, value in node.matchers:
-            rows = rows.filter(matches(value_of(F.col("stream"), name), op, value))
+            rows = rows.filter(selects(F.col("stream"), name, op, value))
         return rows
 
     def entries(self, node: LogQuery, start: int | None = None, end: int | None = None) -> DataFrame:
@@ -380,7 +380,7 @@ class LogPlanner(MetricPlanner):
         }
         if node.op == "rate_counter":
             return self._counter_rate(rows, node, grid)
-        out = grid.windows(rows, node.window).groupBy("key", "step").agg(F.first("labels").alias("labels"), value[node.op]().alias("value"))
+        out = grid.windows(rows, node.window).groupBy("key", "step").agg(labels_of(F.col("key")).alias("labels"), value[node.op]().alias("value"))
         return out.select("labels", "key", "step", "value")
 
     def _counter_rate(self, rows: DataFrame, node: RangeAggregate, grid: Grid) -> DataFrame:
@@ -389,7 +389,7 @@ class LogPlanner(MetricPlanner):
         rows = rows.withColumn("before", F.lag("value").over(series))
         rows = rows.withColumn("lost", F.sum(F.when(ieee.compare("<", F.col("value"), F.col("before")), F.col("before")).otherwise(F.lit(0.0))).over(series.rowsBetween(Window.unboundedPreceding, 0)))
         a, order = F.struct("value", "lost"), F.struct("ts", "raw")
-        out = grid.windows(rows, node.window).groupBy("key", "step").agg(F.first("labels").alias("labels"), F.min_by(a, order).alias("a"), F.max_by(a, order).alias("b"), F.min("ts").alias("t0"), F.max("ts").alias("t1"), F.count("*").alias("n"))
+        out = grid.windows(rows, node.window).groupBy("key", "step").agg(labels_of(F.col("key")).alias("labels"), F.min_by(a, order).alias("a"), F.max_by(a, order).alias("b"), F.min("ts").alias("t0"), F.max("ts").alias("t1"), F.count("*").alias("n"))
         gain = F.col("b.value") - F.col("a.value") + F.col("b.lost") - F.col("a.lost")
         span = (F.col("t1") - F.col("t0")) / F.lit(1e9)
         gap = span / F.greatest(F.col("n") - 1, F.lit(1))

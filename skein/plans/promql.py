@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ieee
-from ..functions.labels import NAME, no_labels, drop, keep, key_of, matches, put, rekeyed, value_of
+from ..functions.labels import NAME, drop, java_regex, keep, key_of, labels_of, no_labels, put, rekeyed, selects, value_of
 from .grid import Grid
 from .promql_parser import Aggregate, Binary, Call, Negative, Number, QueryError, Selector, Subquery, Text, parse
 
@@ -155,7 +155,7 @@ class MetricPlanner:
         """Samples of the matching series, shifted by the offset."""
         rows = self.samples
         for name, op, value in node.matchers:
-            rows = rows.filter(matches(value_of(F.col("labels"), name), op, value))
+            rows = rows.filter(selects(F.col("labels"), name, op, value))
         return rows.withColumn("ts", F.col("ts") + node.offset) if node.offset else rows
 
     def _pinned(self, node, grid: Grid) -> Grid:
@@ -175,7 +175,7 @@ class MetricPlanner:
         """The newest sample within the lookback; none if that is a stale marker."""
         own = self._pinned(node, grid)
         rows = own.windows(self.selected(node), self.lookback)
-        newest = rows.groupBy("key", "step").agg(F.first("labels").alias("labels"), F.max_by(F.struct("value", "stale", "ts"), F.col("ts")).alias("s")).filter(~F.col("s.stale"))
+        newest = rows.groupBy("key", "step").agg(labels_of(F.col("key")).alias("labels"), F.max_by(F.struct("value", "stale", "ts"), F.col("ts")).alias("s")).filter(~F.col("s.stale"))
         value = _seconds(F.col("s.ts") - node.offset) if with_time else F.col("s.value")
         return self._spread(newest.select("labels", "key", "step", value.alias("value")), node, grid)
 
@@ -208,7 +208,7 @@ class MetricPlanner:
             if name in _EXTRAPOLATED:
                 rows = rows.withColumn("lost", F.sum(F.when(falls, F.col("before")).otherwise(F.lit(0.0))).over(series.rowsBetween(Window.unboundedPreceding, 0)))
         grouped = own.windows(rows, window).groupBy("key", "step")
-        labels = F.first("labels").alias("labels")
+        labels = labels_of(F.col("key")).alias("labels")
         if name in SIMPLE:
             out = grouped.agg(labels, SIMPLE[name]().alias("value"))
         elif name in _EXTRAPOLATED:
@@ -239,7 +239,7 @@ class MetricPlanner:
     def _extrapolated(self, name: str, grouped, window: int) -> DataFrame:
         """The counter's gain, stretched to the window's ends unless they are far from the samples."""
         a = F.struct("value", "lost")
-        out = grouped.agg(F.first("labels").alias("labels"), F.min_by(a, F.col("ts")).alias("a"), F.max_by(a, F.col("ts")).alias("b"), F.min("ts").alias("t0"), F.max("ts").alias("t1"), F.count("*").alias("n"))
+        out = grouped.agg(labels_of(F.col("key")).alias("labels"), F.min_by(a, F.col("ts")).alias("a"), F.max_by(a, F.col("ts")).alias("b"), F.min("ts").alias("t0"), F.max("ts").alias("t1"), F.count("*").alias("n"))
         out = out.filter((F.col("n") > 1) & (F.col("t1") > F.col("t0")))
         counter = name != "delta"
         gain = F.col("b.value") - F.col("a.value") + ((F.col("b.lost") - F.col("a.lost")) if counter else F.lit(0.0))
@@ -254,7 +254,7 @@ class MetricPlanner:
 
     def _fitted(self, name: str, grouped, extra: list, grid: Grid) -> DataFrame:
         x, y = _seconds(F.col("ts") - F.col("step")), _v()
-        out = grouped.agg(F.first("labels").alias("labels"), F.regr_slope(y, x).alias("m"), F.avg(x).alias("ax"), F.avg(y).alias("ay"), F.count("*").alias("n"), F.min(y).alias("y0"), F.max(y).alias("y1")).filter("n > 1")
+        out = grouped.agg(labels_of(F.col("key")).alias("labels"), F.regr_slope(y, x).alias("m"), F.avg(x).alias("ax"), F.avg(y).alias("ay"), F.count("*").alias("n"), F.min(y).alias("y0"), F.max(y).alias("y1")).filter("n > 1")
         slope = F.when(F.col("y0") == F.col("y1"), F.lit(0.0)).otherwise(F.col("m"))
         if name == "deriv":
             return out.select("labels", "key", "step", slope.alias("value"))
@@ -263,7 +263,7 @@ class MetricPlanner:
         return out.select("labels", "key", "step", (at_step + slope * F.col("ahead")).alias("value"))
 
     def _smoothed(self, grouped, extra: list) -> DataFrame:
-        out = grouped.agg(F.first("labels").alias("labels"), _sorted_values().alias("a")).filter(F.size("a") > 1)
+        out = grouped.agg(labels_of(F.col("key")).alias("labels"), _sorted_values().alias("a")).filter(F.size("a") > 1)
         out = self._with_scalar(self._with_scalar(out, extra[0], "sf"), extra[1], "tf")
         wrong = (F.col("sf") <= 0) | (F.col("sf") >= 1) | (F.col("tf") <= 0) | (F.col("tf") >= 1)
         out = out.withColumn("sf", F.when(wrong, F.raise_error(F.lit("smoothing factors lie between 0 and 1")).cast("double")).otherwise(F.col("sf")))
@@ -376,8 +376,6 @@ class MetricPlanner:
         return rekeyed(missing.select(labels.alias("labels"), "step", F.lit(1.0).alias("value")))
 
     def _relabelled(self, name: str, vector: DataFrame, texts: list[str]) -> DataFrame:
-        from ..functions.labels import java_regex
-
         labels = F.col("labels")
         if name == "label_join":
             target, between, *sources = texts
@@ -394,7 +392,7 @@ class MetricPlanner:
 
     def _unique(self, vector: DataFrame) -> DataFrame:
         """Series that now have the same labels merge where they have no step in common, else the query fails."""
-        merged = vector.groupBy("key", "step").agg(F.first("labels").alias("labels"), F.first("value").alias("v"), F.count("*").alias("n"))
+        merged = vector.groupBy("key", "step").agg(labels_of(F.col("key")).alias("labels"), F.first("value").alias("v"), F.count("*").alias("n"))
         value = F.when(F.col("n") > 1, F.raise_error(F.lit("several series have the same labels")).cast("double")).otherwise(F.col("v"))
         return merged.select("labels", "key", "step", value.alias("value"))
 
@@ -423,7 +421,7 @@ class MetricPlanner:
             rows = rows.withColumn("labels", put(F.col("labels"), node.param.value, format_value(_v()))).withColumn("value", F.lit(1.0))
             node = replace(node, op="sum")
         rows = rekeyed(rows).groupBy("key", "step")
-        labels = F.first("labels").alias("labels")
+        labels = labels_of(F.col("key")).alias("labels")
         if node.op == "quantile":
             out = self._with_scalar(rows.agg(labels, F.array_sort(F.collect_list(_v())).alias("a")), self.eval(node.param, grid), "q")
             return out.select("labels", "key", "step", ieee.interpolated(F.col("q"), F.col("a")).alias("value"))
