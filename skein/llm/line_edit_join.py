@@ -86,6 +86,17 @@ def banded_distance(longer: Column, shorter: Column, threshold: int = THRESHOLD)
     return F.transform(chars, run)[0]
 
 
+def may_be_near(x: Column, y: Column, threshold: int) -> Column:
+    """A cheap test that no pair within the threshold fails: all before one edit is equal, and all after it, to a quarter of the line."""
+    if threshold != 1:
+        return F.lit(True)
+    n = F.least(F.length(x), F.length(y))
+    quarter = [F.floor(n * k / 4).cast("int") for k in range(4)]
+    head = lambda k: F.left(x, quarter[k]) == F.left(y, quarter[k])
+    tail = lambda k: F.right(x, n - quarter[k] - 1) == F.right(y, n - quarter[k] - 1)  # noqa: E731  after an edit before quarter k
+    return head(3) | (head(2) & tail(3)) | (head(1) & tail(2)) | tail(1)
+
+
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """Lines of at least min_chars characters: doc_id, t (hash of the text), no, line, h1, h2, size."""
     out = docs.select("doc_id", F.xxhash64("text").alias("t"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
@@ -106,6 +117,7 @@ def line_links(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN
     shared = keys.groupBy("k.key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low <> high").select("key")
     shared = cut(shared)
     contested = _some(keys.select("h1", "h2", "k.key", "k.index", "k.probe"), shared, ["key"]).dropDuplicates(["key", "index", "h1", "h2"])
+    contested = cut(contested)  # read for both sides of the join
     a = contested.filter("index").select("key", F.col("h1").alias("a1"), F.col("h2").alias("a2"))
     b = contested.select("key", F.col("index").alias("also"), F.col("h1").alias("b1"), F.col("h2").alias("b2"))
     pairs = a.join(b, "key").filter("(a1 <> b1 or a2 <> b2) and (not also or a1 < b1 or (a1 = b1 and a2 < b2))").select("a1", "a2", "b1", "b2").distinct()
@@ -113,6 +125,7 @@ def line_links(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN
     ends = pairs.select(F.col("a1").alias("h1"), F.col("a2").alias("h2")).union(pairs.select("b1", "b2")).distinct()
     texts = _some(lines.select("h1", "h2", "line"), ends, ["h1", "h2"]).dropDuplicates(["h1", "h2"])
     both = pairs.join(texts.toDF("a1", "a2", "x"), ["a1", "a2"]).join(texts.toDF("b1", "b2", "y"), ["b1", "b2"])
+    both = both.filter(may_be_near(F.col("x"), F.col("y"), threshold))
     longer, shorter = F.when(F.length("x") >= F.length("y"), F.col("x")).otherwise(F.col("y")), F.when(F.length("x") >= F.length("y"), F.col("y")).otherwise(F.col("x"))
     return both.withColumn("distance", banded_distance(longer, shorter, threshold)).filter(F.col("distance") <= threshold).select("a1", "a2", "b1", "b2", "distance")
 
