@@ -14,14 +14,12 @@ from skein.llm.common import shared_dir
 from skein.llm.entropy_mix import mix_sources
 from skein.llm.jaccard_join import near_duplicates
 from skein.llm.language_id import UNDETERMINED, held_out_rows, predict_languages, train_network
-from skein.llm.line_edit_join import dedup_lines
+from skein.llm.line_edit_join import MIN_CHARS, dedup_lines
 from skein.llm.sentencepiece_codec import encode_texts, model_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document whose best language has less is rejected.
 LEAST_SCORE = 0.4
-#: A document that keeps less of its text than this after line dedup is a copy of others and goes.
-LEAST_LEFT = 0.2
 #: Ids of removed documents that may be broadcast.
 BROADCAST_IDS = 1_000_000
 
@@ -34,10 +32,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes lines that an earlier line equals or is near to, and documents of which little is left."""
+    """Removes lines that an earlier line equals or is near to, and documents that keep no line long enough to be judged: copies of others."""
     out = dedup_lines(docs.select(*COLUMNS))
-    left = F.length(F.trim("kept_text")) >= LEAST_LEFT * F.length(F.trim("text"))
-    out = out.filter((F.col("n_equal") + F.col("n_near") == 0) | (left & (F.length(F.trim("kept_text")) > 0)))
+    own = F.exists(F.split("kept_text", "\n"), lambda x: F.length(x) >= MIN_CHARS)
+    out = out.filter((F.col("n_equal") + F.col("n_near") == 0) | own)
     return out.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
 
