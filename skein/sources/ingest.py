@@ -25,7 +25,7 @@ def attributes(kv: Column) -> Column:
     return F.coalesce(F.aggregate(pairs, no_labels(), lambda m, p: F.map_concat(F.map_filter(m, lambda k, v: k != p["k"]), F.create_map(p["k"], p["v"]))), no_labels())
 
 
-def loki_push(payloads: DataFrame, column: str = "payload") -> DataFrame:
+def stream_push(payloads: DataFrame, column: str = "payload") -> DataFrame:
     """Streams of (time in ns, line, structured metadata)."""
     body = F.from_json(column, F.lit(f"struct<streams:array<struct<stream:{_MAP},values:array<array<string>>>>>"))
     rows = payloads.select(F.explode(body["streams"]).alias("s")).select(F.col("s.stream").alias("stream"), F.explode("s.values").alias("v"))
@@ -109,7 +109,7 @@ def otlp_spans(payloads: DataFrame, column: str = "payload") -> DataFrame:
 _SECRET = r"(?i)((?:password|passwd|secret|token|api_?key|authorization)[\"']?\s*[:=]\s*[\"']?)[^\"'&\s,}]+"
 
 
-def sentry_events(payloads: DataFrame, column: str = "payload") -> DataFrame:
+def error_events(payloads: DataFrame, column: str = "payload") -> DataFrame:
     """Error rows (ts, project, kind, place, message) of event payloads; values behind secret names are masked."""
     frame = "struct<function:string,filename:string,in_app:boolean>"
     body = F.from_json(column, F.lit(f"struct<event_id:string,timestamp:double,project:string,level:string,exception:struct<values:array<struct<type:string,value:string,stacktrace:struct<frames:array<{frame}>>>>>,message:string>"))

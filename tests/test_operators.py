@@ -124,11 +124,11 @@ def test_patterns(spark):
     assert out == {"user <_> logged in from <_>": 30, "cache miss for key": 5}
 
 
-def test_ingest_logs_and_loki(spark):
-    loki = json.dumps({"streams": [{"stream": {"app": "x"}, "values": [["5", "hello"], ["6", "again", '{"id": "1"}'], ["bad", "z"]]}]})
+def test_ingest_logs_and_streams(spark):
+    streams = json.dumps({"streams": [{"stream": {"app": "x"}, "values": [["5", "hello"], ["6", "again", '{"id": "1"}'], ["bad", "z"]]}]})
     otlp = json.dumps({"resourceLogs": [{"resource": {"attributes": [{"key": "service.name", "value": {"stringValue": "s"}}]}, "scopeLogs": [{"logRecords": [{"timeUnixNano": "7", "severityText": "WARN", "body": {"stringValue": "hi"}, "attributes": [{"key": "n", "value": {"intValue": "3"}}]}]}]}]})
-    df = spark.createDataFrame([(loki,), ("{",)], "payload string")
-    out = ingest.loki_push(df).orderBy("ts").collect()
+    df = spark.createDataFrame([(streams,), ("{",)], "payload string")
+    out = ingest.stream_push(df).orderBy("ts").collect()
     assert [(r.ts, r.line, r.meta) for r in out] == [(5, "hello", {}), (6, "again", {"id": "1"})]
     assert ingest.rejected(df).count() == 1
     r = ingest.otlp_logs(spark.createDataFrame([(otlp,)], "payload string")).first()
@@ -154,7 +154,7 @@ def test_ingest_spans_and_errors(spark):
     spans = ingest.otlp_spans(spark.createDataFrame([(body,)], "payload string"))
     assert TracePlanner(spans).select(parse('{ event.k = "true" && nestedSetParent < 0 }')).count() == 1
     event = json.dumps({"timestamp": 1.5, "project": "p", "exception": {"values": [{"type": "E", "value": "token=abc123 lost", "stacktrace": {"frames": [{"function": "f", "filename": "a.py", "in_app": True}]}}]}})
-    r = ingest.sentry_events(spark.createDataFrame([(event,)], "payload string")).first()
+    r = ingest.error_events(spark.createDataFrame([(event,)], "payload string")).first()
     assert (r.ts, r.kind, r.place, r.message) == (1_500_000_000, "E", "a.py:f", "token=[masked] lost")
 
 
