@@ -27,7 +27,7 @@ from .common import cut, parts_for, table
 from .lyndon_suffixes import suffix_array
 from .shingles import mixed
 
-LENGTH, GRAM, PACK_BYTES, HOT = 100, 32, 24_000_000, 20_000
+LENGTH, GRAM, PACK_BYTES, HOT = 100, 32, 16_000_000, 20_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 _PLACE = np.uint64((1 << 32) - 1)
