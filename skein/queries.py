@@ -264,7 +264,16 @@ trace_spans("trace_root_only", "{ nestedSetParent < 0 }", "SELECT trace, id, nam
 trace_spans("trace_select", '{ .region = "r2" } | select(span.len, resource.region)', "SELECT trace, id, name, CAST(len AS VARCHAR) AS span_len, region AS resource_region FROM t WHERE region = 'r2'", ("span.len", "resource.region"))
 trace_spans("trace_child", '{ name = "user" } > { name = "assistant" }', f"{_O} JOIN t l ON l.trace = r.trace AND l.id = r.parent WHERE l.name = 'user' AND r.name = 'assistant'")
 trace_spans("trace_parent", "{ status = error } < { }", f"{_O} JOIN t l ON l.trace = r.trace AND l.parent = r.id WHERE l.status = 2")
-trace_spans("trace_sibling", "{ } ~ { }", f"{_O} JOIN t l ON l.trace = r.trace AND l.parent = r.parent AND l.id <> r.id")
+
+
+def trace_sibling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over conversations with all turns under the first, as a chain has no siblings."""
+    spans = conversation_spans(spark, sf_dir).withColumn("parent", F.when(F.col("parent").isNotNull(), "0"))
+    return TracePlanner(spans).select(parse('{ name = "user" } ~ { }')).select("trace", "id", "name")
+
+
+QUERIES["trace_sibling"] = trace_sibling
+ORACLES["trace_sibling"] = f"WITH {_T} SELECT DISTINCT r.trace, r.id, r.name FROM t r JOIN t l ON l.trace = r.trace AND l.parent IS NOT NULL AND r.parent IS NOT NULL AND l.id <> r.id WHERE l.name = 'user'"
 _DOWN = ", d(trace, id) AS (SELECT c.trace, c.id FROM t c JOIN t l ON l.trace = c.trace AND l.id = c.parent WHERE l.status = 2 UNION SELECT c.trace, c.id FROM t c JOIN d ON d.trace = c.trace AND d.id = c.parent)"
 trace_spans("trace_descendant", '{ status = error } >> { name = "assistant" }', f"{_DOWN} SELECT r.trace, r.id, r.name FROM t r JOIN d ON d.trace = r.trace AND d.id = r.id WHERE r.name = 'assistant'")
 _UP = ", d(trace, id) AS (SELECT trace, parent FROM t WHERE status = 2 AND parent IS NOT NULL UNION SELECT c.trace, c.parent FROM t c JOIN d ON d.trace = c.trace AND d.id = c.id WHERE c.parent IS NOT NULL)"
@@ -332,11 +341,11 @@ _HOUR = 3600 * 10**9
 
 
 def err_rate_jumps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return errors.rate_jumps(_errors(spark, sf_dir), ["kind"], 6 * _HOUR, 1, 3.0)
+    return errors.rate_jumps(_errors(spark, sf_dir), ["project"], 6 * _HOUR, 1, 3.0)
 
 
 QUERIES["err_rate_jumps"] = err_rate_jumps
-ORACLES["err_rate_jumps"] = f"WITH e AS (SELECT epoch_ns(ts) AS ts, concat('E', user_id % 5) AS kind FROM events WHERE event_type = 'error'), c AS (SELECT kind, ts - ts % {6 * _HOUR} AS \"window\", count(*) AS current FROM e GROUP BY ALL) SELECT c.kind, c.\"window\", b.current AS baseline, c.current FROM c JOIN c b ON b.kind = c.kind AND b.\"window\" = c.\"window\" - {6 * _HOUR} WHERE b.current >= 1 AND c.current >= 3 * b.current"
+ORACLES["err_rate_jumps"] = f"WITH e AS (SELECT epoch_ns(ts) AS ts FROM events WHERE event_type = 'error'), c AS (SELECT ts - ts % {6 * _HOUR} AS \"window\", count(*) AS current FROM e GROUP BY ALL) SELECT 'shop' AS project, c.\"window\", b.current AS baseline, c.current FROM c JOIN c b ON b.\"window\" = c.\"window\" - {6 * _HOUR} WHERE b.current >= 1 AND c.current >= 3 * b.current"
 
 
 def reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
