@@ -27,6 +27,8 @@ from .common import cut, parts_for, table
 from .components import connected_components
 from .shingles import Shingler, set_key
 
+#: A set gives a row to each bucket in which it shares columns; with as many buckets as sets share columns, rows grow as the input does.
+LEAST_BUCKETS = 64
 PACK, BLOCK_ROWS, BLOCK_ENTRIES, COLUMNS = 2_000_000, 128, 150_000, 4096
 
 
@@ -123,7 +125,7 @@ def shared_columns(docs: DataFrame, buckets: int) -> DataFrame:
         order = np.argsort(k, kind="stable")
         h, k, n, df = h[order], k[order], n[order], df[order]
         at = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, np.int64)
-        end = np.r_[at[1:], len(k)]
+        end = np.r_[at[1:], len(k)][: len(at)]
         for low in range(0, max(len(at), 1), 50_000):
             spans = [*zip(at[low : low + 50_000].tolist(), end[low : low + 50_000].tolist(), strict=True)]
             part = at[low : low + 50_000]
@@ -259,7 +261,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     sets = cut(document_sets(docs))
     chars = docs.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    buckets = parts_for(spark, chars / 1e6, 14)
+    buckets = max(LEAST_BUCKETS, parts_for(spark, chars / 1e6, 14))
     rows = candidate_rows(shared_columns(docs, buckets))
     blocks = cut(row_blocks(rows, parts_for(spark, 0)))
     roots = connected_components(block_links(blocks))
