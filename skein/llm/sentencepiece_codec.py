@@ -65,7 +65,7 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
 class Codec:
     """Encoder and decoder of one BPE model, made from the bytes of its file."""
 
-    def __init__(self, model: bytes, remember: int = 600_000):
+    def __init__(self, model: bytes, remember: int = 250_000):
         self.pieces: list[str] = []
         self.scores: list[float] = []
         self.types: list[int] = []
@@ -127,7 +127,7 @@ class Codec:
         return parts
 
     def _stay_apart(self, left: str, right: str) -> bool:
-        if len(self.apart) > 1_000_000:
+        if len(self.apart) > 400_000:
             self.apart.clear()
         found = self.apart[left, right] = self.merge(left + right) == [left, right]
         return found
