@@ -1,6 +1,6 @@
 """LM scoring by a Katz backoff bigram model.
 
-Counts are discounted by Good-Turing up to a count of `K`; bigrams below `CUTOFF` count as unseen. What discounting frees of a
+Counts are discounted by Good-Turing up to a count of `K`, those of 1 too; no bigram is left out (`CUTOFF` is 1). What discounting frees of a
 context goes to its unseen tokens in proportion to the unigram distribution, by backoff weights that make each distribution sum
 to 1 over the vocabulary and one unknown token. Unknown tokens share what discounting frees of the unigrams.
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import cut, parts_for, shared_dir, table
 from .shingles import mixed
 
-K, CUTOFF, PACK_TOKENS = 5, 2, 800_000
+K, CUTOFF, PACK_TOKENS = 5, 1, 800_000
 BEGIN = -1  # context of the first token; no token itself
 END = b""  # the word of the end token: no word is empty
 
