@@ -1,8 +1,8 @@
 """Line dedup by a segment-partition edit join.
 
-A line goes if an earlier line (by doc_id, then place) of the input is equal or within `threshold` edits. Two lines within t
-edits share one of the t + 1 even segments of the shorter, at a place of the other that lengths restrict to a few offsets.
-So each line gives the hash of each segment under its own length, and of each substring that could be a segment of a line
+A line goes if an earlier line (by doc_id, then place) of the input is equal or within the edits that their length allows (or
+a flat `threshold`). Two lines within t edits share one of the t + 1 even segments of the shorter, at a place of the other
+that lengths restrict to a few offsets. So each line gives the hash of each segment under its own length, and of each substring that could be a segment of a line
 shorter by up to t; keys that only one distinct line has go in a partial aggregation, before anything is joined. Pairs that
 share a key are verified by the banded bit-parallel edit distance: a band of 2t + 1 bits moves along the diagonal.
 
@@ -16,12 +16,14 @@ from pyspark.sql import functions as F
 
 from .common import cut, let, table
 
-THRESHOLD, MIN_CHARS = 1, 20
+MIN_CHARS = 20
+#: Two lines are near within an edit for each CHARS_PER_EDIT characters of the shorter, at least LEAST and at most MOST: a changed word is.
+LEAST, MOST, CHARS_PER_EDIT = 2, 6, 10
 #: Rows of two longs that may be broadcast; beyond it the joins are shuffled.
 BROADCAST_ROWS = 1_000_000
 
 
-def segments(length: Column, i: int, threshold: int) -> tuple[Column, Column]:
+def segments(length: Column, i: Column, threshold: Column) -> tuple[Column, Column]:
     """Start (from 0) and size of the i-th of threshold + 1 even segments of a line; the last ones are longer by one if need be."""
     parts = threshold + 1
     base, longer = F.floor(length / parts), length % parts
@@ -29,21 +31,27 @@ def segments(length: Column, i: int, threshold: int) -> tuple[Column, Column]:
     return (i * base + before).cast("int"), (base + F.when(i >= parts - longer, 1).otherwise(0)).cast("int")
 
 
-def probe_keys(line: Column, length: Column, threshold: int = THRESHOLD) -> Column:
-    """Array of (key, index, probe): segments of the line itself, and substrings that may be a segment of a line shorter by d."""
-    out = []
-    for d in range(threshold + 1):
-        for i in range(threshold + 1):
-            start, size = segments(length - d, i, threshold)
-            for offset in range(max(-i, d - (threshold - i)), min(i, d + (threshold - i)) + 1):
-                at = start + offset
-                key = F.xxhash64((length - d).cast("int"), F.lit(i), F.substr(line, at + 1, size))
-                fits = (at >= 0) & (at + size <= length) & (size > 0)
-                out.append(F.when(fits, F.struct(key.alias("key"), F.lit(d == 0 and offset == 0).alias("index"), F.lit(True).alias("probe"))))
-    return F.filter(F.array(*out), lambda x: x.isNotNull())
+def edits_allowed(length: Column, threshold: int | None) -> Column:
+    """How many edits two lines may be apart, by the length of the shorter."""
+    return F.lit(threshold) if threshold is not None else F.least(F.lit(MOST), F.greatest(F.lit(LEAST), F.floor(length / CHARS_PER_EDIT))).cast("int")
 
 
-def banded_distance(longer: Column, shorter: Column, threshold: int = THRESHOLD) -> Column:
+def probe_keys(lines: DataFrame, threshold: int | None = None, min_chars: int = MIN_CHARS) -> DataFrame:
+    """h1, h2, key, index: the hash of each segment of a line itself (index), and of each substring that may be a segment of a line shorter by d."""
+    most = MOST if threshold is None else threshold
+    rows = [(t, d, i, o) for t in ([threshold] if threshold is not None else range(LEAST, MOST + 1)) for d in range(t + 1) for i in range(t + 1) for o in range(max(-i, d - (t - i)), min(i, d + (t - i)) + 1)]
+    # A line may be as long as one of a class above that of the shorter: each takes the probes of its own class and of the one below.
+    dealt = [(u, *r) for u in range(most + 1) for r in rows if u - 1 <= r[0] <= u]
+    probes = F.broadcast(lines.sparkSession.createDataFrame(dealt, "u int, t int, d int, i int, o int"))
+    out = lines.withColumn("u", edits_allowed(F.col("size"), threshold)).join(probes, "u")
+    out = out.withColumn("short", F.col("size") - F.col("d")).filter((F.col("short") >= min_chars) & (F.col("t") == edits_allowed(F.col("short"), threshold)))
+    start, size = segments(F.col("short"), F.col("i"), F.col("t"))
+    at = start + F.col("o")
+    out = out.filter((at >= 0) & (at + size <= F.col("size")) & (size > 0))
+    return out.select("h1", "h2", F.xxhash64(F.col("short").cast("int"), F.col("i"), F.substr("line", at + 1, size)).alias("key"), ((F.col("d") == 0) & (F.col("o") == 0)).alias("index"))
+
+
+def banded_distance(longer: Column, shorter: Column, threshold: int = MOST) -> Column:
     """The edit distance of two strings if it is at most threshold, else more than threshold; longer has the more characters.
 
     Bit k of a column's vectors is row j + k - threshold; the score follows the diagonal that ends in the last cell.
@@ -87,9 +95,9 @@ def banded_distance(longer: Column, shorter: Column, threshold: int = THRESHOLD)
 
 
 def may_be_near(x: Column, y: Column, threshold: int) -> Column:
-    """A cheap test that no pair within the threshold fails: all before one edit is equal, and all after it, to a quarter of the line."""
+    """A cheap test that no pair within the threshold fails; for one edit: all before it is equal, and all after it, to a quarter of the line."""
     if threshold != 1:
-        return F.lit(True)
+        return F.levenshtein(x, y, threshold) >= 0  # most pairs share one segment only, and verification is dear
     n = F.least(F.length(x), F.length(y))
     quarter = [F.floor(n * k / 4).cast("int") for k in range(4)]
     head = lambda k: F.left(x, quarter[k]) == F.left(y, quarter[k])
@@ -110,27 +118,30 @@ def _some(big: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
     return big.join(F.broadcast(small) if few else small, on, "left_semi")
 
 
-def line_links(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Pairs of distinct lines within threshold edits of each other: a1, a2, b1, b2 (their hashes), distance."""
-    lines = _lines(docs, min_chars)
-    keys = lines.select("h1", "h2", F.explode(probe_keys(F.col("line"), F.col("size"), threshold)).alias("k"))
-    shared = keys.groupBy("k.key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low <> high").select("key")
+def line_links(docs: DataFrame, threshold: int | None = None, min_chars: int = MIN_CHARS) -> DataFrame:
+    """Pairs of distinct lines within the edits allowed of each other: a1, a2, b1, b2 (their hashes), distance."""
+    most = MOST if threshold is None else threshold
+    lines = cut(_lines(docs, min_chars).groupBy("h1", "h2").agg(F.first("line").alias("line"), F.first("size").alias("size")))
+    keys = probe_keys(lines, threshold, min_chars)
+    shared = keys.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.max("index").alias("index")).filter("low <> high and index").select("key")
     shared = cut(shared)
-    contested = _some(keys.select("h1", "h2", "k.key", "k.index", "k.probe"), shared, ["key"]).dropDuplicates(["key", "index", "h1", "h2"])
+    contested = _some(keys, shared, ["key"]).groupBy("key", "h1", "h2").agg(F.max("index").alias("index"))
     contested = cut(contested)  # read for both sides of the join
     a = contested.filter("index").select("key", F.col("h1").alias("a1"), F.col("h2").alias("a2"))
     b = contested.select("key", F.col("index").alias("also"), F.col("h1").alias("b1"), F.col("h2").alias("b2"))
-    pairs = a.join(b, "key").filter("(a1 <> b1 or a2 <> b2) and (not also or a1 < b1 or (a1 = b1 and a2 < b2))").select("a1", "a2", "b1", "b2").distinct()
-    pairs = cut(pairs)
+    pairs = a.join(b, "key").filter("(a1 <> b1 or a2 <> b2) and (not also or a1 < b1 or (a1 = b1 and a2 < b2))")
+    one, two = (F.struct(F.col(f"{x}1").alias("h1"), F.col(f"{x}2").alias("h2")) for x in "ab")
+    pairs = cut(pairs.select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b")).selectExpr("a.h1 a1", "a.h2 a2", "b.h1 b1", "b.h2 b2").distinct())
     ends = pairs.select(F.col("a1").alias("h1"), F.col("a2").alias("h2")).union(pairs.select("b1", "b2")).distinct()
-    texts = _some(lines.select("h1", "h2", "line"), ends, ["h1", "h2"]).dropDuplicates(["h1", "h2"])
+    texts = _some(lines.select("h1", "h2", "line"), ends, ["h1", "h2"])
     both = pairs.join(texts.toDF("a1", "a2", "x"), ["a1", "a2"]).join(texts.toDF("b1", "b2", "y"), ["b1", "b2"])
-    both = both.filter(may_be_near(F.col("x"), F.col("y"), threshold))
+    both = both.filter(may_be_near(F.col("x"), F.col("y"), most))
     longer, shorter = F.when(F.length("x") >= F.length("y"), F.col("x")).otherwise(F.col("y")), F.when(F.length("x") >= F.length("y"), F.col("y")).otherwise(F.col("x"))
-    return both.withColumn("distance", banded_distance(longer, shorter, threshold)).filter(F.col("distance") <= threshold).select("a1", "a2", "b1", "b2", "distance")
+    near = F.col("distance") <= edits_allowed(F.least(F.length("x"), F.length("y")), threshold)
+    return both.withColumn("distance", banded_distance(longer, shorter, most)).filter(near).select("a1", "a2", "b1", "b2", "distance")
 
 
-def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, threshold: int | None = None, min_chars: int = MIN_CHARS) -> DataFrame:
     """The rows of docs with further columns n_lines, n_equal and n_near (lines that go because an earlier one is equal, or near) and kept_text.
 
     Lines shorter than min_chars stay. Null texts have no lines and stay null; empty ones have one, which stays. Lines are

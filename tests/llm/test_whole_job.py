@@ -1,7 +1,8 @@
 import math
+import random
 
 from pyspark.sql import functions as F
-from skein.llm import katz_lm
+from skein.llm import katz_lm, line_edit_join
 
 
 def test_katz_scores_a_bigram_that_training_saw_once_as_seen(spark):
@@ -30,3 +31,36 @@ def test_katz_scores_a_bigram_that_training_saw_once_as_seen(spark):
 
     assert pairs["e", "f"] == pairs["f", ""] == 1
     assert math.isclose(got[2], sum(math.log10(p(h, w)) for h, w in [(None, "e"), ("e", "f"), ("f", "")]), rel_tol=1e-9)
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_lines_with_a_changed_word_are_near(spark):
+    one = "Ening thheeaan. That ha thnt to of of nd inntble and so on it goes here."
+    docs = [(1, one), (2, one.replace("thnt to of", "thnt into of")), (3, one.replace("thheeaan", "thxxyyan")), (4, one.replace("nd inntble and so on", "of quite another kind"))]
+    out = {r.doc_id: r.n_near for r in line_edit_join.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert out == {1: 0, 2: 1, 3: 1, 4: 0}
+
+
+def test_lines_go_by_the_edits_their_length_allows(spark):
+    rng, rows = random.Random(11), []
+    base = ["".join(rng.choice("abcdefé ") for _ in range(rng.randint(20, 75))) for _ in range(40)]
+    for _ in range(220):
+        line = list(rng.choice(base))
+        for _ in range(rng.choice([0, 1, 2, 3, 4, 5, 6, 7])):
+            at = rng.randrange(len(line))
+            line[at : at + rng.choice([0, 1])] = rng.choice(["", "x", "y"])
+        rows.append("".join(line))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    out = {r.doc_id: (r.n_equal, r.n_near) for r in line_edit_join.dedup_lines(docs).collect()}
+    for i, line in enumerate(rows):
+        before = [] if len(line) < 20 else [o for o in rows[:i] if len(o) >= 20]
+        near = any(edits(line, o) <= min(6, max(2, min(len(line), len(o)) // 10)) for o in before)
+        assert out[i] == ((1, 0) if line in before else (0, int(near))), (i, line)
