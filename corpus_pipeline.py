@@ -14,7 +14,7 @@ from skein.llm.common import shared_dir
 from skein.llm.entropy_mix import mix_sources
 from skein.llm.jaccard_join import near_duplicates
 from skein.llm.language_id import UNDETERMINED, held_out_rows, predict_languages, train_network
-from skein.llm.line_edit_join import MIN_CHARS, dedup_lines
+from skein.llm.line_edit_join import dedup_lines
 from skein.llm.sentencepiece_codec import encode_texts, model_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -32,9 +32,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes lines that an earlier line equals or is near to, and documents that keep no line long enough to be judged: copies of others."""
-    out = dedup_lines(docs.select(*COLUMNS))
-    own = F.exists(F.split("kept_text", "\n"), lambda x: F.length(x) >= MIN_CHARS)
+    """Removes lines that an earlier line equals (of any length, if not blank) or is near to, and documents that had such lines and keep none of their own."""
+    out = dedup_lines(docs.select(*COLUMNS), equal_chars=1)
+    own = F.exists(F.split("kept_text", "\n"), lambda x: x.rlike(r"\S"))
     out = out.filter((F.col("n_equal") + F.col("n_near") == 0) | own)
     return out.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 

@@ -105,10 +105,10 @@ def may_be_near(x: Column, y: Column, threshold: int) -> Column:
     return head(3) | (head(2) & tail(3)) | (head(1) & tail(2)) | tail(1)
 
 
-def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """Lines of at least min_chars characters: doc_id, t (hash of the text), no, line, h1, h2, size."""
+def _lines(docs: DataFrame, min_chars: int, equal_chars: int | None = None) -> DataFrame:
+    """Lines of at least min_chars characters, and others that are not blank of at least equal_chars: doc_id, t (hash of the text), no, line, h1, h2, size."""
     out = docs.select("doc_id", F.xxhash64("text").alias("t"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    out = out.withColumn("size", F.length("line")).filter(F.col("size") >= min_chars)
+    out = out.withColumn("size", F.length("line")).filter((F.col("size") >= min_chars) | F.lit(equal_chars is not None) & (F.col("size") >= F.lit(equal_chars)) & F.col("line").rlike(r"\S"))
     return out.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64("line", F.lit(1)))
 
 
@@ -141,14 +141,15 @@ def line_links(docs: DataFrame, threshold: int | None = None, min_chars: int = M
     return both.withColumn("distance", banded_distance(longer, shorter, most)).filter(near).select("a1", "a2", "b1", "b2", "distance")
 
 
-def dedup_lines(docs: DataFrame, threshold: int | None = None, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, threshold: int | None = None, min_chars: int = MIN_CHARS, equal_chars: int | None = None) -> DataFrame:
     """The rows of docs with further columns n_lines, n_equal and n_near (lines that go because an earlier one is equal, or near) and kept_text.
 
-    Lines shorter than min_chars stay. Null texts have no lines and stay null; empty ones have one, which stays. Lines are
+    Lines shorter than min_chars are near to none; they stay, but those of equal_chars or more that are not blank and equal an
+    earlier line go, if it is given. Null texts have no lines and stay null; empty ones have one, which stays. Lines are
     judged on the input, not on what is left. Rows that repeat doc_id and text count as one row, and get the same result.
     """
     names = docs.columns
-    small = cut(_lines(docs, min_chars).select("doc_id", "t", "no", "h1", "h2"))
+    small = cut(_lines(docs, min_chars, equal_chars).select("doc_id", "t", "no", "h1", "h2"))
     firsts = small.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "no")).alias("first"))
     links = line_links(docs, threshold, min_chars)
     ends = links.join(firsts.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("first").alias("fa")), ["a1", "a2"]).join(firsts.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("first").alias("fb")), ["b1", "b2"])

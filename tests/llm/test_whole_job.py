@@ -1,6 +1,7 @@
 import math
 import random
 
+import corpus_pipeline
 from pyspark.sql import functions as F
 from skein.llm import katz_lm, line_edit_join
 
@@ -64,3 +65,14 @@ def test_lines_go_by_the_edits_their_length_allows(spark):
         before = [] if len(line) < 20 else [o for o in rows[:i] if len(o) >= 20]
         near = any(edits(line, o) <= min(6, max(2, min(len(line), len(o)) // 10)) for o in before)
         assert out[i] == ((1, 0) if line in before else (0, int(near))), (i, line)
+
+
+def pipeline_docs(spark, rows):
+    return spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_pipeline_keeps_documents_whose_own_lines_are_short(spark):
+    head = "A license line that many documents share."
+    docs = pipeline_docs(spark, [(1, head + "\nfirst", "s"), (2, head + "\nEn, de asja con.", "s"), (3, head + "\nfirst\n ", "s"), (4, head, "s"), (5, "first\nown", "s"), (6, "", "s")])
+    out = {r.doc_id: r.text for r in corpus_pipeline.remove_lines(spark, docs, "").collect()}
+    assert out == {1: head + "\nfirst", 2: "En, de asja con.", 5: "own", 6: ""}
