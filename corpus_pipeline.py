@@ -10,9 +10,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import shared_dir
+from skein.llm.common import cut, shared_dir
 from skein.llm.entropy_mix import mix_sources
-from skein.llm.jaccard_join import near_duplicates
+from skein.llm.jaccard_join import near_copies, text_key
 from skein.llm.language_id import UNDETERMINED, held_out_rows, predict_languages, train_network
 from skein.llm.line_edit_join import dedup_lines
 from skein.llm.sentencepiece_codec import encode_texts, model_path
@@ -20,7 +20,7 @@ from skein.llm.sentencepiece_codec import encode_texts, model_path
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document whose best language has less is rejected.
 LEAST_SCORE = 0.4
-#: Ids of removed documents that may be broadcast.
+#: Keys of removed documents that may be broadcast.
 BROADCAST_IDS = 1_000_000
 
 
@@ -40,10 +40,17 @@ def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near duplicates."""
-    gone = near_duplicates(docs.select("doc_id", "text")).filter("component_id <> doc_id").select("doc_id").distinct()
-    few = gone.count() <= BROADCAST_IDS
-    return docs.select(*COLUMNS).join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Keeps one row of each group of near duplicates: that with the smallest id (nulls last), then text hash, also where rows share an id."""
+    copies = cut(near_copies(docs.select("doc_id", "text")))
+    few = copies.count() <= BROADCAST_IDS
+    t1, t2 = text_key(F.col("text"))
+    rows = docs.select(*COLUMNS, t1.alias("__t1"), t2.alias("__t2"))
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("__t1") == F.col("t1")) & (F.col("__t2") == F.col("t2"))
+    whole = rows.join(F.broadcast(copies) if few else copies, same, "left_anti").select(*COLUMNS)
+    repeated = copies.filter("first")
+    repeated = rows.join(F.broadcast(repeated) if few else repeated, same, "left_semi")
+    one = repeated.groupBy("doc_id", "__t1", "__t2").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r")).select("doc_id", "r.*")
+    return whole.unionByName(one.select(*COLUMNS))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, parts_for, table
@@ -45,16 +45,23 @@ def linked(overlap, n1, n2):
     return 9 * overlap >= 4 * (n1 + n2)
 
 
-def document_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n (distinct shingles), cls (a key of the set)."""
+def document_sets(docs: DataFrame, keyed: bool = False) -> DataFrame:
+    """doc_id, n (distinct shingles), cls (a key of the set); with keyed also t1, t2 (hashes of the text)."""
+    hashes = ["t1", "t2"] if keyed else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in batches:
             sets = [shingler.shingles(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64())], ["doc_id", "n", "cls"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64()), *(batch.column(h) for h in hashes)], ["doc_id", "n", "cls", *hashes])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, cls long")
+    further = [c.alias(h) for c, h in zip(text_key(F.col("text")), hashes, strict=False)]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *further).mapInArrow(run, ", ".join(f"{c} long" for c in ["doc_id", "n", "cls", *hashes]))
+
+
+def text_key(text: Column) -> tuple[Column, Column]:
+    """Two hashes by which a text is known."""
+    return F.xxhash64(text), F.xxhash64(text, F.lit(1))
 
 
 def shared_columns(docs: DataFrame, buckets: int) -> DataFrame:
@@ -252,25 +259,42 @@ def block_links(blocks: DataFrame) -> DataFrame:
     return both.select("x", "y", "dx", "dy").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links of Jaccard similarity 0.8 or more over 5-word shingles).
-
-    Null, empty and blank texts have no shingle and form components of their own. Rows that repeat a doc_id are rows of their
-    own. Rows with a null doc_id take part; a component's id is the smallest that is not null.
-    """
+def near_groups(docs: DataFrame, keyed: bool = False) -> DataFrame:
+    """The columns of document_sets and g, a key of the component: those reachable by links of Jaccard similarity 0.8 or more over 5-word shingles."""
     spark = docs.sparkSession
-    sets = cut(document_sets(docs))
+    sets = cut(document_sets(docs, keyed))
     chars = docs.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     buckets = max(LEAST_BUCKETS, parts_for(spark, chars / 1e6, 14))
     rows = candidate_rows(shared_columns(docs, buckets))
     blocks = cut(row_blocks(rows, parts_for(spark, 0)))
     roots = connected_components(block_links(blocks))
-    keyed = sets.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("g", F.coalesce("root", "cls"))
+    return sets.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("g", F.coalesce("root", "cls"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id of its component).
+
+    Null, empty and blank texts have no shingle and form components of their own. Rows that repeat a doc_id are rows of their
+    own. Rows with a null doc_id take part; a component's id is the smallest that is not null.
+    """
+    keyed = near_groups(docs)
     least = keyed.filter("n > 0").groupBy("g").agg(F.min("doc_id").alias("least"))
     out = keyed.join(least, "g", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def near_copies(docs: DataFrame) -> DataFrame:
+    """d, t1, t2, first: the rows, by doc_id and hashes of the text, of which not all can stay.
+
+    The first row of a component, by doc_id (nulls last) and text, stays. Keys without first go; those with it are of several
+    rows with the same doc_id and text, and one of these stays. Texts without a shingle are in no component and never here.
+    """
+    keys = cut(near_groups(docs, True).filter("n > 0").groupBy("g", "doc_id", "t1", "t2").agg(F.count("*").alias("rows")))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2")
+    out = keys.join(keys.groupBy("g").agg(F.min(key).alias("least")), "g").withColumn("first", key.eqNullSafe(F.col("least")))
+    return out.filter("not first or rows > 1").select(F.col("doc_id").alias("d"), "t1", "t2", "first")
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 

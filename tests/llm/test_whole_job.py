@@ -76,3 +76,14 @@ def test_pipeline_keeps_documents_whose_own_lines_are_short(spark):
     docs = pipeline_docs(spark, [(1, head + "\nfirst", "s"), (2, head + "\nEn, de asja con.", "s"), (3, head + "\nfirst\n ", "s"), (4, head, "s"), (5, "first\nown", "s"), (6, "", "s")])
     out = {r.doc_id: r.text for r in corpus_pipeline.remove_lines(spark, docs, "").collect()}
     assert out == {1: head + "\nfirst", 2: "En, de asja con.", 5: "own", 6: ""}
+
+
+def test_pipeline_keeps_one_row_of_each_group_of_near_copies(spark):
+    words = [f"w{k}" for k in range(60)]
+    near, other, clean, third = " ".join(words), " ".join([*words[:-1], "x"]), "a clean text that shares its id with a copy", " ".join(words[::-1])
+    rows = [(1, near, "s"), (1, near, "s"), (1, other, "s"), (2, other, "s"), (2, clean, "s"), (None, near, "s"), (None, third, "s"), (None, third, "t"), (None, third + " y", "s"), (3, "", "s"), (3, "", "s"), (9, "the same row twice and more", "s"), (9, "the same row twice and more", None)]
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.remove_near_duplicates(spark, pipeline_docs(spark, rows), "").collect()]
+    ids = lambda *texts: [i for i, t in got if t in texts]
+    assert ids(near, other) == [1]
+    assert ids(clean) == [2] and ids(third, third + " y") == [None] and ids("the same row twice and more") == [9] and ids("") == [3, 3]
+    assert len(got) == 6
