@@ -54,10 +54,9 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats each document as often as the mix of sources takes it; the others go."""
-    copies = mix_sources(docs.select("doc_id", "source", "text")).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    taken = docs.select(*COLUMNS).join(copies, "doc_id")
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
+    """Repeats each row as often as the mix of sources takes it, whatever its doc_id (null too); the others go."""
+    taken = mix_sources(docs, carry=COLUMNS).filter("copies > 0")
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

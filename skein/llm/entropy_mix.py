@@ -50,14 +50,15 @@ def newton_rate(target: Column, size: Column, cap: float = CAP, steps: int = STE
     return F.when(share >= cap, F.lit(float(cap))).when(share <= 0, F.lit(0.0)).otherwise(rate(solved))
 
 
-def mix_sources(docs: DataFrame, cap: int = CAP, subs: int = SUBS) -> DataFrame:
-    """doc_id, source, size, source_size, target, rate, copies (0 to cap).
+def mix_sources(docs: DataFrame, cap: int = CAP, subs: int = SUBS, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target, rate, copies (0 to cap); with carry also row, a struct of those columns of docs.
 
     Null sources form one source, ranked last. Null and empty texts have size 0 and take 0 copies; sources without words have
     target 0. Equal documents are told apart by doc_id only: rows that repeat a doc_id within a class are ranked in any order
     and get the same number of copies in total.
     """
-    sized = docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"))
+    row = [F.struct(*carry).alias("row")] if carry else []
+    sized = docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), *row)
     sized = sized.withColumn("sub", F.pmod(F.xxhash64(F.col("doc_id")), F.lit(subs)))
     classes = cut(sized.groupBy("source", "size", "sub").agg(F.count("*").alias("n")))
     sources = classes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
@@ -88,7 +89,7 @@ def mix_sources(docs: DataFrame, cap: int = CAP, subs: int = SUBS) -> DataFrame:
     ranked = sized.withColumn("place", place).join(deal, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("sub") == F.col("b")), "left")
     k = F.col("before") + F.col("place")
     copies = F.floor(k * F.col("m") / F.col("n")) - F.floor((k - 1) * F.col("m") / F.col("n"))
-    return ranked.select("doc_id", "source", "size", "source_size", "target", "rate", copies.cast("long").alias("copies"))
+    return ranked.select("doc_id", "source", "size", "source_size", "target", "rate", copies.cast("long").alias("copies"), *(["row"] if carry else []))
 
 
 def _renamed(rates: DataFrame) -> DataFrame:

@@ -1,9 +1,10 @@
+import collections
 import math
 import random
 
 import corpus_pipeline
 from pyspark.sql import functions as F
-from skein.llm import katz_lm, line_edit_join
+from skein.llm import entropy_mix, katz_lm, line_edit_join
 
 
 def test_katz_scores_a_bigram_that_training_saw_once_as_seen(spark):
@@ -87,3 +88,18 @@ def test_pipeline_keeps_one_row_of_each_group_of_near_copies(spark):
     assert ids(near, other) == [1]
     assert ids(clean) == [2] and ids(third, third + " y") == [None] and ids("the same row twice and more") == [9] and ids("") == [3, 3]
     assert len(got) == 6
+
+
+def test_pipeline_mixes_rows_without_an_id(spark):
+    rows = [(None if k % 3 == 0 else k // 2, f"text {k} of some words", "a" if k % 2 else "b" if k % 4 else None) for k in range(48)]
+    docs = pipeline_docs(spark, rows)
+    out = corpus_pipeline.mix(spark, docs, "")
+    assert out.columns == corpus_pipeline.COLUMNS
+    got = collections.Counter(map(tuple, out.collect()))
+    assert set(got) <= set(map(tuple, docs.collect()))  # texts differ
+    by_source = collections.Counter()
+    for r, n in got.items():
+        by_source[r[3]] += 5 * n
+    targets = {r.source: (r.target, r.taken) for r in entropy_mix.mix_sources(docs).groupBy("source").agg(F.first("target").alias("target"), F.sum(F.col("copies") * F.col("size")).alias("taken")).collect()}
+    assert len(targets) == 3 and all(abs(target - by_source[s]) < 5 and taken == by_source[s] for s, (target, taken) in targets.items())
+    assert any(r[0] is None for r in got)
