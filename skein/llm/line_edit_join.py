@@ -167,7 +167,7 @@ def dedup_lines(docs: DataFrame, threshold: int | None = None, min_chars: int =
 
 
 def op5_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), equal_chars=1)
     return out.select("doc_id", "n_lines", "n_equal", "n_near", F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 

@@ -1,4 +1,5 @@
 import collections
+import hashlib
 import math
 import random
 
@@ -103,3 +104,11 @@ def test_pipeline_mixes_rows_without_an_id(spark):
     targets = {r.source: (r.target, r.taken) for r in entropy_mix.mix_sources(docs).groupBy("source").agg(F.first("target").alias("target"), F.sum(F.col("copies") * F.col("size")).alias("taken")).collect()}
     assert len(targets) == 3 and all(abs(target - by_source[s]) < 5 and taken == by_source[s] for s, (target, taken) in targets.items())
     assert any(r[0] is None for r in got)
+
+
+def test_short_lines_that_repeat_go(spark, tmp_path):
+    texts = [(1, "Les.\n\nown"), (2, "Les.\nLes!\n \n"), (3, "Les!\nA line of more than twenty signs.")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: (r.n_equal, r.n_near, r.kept_sha256) for r in line_edit_join.op5_line_edit_join(spark, str(tmp_path)).collect()}
+    kept = {1: (0, "Les.\n\nown"), 2: (1, "Les!\n \n"), 3: (1, "A line of more than twenty signs.")}
+    assert out == {i: (n, 0, hashlib.sha256(t.encode()).hexdigest()) for i, (n, t) in kept.items()}
