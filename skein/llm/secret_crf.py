@@ -11,7 +11,9 @@ path, and the runs of open tokens between are decoded together, all runs one pla
 
 from __future__ import annotations
 
+import heapq
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +36,8 @@ KEYWORDS = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key",
 B, I, O = 0, 1, 2
 N_SELF, N_FILE = 24, 6
 TRAIN_DOCS, TRAIN_LINES, LINE_TOKENS, STEPS = 1500, 2000, 48, 100
+#: Windows with and without a label that a document gives at most to the training sample.
+DOC_WINDOWS = 60
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -235,7 +239,7 @@ class Scanner:
             else:
                 out.append((m.start(), m.end()))
                 inside = True
-        return [(a, b) for a, b in out if b - a >= 8 and any(c.isdigit() for c in text[a:b])]
+        return out
 
     def scan(self, text: str | None) -> list[tuple[int, int, int]]:
         """(start, kind, end): the base spans and those of the field that touch none of them."""
@@ -266,7 +270,7 @@ def _apart(found: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> li
 
 
 def labelled_lines(text: str) -> Iterator[tuple[list[str], list[int], np.ndarray, bool]]:
-    """Tokens, tags and file features of the lines of a text, and whether the base patterns label any token."""
+    """Tokens, tags and file features of the lines of a text, long ones in windows of LINE_TOKENS tokens, and whether the base patterns label any token."""
     values = []
     for m in ASSIGN.finditer(text):
         if len(m[2]) >= LEAST["assign"]:
@@ -274,22 +278,48 @@ def labelled_lines(text: str) -> Iterator[tuple[list[str], list[int], np.ndarray
     values += [m.span() for m in ACCESS.finditer(text) if len(m[0]) >= LEAST["access"]] + [m.span() for m in HEX.finditer(text)]
     values.sort()
     features = file_features(text)
-    at = 0
+    at = v = 0
     for line in text.split("\n"):
-        mine = [(a - at, b - at) for a, b in values if at <= a < at + len(line)]
         tokens, tags, last = [], [], None
         for m in TOKEN.finditer(line):
-            hit = next((v for v in mine if v[0] < m.end() and m.start() < v[1]), None)
+            while v < len(values) and values[v][1] <= at + m.start():
+                v += 1
+            hit = values[v] if v < len(values) and values[v][0] < at + m.end() else None
             tokens.append(m[0])
             tags.append(O if hit is None else I if hit == last else B)
             last = hit
-        place = next((i for i, g in enumerate(tags) if g != O), 0)
-        low = max(0, place - LINE_TOKENS // 2)
-        if tokens:
-            yield tokens[low : low + LINE_TOKENS], tags[low : low + LINE_TOKENS], features, bool(mine)
+        begins = [i for i, g in enumerate(tags) if g == B]
+        low = k = 0
+        while low < len(tokens):
+            while k < len(begins) and begins[k] < low:
+                k += 1
+            if k < len(begins) and begins[k] - LINE_TOKENS // 2 < low + LINE_TOKENS:
+                low = max(low, begins[k] - LINE_TOKENS // 2)
+            part = tags[low : low + LINE_TOKENS]
+            yield tokens[low : low + LINE_TOKENS], part, features, any(g != O for g in part)
+            low += LINE_TOKENS
         at += len(line) + 1
 
 
+def training_windows(docs: DataFrame) -> DataFrame:
+    """From (h, text): h, no, tokens, tags, features, hit - up to DOC_WINDOWS windows of a text with a label and as many without, drawn by a hash over the whole text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.schema([("h", pa.int64()), ("no", pa.int32()), ("tokens", pa.list_(pa.string())), ("tags", pa.list_(pa.int32())), ("features", pa.list_(pa.float64())), ("hit", pa.bool_())])
+        for batch in batches:
+            for h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held: dict[bool, list] = {True: [], False: []}
+                for no, (tokens, tags, features, hit) in enumerate(labelled_lines(text)):
+                    # The DOC_WINDOWS with the least hashes, in a heap.
+                    entry = (-zlib.crc32(f"{h} {no}".encode()), no, {"h": h, "no": no, "tokens": tokens, "tags": tags, "features": features.tolist(), "hit": hit})
+                    (heapq.heappush if len(held[hit]) < DOC_WINDOWS else heapq.heappushpop)(held[hit], entry)
+                rows = sorted((e for part in held.values() for e in part), key=lambda e: e[1])
+                if rows:
+                    yield pa.RecordBatch.from_pylist([e[2] for e in rows], kinds)
+
+    return docs.select("h", "text").mapInArrow(run, "h long, no int, tokens array<string>, tags array<int>, features array<double>, hit boolean")
+
+
 _SIGNS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 
 
@@ -332,13 +362,10 @@ def train_field(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_lines: int
     counts = {r["hit"]: r["n"] for r in marked.groupBy("hit").agg(F.count("*").alias("n")).collect()}
     scale = 1 << 40
     share = {hit: int(scale * min(1.0, (train_docs if hit else train_docs // 3) / max(n, 1))) for hit, n in counts.items()}
-    near = F.filter(F.split("text", "\n"), lambda x: F.length(x) < 4000)
-    sample = marked.filter(F.pmod("h", F.lit(scale)) < F.when(F.col("hit"), F.lit(share.get(True, 0))).otherwise(F.lit(share.get(False, 0)))).select("h", F.array_join(F.slice(near, 1, 60), "\n").alias("text"))
-    texts = [r["text"] for r in sorted(sample.collect(), key=lambda r: (r["h"], r["text"]))]
+    sample = marked.filter(F.pmod("h", F.lit(scale)) < F.when(F.col("hit"), F.lit(share.get(True, 0))).otherwise(F.lit(share.get(False, 0)))).select("h", "text")
     hits, rest = [], []
-    for text in texts:
-        for tokens, tags, features, hit in labelled_lines(text):
-            (hits if hit else rest).append((tokens, tags, features))
+    for r in sorted(training_windows(sample).collect(), key=lambda r: (r["h"], r["no"], r["tokens"])):
+        (hits if r["hit"] else rest).append((r["tokens"], r["tags"], np.array(r["features"])))
     rng = np.random.default_rng(3)
     take = lambda a, n: [a[i] for i in sorted(rng.permutation(len(a))[:n])]
     hits, rest = take(hits, train_lines // 4), take(rest, train_lines // 4)

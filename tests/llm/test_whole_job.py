@@ -4,8 +4,9 @@ import math
 import random
 
 import corpus_pipeline
+import numpy as np
 from pyspark.sql import functions as F
-from skein.llm import entropy_mix, katz_lm, line_edit_join
+from skein.llm import entropy_mix, katz_lm, line_edit_join, secret_crf
 
 
 def test_katz_scores_a_bigram_that_training_saw_once_as_seen(spark):
@@ -112,3 +113,14 @@ def test_short_lines_that_repeat_go(spark, tmp_path):
     out = {r.doc_id: (r.n_equal, r.n_near, r.kept_sha256) for r in line_edit_join.op5_line_edit_join(spark, str(tmp_path)).collect()}
     kept = {1: (0, "Les.\n\nown"), 2: (1, "Les!\n \n"), 3: (1, "A line of more than twenty signs.")}
     assert out == {i: (n, 0, hashlib.sha256(t.encode()).hexdigest()) for i, (n, t) in kept.items()}
+
+
+def test_secret_field_learns_from_long_lines_and_decides_alone(spark):
+    line = "x " * 3000 + "api_key = 'sk{}Q2hf73Kd92mfK2lq0' " + "y " * 30
+    late = "some words\n" * 80 + "api_key = 'sk{}Q2hf73Kd92mfK2lq0'"
+    for text in (line, late):
+        docs = spark.createDataFrame([(i, text.format(i)) for i in range(40)], "id long, text string")
+        field = secret_crf.train_field(docs)
+        assert secret_crf.Scanner(field).scan("my key = sk_live4eC39HqLyjWDarjtT1zdp7dc") == [(9, 3, 40)]
+    field.viterbi = lambda e: np.array([secret_crf.O, secret_crf.B, secret_crf.O, secret_crf.B])
+    assert secret_crf.Scanner(field).scan("pwd correcthorse is abc") == [(4, 3, 16), (20, 3, 23)]
