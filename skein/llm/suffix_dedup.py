@@ -361,6 +361,27 @@ def _anchor_places(e: _Entries, at: np.ndarray) -> np.ndarray:
     return out
 
 
+def removed_runs(spans: list[np.ndarray], starts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, start and end of the maximal runs of bytes under spans (start, number of starts) in a block of documents that begin at starts."""
+    if not spans or not sum(map(len, spans)):
+        return (np.zeros(0, np.int64),) * 3
+    low, count = np.concatenate(spans).T
+    order = np.argsort(low, kind="stable")
+    low, high = low[order], (low + count + length - 1)[order]
+    doc = np.searchsorted(starts, low, "right") - 1
+    end = np.maximum.accumulate(high)  # spans never cross documents
+    new = np.r_[True, (low[1:] > end[:-1]) | (doc[1:] != doc[:-1])]
+    return doc[new], low[new], end[np.r_[new[1:], True]]
+
+
+def _without(raw: bytes, at: int, size: int, low: list[int], high: list[int]) -> tuple[int, int, int, bytes]:
+    """Size, removed bytes, runs and kept bytes of a document."""
+    if not low:
+        return size, 0, 0, raw[at : at + size]
+    kept = b"".join(raw[a:b] for a, b in zip([at, *high], [*low, at + size], strict=True))
+    return size, size - len(kept), len(low), kept
+
+
 def dedup_substrings(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary: the remaining bytes).
 
@@ -376,24 +397,13 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _rows(batch):
-                raw = np.frombuffer(_open(row["bytes"]), np.uint8)
-                sizes = np.frombuffer(row["sizes"], np.int64)
-                edge = np.zeros(len(raw) + 1, np.int64)
-                for s in row["spans"] or []:
-                    start, n = _numbers(s, np.int64).reshape(-1, 2).T
-                    np.add.at(edge, start, 1)
-                    np.add.at(edge, start + n + LENGTH - 1, -1)
-                gone = np.cumsum(edge[:-1]) > 0
-                ids, out = row["ids"], []
-                low = 0
-                for n in sizes.tolist():
-                    g = gone[low : low + n]
-                    starts = int(g[0]) + int((g[1:] & ~g[:-1]).sum()) if n else 0
-                    out.append((n, int(g.sum()), starts, raw[low : low + n][~g].tobytes()))
-                    low += n
-                for at in range(0, len(out), 256):
-                    part = out[at : at + 256]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 256], pa.int64()), *(pa.array([x[i] for x in part], pa.int64()) for i in range(3)), pa.array([x[3] for x in part], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+                raw, sizes = _open(row["bytes"]), np.frombuffer(row["sizes"], np.int64)
+                starts = np.cumsum(sizes) - sizes
+                doc, low, high = removed_runs([_numbers(s, np.int64).reshape(-1, 2) for s in row["spans"] or []], starts)
+                cuts = np.searchsorted(doc, np.arange(len(sizes) + 1))
+                for at in range(0, len(sizes), 256):
+                    part = [_without(raw, int(starts[i]), int(sizes[i]), low[cuts[i] : cuts[i + 1]].tolist(), high[cuts[i] : cuts[i + 1]].tolist()) for i in range(at, min(at + 256, len(sizes)))]
+                    yield pa.RecordBatch.from_arrays([pa.array(row["ids"][at : at + 256], pa.int64()), *(pa.array([x[i] for x in part], pa.int64()) for i in range(3)), pa.array([x[3] for x in part], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     return full.select("ids", "sizes", "bytes", "spans").mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
