@@ -13,15 +13,27 @@ from .plans.traceql import TracePlanner, parse
 
 
 class Engine:
-    def __init__(self, samples: DataFrame | None = None, logs: DataFrame | None = None, spans: DataFrame | None = None):
-        self.samples, self.logs, self.spans = samples, logs, spans
+    """minutes and hours are rollups of logs and samples; queries whose windows fall on them read those instead of the raw rows."""
+
+    def __init__(self, samples: DataFrame | None = None, logs: DataFrame | None = None, spans: DataFrame | None = None, minutes: DataFrame | None = None, hours: DataFrame | None = None):
+        self.samples, self.logs, self.spans, self.minutes, self.hours = samples, logs, spans, minutes, hours
+
+    def _metrics(self, start: int, end: int, step: int, lookback: int) -> MetricPlanner:
+        planner = MetricPlanner(self.samples, Grid(start, end, step), lookback)
+        planner.hours = self.hours
+        return planner
 
     def metric_query(self, query: str, start: int, end: int, step: int, lookback: int = LOOKBACK) -> DataFrame:
         """labels, step, value at start, start + step, ... end (ns)."""
-        return MetricPlanner(self.samples, Grid(start, end, step), lookback).run(query)
+        return self._metrics(start, end, step, lookback).run(query)
+
+    def metric_query_annotated(self, query: str, start: int, end: int, step: int, lookback: int = LOOKBACK) -> tuple[DataFrame, DataFrame]:
+        """The result, and its annotations (kind, message) as a second frame."""
+        planner = self._metrics(start, end, step, lookback)
+        return planner.run(query), planner.annotations()
 
     def log_query(self, query: str, start: int, end: int, step: int = 10**9, limit: int = 100, backward: bool = True) -> DataFrame:
-        return LogPlanner(self.logs, Grid(start, end, step)).run(query, limit, backward)
+        return LogPlanner(self.logs, Grid(start, end, step), self.minutes).run(query, limit, backward)
 
     def trace_search(self, query: str, start: int, end: int, limit: int = 20, spss: int = 3) -> DataFrame:
         return TracePlanner(self.spans).search(query, start, end, limit, spss)

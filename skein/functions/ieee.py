@@ -68,3 +68,29 @@ def interpolated(q: Column, ordered: Column) -> Column:
     weight = rank - low
     a, b = F.get(ordered, low), F.get(ordered, F.least(low + 1, n - 1))
     return F.when((n == 0) | F.isnan(q), nan()).when(q < 0, F.lit(-INF)).when(q > 1, F.lit(INF)).otherwise(a * (1 - weight) + b * weight)
+
+
+#: Bounds of magnitude classes that are summed apart, so that small numbers survive large ones that cancel; fixed values.
+_CLASSES = (2.0**-30, 2.0**40, 2.0**110)
+_SHRINK = 2.0**-128
+
+
+def _class_sums(v: Column) -> tuple[Column, list[Column]]:
+    """The sum of the largest class, shrunk so that it cannot overflow, and the sums of the others from large to small."""
+    size, zero = F.abs(v), F.lit(0.0)
+    big = F.sum(F.when((size >= _CLASSES[2]) | F.isnan(v), v * F.lit(_SHRINK)).otherwise(zero))
+    bounds = [0.0, *_CLASSES]
+    return big, [F.sum(F.when((size >= low) & (size < high), v).otherwise(zero)) for low, high in reversed(list(zip(bounds, bounds[1:], strict=False)))]
+
+
+def sum_of(v: Column) -> Column:
+    """Aggregate: the sum, where 1e100 + 1 - 1e100 is 1; partial sums combine as plain ones do."""
+    big, rest = _class_sums(v)
+    return big / F.lit(_SHRINK) + (rest[0] + (rest[1] + rest[2]))
+
+
+def mean_of(v: Column) -> Column:
+    """Aggregate: the mean, also where the sum is beyond the largest number."""
+    big, rest = _class_sums(v)
+    n = F.count(v)
+    return big / n / F.lit(_SHRINK) + (rest[0] + (rest[1] + rest[2])) / n

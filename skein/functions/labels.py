@@ -14,10 +14,26 @@ def no_labels() -> Column:
     return F.create_map().cast("map<string,string>")
 
 
+#: What separates names, values and labels in a canonical string, and how values spell these characters; fixed values.
+_ESCAPES = {"\x03": "\x03\x04", "\x01": "\x03\x05", "\x02": "\x03\x06"}
+
+
+def _escaped(value: Column) -> Column:
+    for char, spelled in _ESCAPES.items():
+        value = F.replace(value, F.lit(char), F.lit(spelled))
+    return value
+
+
+def _unescaped(value: Column) -> Column:
+    for char, spelled in reversed(_ESCAPES.items()):
+        value = F.replace(value, F.lit(spelled), F.lit(char))
+    return value
+
+
 def key_of(labels: Column) -> Column:
     """The same for equal sets; an empty value is an absent label."""
     pairs = F.filter(F.map_entries(labels), lambda e: e["value"] != "")
-    return F.array_join(F.array_sort(F.transform(pairs, lambda e: F.concat(e["key"], F.lit("\x01"), e["value"]))), "\x02")
+    return F.array_join(F.array_sort(F.transform(pairs, lambda e: F.concat(e["key"], F.lit("\x01"), _escaped(e["value"])))), "\x02")
 
 
 def keep(labels: Column, names: list[str]) -> Column:
@@ -70,4 +86,5 @@ def selects(labels: Column, name: str, op: str, operand: str) -> Column:
 
 def labels_of(key: Column) -> Column:
     """The label set of a canonical string. Grouping by the string and reading the set from it keeps maps out of aggregation buffers, which hash aggregation cannot hold."""
-    return F.when(key == "", no_labels()).otherwise(F.str_to_map(key, F.lit("\x02"), F.lit("\x01")))
+    read = F.str_to_map(key, F.lit("\x02"), F.lit("\x01"))
+    return F.when(key == "", no_labels()).when(F.contains(key, F.lit("\x03")), F.transform_values(read, lambda k, v: _unescaped(v))).otherwise(read)

@@ -120,16 +120,65 @@ def variance(h: Column) -> Column:
     return F.aggregate(buckets(h), F.lit(0.0), lambda a, b: a + b["n"] * F.pow(middle(b) - mean, F.lit(2.0))) / h["count"]
 
 
+def compacted(h: Column) -> Column:
+    """Without empty buckets."""
+    full = lambda m: F.map_filter(m, lambda k, v: v != 0)
+    return struct(h["schema"], h["zero_threshold"], h["zero_count"], h["count"], h["sum"], full(h["pos"]), full(h["neg"]))
+
+
+def equal(a: Column, b: Column) -> Column:
+    """Whether two histograms hold the same, empty buckets aside."""
+    x, y = compacted(a), compacted(b)
+    text = lambda m: F.to_json(F.array_sort(F.map_entries(m)))
+    same = (text(x["pos"]) == text(y["pos"])) & (text(x["neg"]) == text(y["neg"]))
+    for part in ("schema", "zero_threshold", "zero_count", "count", "sum"):
+        same = same & (x[part] == y[part])
+    return same
+
+
 def trimmed(h: Column, bound: Column, upper: bool = True) -> Column:
-    """Without the observations above (or below) a bound; a bucket across it keeps its interpolated share, the sum is estimated anew."""
-    share = lambda low, high, n: n * F.when(high <= bound, 1.0).when(low >= bound, 0.0).otherwise((bound - low) / (high - low))
-    kept = share if upper else lambda low, high, n: n - share(low, high, n)
-    pos = F.transform_values(h["pos"], lambda i, v: kept(_bound(i - 1, h["schema"]), _bound(i, h["schema"]), v))
-    neg = F.transform_values(h["neg"], lambda i, v: kept(-_bound(i, h["schema"]), -_bound(i - 1, h["schema"]), v))
-    zero = kept(-h["zero_threshold"], h["zero_threshold"], h["zero_count"])
-    total = lambda m: F.aggregate(F.map_values(m), F.lit(0.0), lambda a, v: a + v)
-    count = total(pos) + total(neg) + zero
-    return struct(h["schema"], h["zero_threshold"], zero, count, h["sum"] * ieee.div(count, h["count"]), pos, neg)
+    """Without the observations above (or below) a bound; nothing changes where none is.
+
+    A bucket across the bound keeps a share by its exponential scale, the zero bucket a linear one; the sum is estimated from
+    the middles of what stays (geometric, that of the zero bucket arithmetic).
+    """
+
+    def log(x: Column) -> Column:
+        return F.log2(F.greatest(F.abs(x), F.lit(5e-324)))
+
+    def side(m: Column, sign: int) -> Column:
+        """Entries (key, n, mid) of what stays."""
+
+        def one(e: Column) -> Column:
+            near, far = _bound(e["key"] - 1, h["schema"]), _bound(e["key"], h["schema"])
+            low, high = (near, far) if sign > 0 else (-far, -near)
+            across = (bound > low) & (bound < high)
+            part = (log(bound) - log(near)) / (log(far) - log(near))
+            below = F.when(bound <= low, 0.0).when(bound >= high, 1.0).otherwise(part if sign > 0 else 1 - part)
+            keep = e["value"] * (below if upper else 1 - below)
+            a, b = (F.lit(None).cast("double"), bound) if upper else (bound, F.lit(None).cast("double"))
+            a, b = F.when(across, F.coalesce(a, low)).otherwise(low), F.when(across, F.coalesce(b, high)).otherwise(high)
+            return F.struct(e["key"].alias("key"), keep.alias("n"), (F.sqrt(F.abs(a * b)) * sign).alias("mid"))
+
+        return F.transform(F.map_entries(m), one)
+
+    filled = lambda m: F.exists(F.map_values(m), lambda v: v != 0)
+    low = F.when(filled(h["pos"]) & ~filled(h["neg"]), F.lit(0.0)).otherwise(-h["zero_threshold"])
+    high = F.when(filled(h["neg"]) & ~filled(h["pos"]), F.lit(0.0)).otherwise(h["zero_threshold"])
+    below = F.when(bound <= low, 0.0).when(bound >= high, 1.0).otherwise((bound - low) / F.when(high > low, high - low))
+    zero = h["zero_count"] * (below if upper else 1 - below)
+    inside = (bound > low) & (bound < high)
+    middle = (F.when(inside & F.lit(not upper), bound).otherwise(low) + F.when(inside & F.lit(upper), bound).otherwise(high)) / 2
+
+    def run(p: Column) -> Column:
+        pos, neg = p["pos"], p["neg"]
+        total = lambda f: F.aggregate(F.concat(pos, neg), F.lit(0.0), lambda a, e: a + f(e))
+        count, value = total(lambda e: e["n"]) + zero, total(lambda e: e["n"] * e["mid"]) + F.when(zero > 0, zero * middle).otherwise(F.lit(0.0))
+        back = lambda m: F.map_from_entries(F.filter(F.transform(m, lambda e: F.struct(e["key"], e["n"].alias("value"))), lambda e: e["value"] != 0))
+        changed = (zero != h["zero_count"]) | F.exists(pos, lambda e: e["n"] != F.element_at(h["pos"], e["key"])) | F.exists(neg, lambda e: e["n"] != F.element_at(h["neg"], e["key"]))
+        return F.when(changed, struct(h["schema"], h["zero_threshold"], zero, count, value, back(pos), back(neg))).otherwise(struct(*[h[x] for x in ("schema", "zero_threshold", "zero_count", "count", "sum", "pos", "neg")]))
+
+    return F.transform(F.array(F.struct(side(h["pos"], 1).alias("pos"), side(h["neg"], -1).alias("neg"))), run)[0]
 
 
 def is_reset(now: Column, before: Column) -> Column:
@@ -152,18 +201,26 @@ def summed(vector: DataFrame, by: list[str], column: str = "h") -> DataFrame:
     return out.select(*by, struct(F.col("schema"), F.col("zero_threshold"), F.col("zero_count"), F.col("count"), F.col("sum"), F.coalesce("pos", none), F.coalesce("neg", none)).alias("h"))
 
 
-def increase(samples: DataFrame, grid: Grid, window: int, per_second: bool = False) -> DataFrame:
-    """key, step, h: what histograms (key, ts, h) gained in a window, stretched to its ends as a counter's gain is."""
-    series = Window.partitionBy("key").orderBy("ts")
-    near = samples.filter((F.col("ts") > grid.start - window) & (F.col("ts") <= grid.end)).withColumn("before", F.lag("h").over(series)).withColumn("before_ts", F.lag("ts").over(series))
-    gained = F.when(F.col("before").isNull(), F.lit(None)).when(is_reset(F.col("h"), F.col("before")), F.col("h")).otherwise(combined(F.col("h"), F.col("before"), -1))
+def increase(samples: DataFrame, grid: Grid, window: int, per_second: bool = False, counter: bool = True) -> DataFrame:
+    """key, step, h: what histograms (key, ts, h) gained in a window, stretched to its ends as a counter's gain is; without counter, last minus first."""
+    near = with_before(samples.filter((F.col("ts") > grid.start - window) & (F.col("ts") <= grid.end)))
+    whole = combined(F.col("h"), F.col("before"), -1)
+    gained = F.when(F.col("before").isNull(), F.lit(None)).when(F.lit(counter) & is_reset(F.col("h"), F.col("before")), F.col("h")).otherwise(whole)
     rows = grid.windows(near.withColumn("gain", gained), window)
-    spans = rows.groupBy("key", "step").agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"), F.count("*").alias("n")).filter("n > 1 and t1 > t0")
+    spans = rows.groupBy("key", "step").agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"), F.count("*").alias("n"), F.min_by(F.col("h.count"), F.col("ts")).alias("c0")).filter("n > 1 and t1 > t0")
     inside = rows.filter((F.col("before_ts") > F.col("step") - window) & F.col("gain").isNotNull()).select("key", "step", F.col("gain").alias("h"))
     total = summed(inside, ["key", "step"]).join(spans, ["key", "step"])
     span = (F.col("t1") - F.col("t0")) / F.lit(1e9)
     gap = span / (F.col("n") - 1)
     left, right = (F.col("t0") - (F.col("step") - window)) / F.lit(1e9), (F.col("step") - F.col("t1")) / F.lit(1e9)
     left, right = (F.when(x >= gap * 1.1, gap / 2).otherwise(x) for x in (left, right))
+    if counter:  # the count cannot have been below zero
+        left = F.when((F.col("h.count") > 0) & (F.col("c0") >= 0), F.least(left, span * F.col("c0") / F.when(F.col("h.count") > 0, F.col("h.count")).otherwise(F.lit(1.0)))).otherwise(left)
     factor = (span + left + right) / span / (window / 1e9 if per_second else 1.0)
-    return total.select("key", "step", scaled(F.col("h"), factor).alias("h"))
+    return total.select("key", "step", compacted(scaled(F.col("h"), factor)).alias("h"))
+
+
+def with_before(samples: DataFrame) -> DataFrame:
+    """Adds the histogram before each of a series, and its time."""
+    series = Window.partitionBy("key").orderBy("ts")
+    return samples.withColumn("before", F.lag("h").over(series)).withColumn("before_ts", F.lag("ts").over(series))

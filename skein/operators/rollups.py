@@ -6,15 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ieee
-from ..functions.labels import labels_of
+from ..functions.labels import key_of, labels_of
 from ..plans.grid import Grid
 
 MINUTE, HOUR = 60 * 10**9, 3600 * 10**9
+#: Range functions that the hour rollup answers.
+HOURLY = {"rate", "increase", "delta", "min_over_time", "max_over_time", "first_over_time", "last_over_time", "count_over_time", "present_over_time", "changes", "resets"}
 
 
-def log_minutes(logs: DataFrame) -> DataFrame:
-    """key, stream, minute (its end: minutes are open on the left), count, bytes."""
+def log_minutes(logs: DataFrame, with_meta: bool = False) -> DataFrame:
+    """key, stream, minute (its end: minutes are open on the left), count, bytes; with meta a row for each set of metadata too, so that queries can read it."""
     minute = F.col("ts") - 1 - F.pmod(F.col("ts") - 1, F.lit(MINUTE)) + MINUTE
+    if with_meta:
+        rows = logs.groupBy("key", key_of(F.col("meta")).alias("meta_key"), minute.alias("minute")).agg(F.count("*").alias("count"), F.sum(F.octet_length("line")).alias("bytes"))
+        return rows.select("key", labels_of(F.col("key")).alias("stream"), labels_of(F.col("meta_key")).alias("meta"), "minute", "count", "bytes")
     return logs.groupBy("key", minute.alias("minute")).agg(F.first("stream").alias("stream"), F.count("*").alias("count"), F.sum(F.octet_length("line")).alias("bytes"))
 
 

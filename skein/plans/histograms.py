@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ieee
+from ..functions import native_histogram as nh
 from ..functions.labels import NAME, drop, labels_of, put, rekeyed, value_of
+from . import native
 from .promql_parser import QueryError, Text
 
 
@@ -53,23 +55,51 @@ def share_below(x: Column, b: Column) -> Column:
     return F.when(broken, ieee.nan()).when(x == float("inf"), F.lit(1.0)).when(x == float("-inf"), F.lit(0.0)).otherwise(ieee.div(part, total))
 
 
+def _doubted(planner, vector: DataFrame) -> DataFrame:
+    """The vector; bounds that are no numbers are remarked."""
+    le = value_of(F.col("labels"), "le")
+    broken = native.floats(vector).filter(~le.isin("+Inf", "Inf", "inf", "+inf") & le.try_cast("double").isNull())
+    planner.doubt(broken, F.concat(F.lit('bucket label "le" is missing or has a malformed value of "'), le, F.lit('" for metric name "'), value_of(F.col("labels"), NAME), F.lit('"')))
+    return vector
+
+
+def _natives(vector: DataFrame) -> DataFrame | None:
+    return native.histograms(vector).select(drop(F.col("labels"), [NAME]).alias("labels"), "step", "h") if native.has_native(vector) else None
+
+
+def _quantiles(planner, vector: DataFrame, q) -> DataFrame:
+    """labels, key, step, value: a quantile of classic buckets and of native histograms."""
+    planner._quantile_doubt(q)
+    rows = planner._with_scalar(buckets_of(native.floats(_doubted(planner, vector))), q, "q")
+    out = rows.select("labels", "key", "step", quantile(F.col("q"), F.col("b")).alias("value"))
+    own = _natives(vector)
+    if own is None:
+        return out
+    own = rekeyed(planner._with_scalar(own, q, "q").select("labels", "step", nh.quantile(F.col("q"), F.col("h")).alias("value")))
+    return planner._unique(out.unionByName(own))
+
+
 def histogram_call(planner, name: str, args: tuple, grid) -> DataFrame:
     b = F.col("b")
     if name == "histogram_quantile":
-        rows = planner._with_scalar(buckets_of(planner.eval(args[1], grid)), planner.eval(args[0], grid), "q")
-        return rows.select("labels", "key", "step", quantile(F.col("q"), b).alias("value"))
+        return _quantiles(planner, planner.eval(args[1], grid), planner.eval(args[0], grid))
     if name == "histogram_fraction":
-        rows = buckets_of(planner.eval(args[2], grid))
-        rows = planner._with_scalar(planner._with_scalar(rows, planner.eval(args[0], grid), "x"), planner.eval(args[1], grid), "y")
+        vector = planner.eval(args[2], grid)
+        low, high = planner.eval(args[0], grid), planner.eval(args[1], grid)
+        rows = planner._with_scalar(planner._with_scalar(buckets_of(native.floats(_doubted(planner, vector))), low, "x"), high, "y")
         share = F.when(F.col("x") >= F.col("y"), F.lit(0.0)).otherwise(share_below(F.col("y"), b) - share_below(F.col("x"), b))
-        return rows.select("labels", "key", "step", share.alias("value"))
+        out, own = rows.select("labels", "key", "step", share.alias("value")), _natives(vector)
+        if own is None:
+            return out
+        own = planner._with_scalar(planner._with_scalar(own, low, "x"), high, "y")
+        return planner._unique(out.unionByName(rekeyed(own.select("labels", "step", nh.fraction(F.col("x"), F.col("y"), F.col("h")).alias("value")))))
     if not isinstance(args[1], Text):
         raise QueryError("histogram_quantiles needs a label name")
-    rows = buckets_of(planner.eval(args[0], grid))
+    vector = planner.eval(args[0], grid)
     out = None
     for a in args[2:]:
         q = planner.eval(a, grid)
-        part = planner._with_scalar(rows, q, "q")
-        part = rekeyed(part.select(put(F.col("labels"), args[1].value, F.lit(f"{q.constant:g}" if q.constant is not None else "")).alias("labels"), "step", quantile(F.col("q"), b).alias("value")))
+        part = _quantiles(planner, vector, q)
+        part = rekeyed(part.select(put(F.col("labels"), args[1].value, F.lit(f"{q.constant:g}" if q.constant is not None else "")).alias("labels"), "step", "value"))
         out = part if out is None else out.unionByName(part)
     return out

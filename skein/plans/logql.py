@@ -20,6 +20,7 @@ from ..functions import ieee
 from ..functions.labels import drop, java_regex, keep, key_of, labels_of, matches, no_labels, put, rekeyed, selects, value_of
 from ..functions.templates import compile_template
 from ..functions.units import bytes_of, seconds_of
+from ..operators import rollups
 from .grid import Grid
 from .logql_parser import LogQuery, RangeAggregate, parse
 from .promql import MetricPlanner, Scalar, arithmetic
@@ -135,9 +136,10 @@ def _first_of(pairs: Column) -> Column:
 class LogPlanner(MetricPlanner):
     """Translates queries over one logs table (stream, meta, key, ts, line)."""
 
-    def __init__(self, logs: DataFrame, grid: Grid):
+    def __init__(self, logs: DataFrame, grid: Grid, minutes: DataFrame | None = None):
+        """minutes: the minute rollup with metadata, which answers counts and bytes where windows begin and end on minutes."""
         super().__init__(logs, grid)
-        self.logs = logs
+        self.logs, self.minutes = logs, minutes
 
     def parse(self, query: str):
         return parse(query)
@@ -191,8 +193,7 @@ class LogPlanner(MetricPlanner):
         return rows.repartition(1).sortWithinPartitions(*order).mapInPandas(keep_apart, rows.schema)
 
     def pipeline(self, rows: DataFrame, stages: tuple) -> DataFrame:
-        meta = F.transform_keys("meta", lambda k, v: F.when(F.map_contains_key(F.col("stream"), k), F.concat(k, F.lit("_extracted"))).otherwise(k))
-        rows = rows.select("ts", "key", "stream", F.map_concat("stream", meta).alias("bag"), "line", F.lit(None).cast("string").alias("err"), F.col("line").alias("raw"))
+        rows = rows.select("ts", "key", "stream", self._bag().alias("bag"), "line", F.lit(None).cast("string").alias("err"), F.col("line").alias("raw"))
         for stage in stages:
             rows = getattr(self, f"_{stage[0]}")(rows, *stage[1:])
         return rows
@@ -350,6 +351,8 @@ class LogPlanner(MetricPlanner):
         return drop(F.col("labels"), list(node.names)) if node.without else keep(F.col("labels"), list(node.names))
 
     def range_aggregate(self, node: RangeAggregate, grid: Grid) -> DataFrame:
+        if self.minutes is not None and self._in_minutes(node, grid):
+            return self._minute_counts(node, grid)
         low = grid.start - node.window - node.offset + 1
         rows = self.entries(node.logs, low, grid.end - node.offset + 1).withColumn("ts", F.col("ts") + node.offset)
         if node.op == "absent_over_time":
@@ -373,7 +376,7 @@ class LogPlanner(MetricPlanner):
         record = F.struct("ts", "raw", "value") if node.unwrap else F.struct("ts")
         value = {
             "count_over_time": lambda: F.count("*").cast("double"), "bytes_over_time": lambda: size, "bytes_rate": lambda: size / seconds,
-            "rate": lambda: F.sum(v) / seconds if node.unwrap else F.count("*") / F.lit(seconds), "sum_over_time": lambda: F.sum(v), "avg_over_time": lambda: F.avg(v), "min_over_time": lambda: ieee.least_of(v), "max_over_time": lambda: ieee.most_of(v),
+            "rate": lambda: ieee.sum_of(v) / seconds if node.unwrap else F.count("*") / F.lit(seconds), "sum_over_time": lambda: ieee.sum_of(v), "avg_over_time": lambda: ieee.mean_of(v), "min_over_time": lambda: ieee.least_of(v), "max_over_time": lambda: ieee.most_of(v),
             "stddev_over_time": lambda: F.stddev_pop(v), "stdvar_over_time": lambda: F.var_pop(v), "first_over_time": lambda: F.min_by(v, record), "last_over_time": lambda: F.max_by(v, record),
             "quantile_over_time": lambda: ieee.interpolated(F.lit(node.param.value), F.array_sort(F.collect_list(v))),
             "approx_count_distinct": lambda: F.count_distinct(value_of(F.col("bag"), node.param.value)).cast("double"),
@@ -383,6 +386,30 @@ class LogPlanner(MetricPlanner):
         out = grid.windows(rows, node.window).groupBy("key", "step").agg(labels_of(F.col("key")).alias("labels"), value[node.op]().alias("value"))
         return out.select("labels", "key", "step", "value")
 
+    @staticmethod
+    def _in_minutes(node: RangeAggregate, grid: Grid) -> bool:
+        """Whether the minute rollup gives the same numbers: no stage reads lines, and all windows fall on minutes."""
+        fits = node.op in ("count_over_time", "rate", "bytes_over_time", "bytes_rate") and not node.unwrap and not node.logs.stages
+        return fits and not node.offset % rollups.MINUTE and rollups.eligible(grid, node.window)
+
+    def _minute_counts(self, node: RangeAggregate, grid: Grid) -> DataFrame:
+        rows = self.minutes
+        for name, op, value in node.logs.matchers:
+            rows = rows.filter(selects(F.col("stream"), name, op, value))
+        rows = grid.windows(rows.withColumn("ts", F.col("minute") + node.offset), node.window)
+        bag = self._bag()
+        if node.without is not None:
+            bag = drop(bag, list(node.names)) if node.without else keep(bag, list(node.names))
+        total = F.sum("bytes" if node.op.startswith("bytes") else "count").cast("double")
+        seconds = node.window / 1e9 if node.op.endswith("rate") else 1.0
+        out = rekeyed(rows.withColumn("labels", bag)).groupBy("key", "step").agg(labels_of(F.col("key")).alias("labels"), (total / seconds).alias("value"))
+        return out.select("labels", "key", "step", "value")
+
+    @staticmethod
+    def _bag() -> Column:
+        meta = F.transform_keys("meta", lambda k, v: F.when(F.map_contains_key(F.col("stream"), k), F.concat(k, F.lit("_extracted"))).otherwise(k))
+        return F.map_concat("stream", meta)
+
     def _counter_rate(self, rows: DataFrame, node: RangeAggregate, grid: Grid) -> DataFrame:
         """As the metric language's rate, but a single entry gives 0 and the ends are limited before the zero line is."""
         series = Window.partitionBy("key").orderBy("ts", "raw")
@@ -399,12 +426,10 @@ class LogPlanner(MetricPlanner):
         value = F.when((F.col("n") < 2) | (span <= 0), F.lit(0.0)).otherwise(gain * (span + left + right) / F.when(span > 0, span).otherwise(F.lit(1.0)) / (node.window / 1e9))
         return out.select("labels", "key", "step", value.alias("value"))
 
-    def binary(self, node, grid: Grid):
-        out = super().binary(node, grid)
-        if node.op != "/" or isinstance(out, Scalar):
-            return out
-        # Dividing by zero gives NaN here, never an infinity of finite numbers.
-        return out.withColumn("value", F.when(F.abs("value") == float("inf"), ieee.nan()).otherwise(F.col("value")))
+    def arithmetic(self, op: str, a: Column, b: Column) -> Column:
+        """Dividing by zero gives NaN here, never an infinity."""
+        out = arithmetic(op, a, b)
+        return F.when(b == 0, ieee.nan()).otherwise(out) if op == "/" else out
 
 
 def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:

@@ -14,11 +14,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ieee
+from ..functions.label_hash import label_hash
 from ..functions.labels import NAME, drop, java_regex, keep, key_of, labels_of, no_labels, put, rekeyed, selects, value_of
 from .grid import Grid
-from .promql_parser import Aggregate, Binary, Call, Negative, Number, QueryError, Selector, Subquery, Text, parse
+from . import native
+from .promql_parser import TRIMS, Aggregate, Binary, Call, Negative, Number, QueryError, Selector, Subquery, Text, parse, resolved
 
 LOOKBACK = 300 * 10**9
+#: The resolution of a subquery that names none.
+RESOLUTION = 60 * 10**9
+_COUNTERS = ("_total", "_sum", "_count", "_bucket")
 _COMPARE = {"==", "!=", ">", "<", ">=", "<="}
 _SETS = {"and", "or", "unless"}
 
@@ -53,8 +58,8 @@ def _points(n: int) -> Column:
 
 #: Functions of a window that a single aggregate gives; NaN and infinities behave as in IEEE arithmetic.
 SIMPLE: dict[str, Callable[[], Column]] = {
-    "sum_over_time": lambda: F.sum(_v()),
-    "avg_over_time": lambda: F.avg(_v()),
+    "sum_over_time": lambda: ieee.sum_of(_v()),
+    "avg_over_time": lambda: ieee.mean_of(_v()),
     "min_over_time": lambda: ieee.least_of(_v()),
     "max_over_time": lambda: ieee.most_of(_v()),
     "count_over_time": lambda: F.count(_v()).cast("double"),
@@ -116,16 +121,41 @@ class MetricPlanner:
     def __init__(self, samples: DataFrame, grid: Grid, lookback: int = LOOKBACK):
         self.samples, self.grid, self.lookback = samples, grid, lookback
         self.spark: SparkSession = samples.sparkSession
+        self.said: dict[tuple[str, str], None] = {}  # (kind, message) of what the query alone shows
+        self.doubts: list[DataFrame] = []  # frames (kind, message) of what only the data show
+        self.hours: DataFrame | None = None
 
     def run(self, query: str) -> DataFrame:
-        """labels, step (ns), value."""
+        """labels, step (ns), value; with a column h in the samples also h, a native histogram where value is null."""
         return self.result(parse(query))
 
     def result(self, node) -> DataFrame:
-        out = self.eval(node, self.grid)
+        out = self.eval(resolved(node, self.grid.step / 1e9, (self.grid.end - self.grid.start) / 1e9), self.grid)
         if isinstance(out, Scalar):
             out = self._vector(out, self.grid)
-        return out.select("labels", "step", "value")
+        return out.select("labels", "step", "value", *(["h"] if native.has_native(out) else []))
+
+    # -- annotations
+
+    def say(self, kind: str, message: str) -> None:
+        self.said[kind, message] = None
+
+    def doubt(self, rows: DataFrame, message: Column, kind: str = "warning") -> None:
+        self.doubts.append(rows.select(F.lit(kind).alias("kind"), message.alias("message")).distinct())
+
+    def annotations(self) -> DataFrame:
+        """kind (info or warning) and message for the queries run so far; a frame of its own, so that results stay lazy and whole."""
+        out = self.spark.createDataFrame(list(self.said), "kind string, message string")
+        for d in self.doubts:
+            out = out.unionByName(d)
+        return out.distinct()
+
+    def _quantile_doubt(self, q) -> None:
+        if isinstance(q, Scalar) and q.constant is not None and not 0 <= q.constant <= 1:
+            self.say("warning", f"quantile value should be between 0 and 1, got {q.constant:g}")
+
+    def arithmetic(self, op: str, a: Column, b: Column) -> Column:
+        return arithmetic(op, a, b)
 
     # -- nodes
 
@@ -134,7 +164,12 @@ class MetricPlanner:
             return Scalar(constant=node.value)
         if isinstance(node, Negative):
             inner = self.eval(node.inner, grid)
-            return self._map_scalar(inner, lambda v: -v) if isinstance(inner, Scalar) else self._mapped(inner, -_v())
+            if isinstance(inner, Scalar):
+                return self._map_scalar(inner, lambda v: -v)
+            if native.has_native(inner):
+                turned = native.histograms(inner).withColumn("h", native.nh.scaled(F.col("h"), F.lit(-1.0))).withColumn("labels", drop(F.col("labels"), [NAME]))
+                return native.both(self._mapped(inner, -_v()), rekeyed(turned))
+            return self._mapped(inner, -_v())
         if isinstance(node, Selector):
             if node.window:
                 raise QueryError("a range vector is no result")
@@ -175,9 +210,10 @@ class MetricPlanner:
         """The newest sample within the lookback; none if that is a stale marker."""
         own = self._pinned(node, grid)
         rows = own.windows(self.selected(node), self.lookback)
-        newest = rows.groupBy("key", "step").agg(labels_of(F.col("key")).alias("labels"), F.max_by(F.struct("value", "stale", "ts"), F.col("ts")).alias("s")).filter(~F.col("s.stale"))
+        also = ["h"] if native.has_native(rows) else []
+        newest = rows.groupBy("key", "step").agg(labels_of(F.col("key")).alias("labels"), F.max_by(F.struct("value", "stale", "ts", *also), F.col("ts")).alias("s")).filter(~F.col("s.stale"))
         value = _seconds(F.col("s.ts") - node.offset) if with_time else F.col("s.value")
-        return self._spread(newest.select("labels", "key", "step", value.alias("value")), node, grid)
+        return self._spread(newest.select("labels", "key", "step", value.alias("value"), *([] if with_time else [f"s.{c}" for c in also])), node, grid)
 
     # -- windows
 
@@ -187,19 +223,52 @@ class MetricPlanner:
         if isinstance(node, Selector):
             if not node.window:
                 raise QueryError("a range vector is needed")
-            return self.selected(node).filter(~F.col("stale")).select("labels", "key", "ts", "value"), node.window, own
+            rows = self.selected(node).filter(~F.col("stale"))
+            return rows.select("labels", "key", "ts", "value", *(["h"] if native.has_native(rows) else [])), node.window, own
         if isinstance(node, Subquery):
-            step = node.step or grid.step
+            step = node.step or RESOLUTION
             low, high = own.start - node.offset - node.window, own.end - node.offset
             first = low - low % step + step  # times are multiples of the resolution, after the window's open start
             inner = self.eval(node.inner, Grid(first, high, step))
             if isinstance(inner, Scalar):
                 inner = self._vector(inner, Grid(first, high, step))
-            return inner.select("labels", "key", (F.col("step") + node.offset).alias("ts"), "value"), node.window, own
+            return inner.select("labels", "key", (F.col("step") + node.offset).alias("ts"), "value", *(["h"] if native.has_native(inner) else [])), node.window, own
         raise QueryError("a range vector is needed")
 
     def over_time(self, name: str, node, grid: Grid, extra: list) -> DataFrame:
         rows, window, own = self._window_rows(node, grid)
+        if isinstance(node, Selector) and name in ("rate", "increase", "irate"):
+            named = [v for k, op, v in node.matchers if k == NAME and op == "="]
+            if named and not named[0].endswith(_COUNTERS):
+                self.say("info", f'metric might not be a counter, name does not end in _total/_sum/_count/_bucket: "{named[0]}"')
+        if name == "quantile_over_time":
+            self._quantile_doubt(extra[0])
+        hourly = self._from_hours(name, node, own, window)
+        if hourly is not None:
+            out = hourly
+        elif native.has_native(rows):
+            seen = own.windows(rows, window).groupBy("key", "step").agg(F.count("h").alias("nh"), F.count("*").alias("n")).filter("nh > 0 and nh < n")
+            if name in native.SUMMING:
+                self.doubt(seen, F.concat(F.lit('encountered a mix of histograms and floats for metric name "'), value_of(labels_of(F.col("key")), NAME), F.lit('"')))
+            out = native.windows(name, rows, window, own, lambda r: self._over_rows(name, r, window, own, extra, grid))
+        else:
+            out = self._over_rows(name, rows, window, own, extra, grid)
+        if name not in _KEEP_NAME:
+            out = out.withColumn("labels", drop(F.col("labels"), [NAME]))
+        return self._spread(rekeyed(out), node, grid)
+
+    def _from_hours(self, name: str, node, own: Grid, window: int) -> DataFrame | None:
+        """The function over the hour rollup, where there is one and all windows begin and end on hours."""
+        from ..operators import rollups
+
+        if self.hours is None or not isinstance(node, Selector) or name not in rollups.HOURLY or node.offset % rollups.HOUR or not rollups.eligible(own, window, rollups.HOUR):
+            return None
+        rows = self.hours
+        for label, op, value in node.matchers:
+            rows = rows.filter(selects(F.col("labels"), label, op, value))
+        return rollups.hours_over_time(rows.withColumn("hour", F.col("hour") + node.offset), name, own, window)
+
+    def _over_rows(self, name: str, rows: DataFrame, window: int, own: Grid, extra: list, grid: Grid) -> DataFrame:
         if name in _EXTRAPOLATED or name in _PAIRS:
             series = Window.partitionBy("key").orderBy("ts")
             near = rows.filter((F.col("ts") > own.start - window) & (F.col("ts") <= own.end))
@@ -232,9 +301,7 @@ class MetricPlanner:
             out = out.withColumn("m", _median(F.col("a"))).withColumn("value", _median(F.transform("a", lambda x: F.abs(x - F.col("m"))))).drop("a", "m")
         else:
             out = self._smoothed(grouped, extra)
-        if name not in _KEEP_NAME:
-            out = out.withColumn("labels", drop(F.col("labels"), [NAME]))
-        return self._spread(rekeyed(out), node, grid)
+        return out
 
     def _extrapolated(self, name: str, grouped, window: int) -> DataFrame:
         """The counter's gain, stretched to the window's ends unless they are far from the samples."""
@@ -295,6 +362,7 @@ class MetricPlanner:
         return Scalar(f(s.column)) if s.frame is None else Scalar(frame=s.frame.withColumn("value", f(_v())))
 
     def _mapped(self, vector: DataFrame, value: Column, keep_name: bool = False) -> DataFrame:
+        vector = native.floats(vector)
         labels = F.col("labels") if keep_name else drop(F.col("labels"), [NAME])
         return rekeyed(vector.select(labels.alias("labels"), "step", value.alias("value")))
 
@@ -333,7 +401,13 @@ class MetricPlanner:
 
             return histogram_call(self, name, args, grid)
         inner = self.eval(args[0], grid)
+        if name in native.PROPERTIES:
+            if not native.has_native(inner):
+                return self._mapped(inner, _v()).filter(F.lit(False))
+            read = native.histograms(inner).withColumn("value", native.PROPERTIES[name](F.col("h"))).drop("h")
+            return self._mapped(read, _v())
         if name == "scalar":
+            inner = native.floats(inner)
             one = inner.groupBy("step").agg(F.count("*").alias("n"), F.first("value").alias("v"))
             steps = grid.frame(self.spark).join(one, "step", "left")
             return Scalar(frame=steps.select("step", F.when(F.col("n") == 1, F.col("v")).otherwise(ieee.nan()).alias("value")))
@@ -342,7 +416,11 @@ class MetricPlanner:
         if name == "absent":
             return self._absent(inner, args[0], grid)
         if name == "timestamp":
-            return self._mapped(inner, _seconds(F.col("step")))
+            return self._mapped(inner.drop("h"), _seconds(F.col("step")))
+        if name in ("sort", "sort_desc", "sort_by_label", "sort_by_label_desc") and grid.count > 1:
+            self.say("warning", "sort is ineffective for range queries since results are always ordered by labels")
+        if not name.startswith("sort_by_label"):
+            inner = native.floats(inner)
         if name in MATH:
             return self._mapped(inner, MATH[name](_v()))
         extra = [self.eval(a, grid) for a in args[1:] if not isinstance(a, Text)]
@@ -388,13 +466,13 @@ class MetricPlanner:
             with_groups = re.sub(r"\$\{(\w+)\}", lambda m: f"${m[1]}" if m[1].isdigit() else m[0], replacement.replace("$$", "\\$"))
             given = value_of(labels, source)
             new = F.when(given.rlike(whole), put(labels, target, F.regexp_replace(given, whole, with_groups))).otherwise(labels)
-        return self._unique(rekeyed(vector.select(new.alias("labels"), "step", "value")))
+        return self._unique(rekeyed(vector.select(new.alias("labels"), "step", *[c for c in vector.columns if c in ("value", "h")])))
 
     def _unique(self, vector: DataFrame) -> DataFrame:
         """Series that now have the same labels merge where they have no step in common, else the query fails."""
-        merged = vector.groupBy("key", "step").agg(labels_of(F.col("key")).alias("labels"), F.first("value").alias("v"), F.count("*").alias("n"))
+        merged = vector.groupBy("key", "step").agg(labels_of(F.col("key")).alias("labels"), F.first("value").alias("v"), F.count("*").alias("n"), *([F.first("h").alias("h")] if native.has_native(vector) else []))
         value = F.when(F.col("n") > 1, F.raise_error(F.lit("several series have the same labels")).cast("double")).otherwise(F.col("v"))
-        return merged.select("labels", "key", "step", value.alias("value"))
+        return merged.select("labels", "key", "step", value.alias("value"), *(["h"] if native.has_native(vector) else []))
 
     # -- aggregation
 
@@ -408,14 +486,36 @@ class MetricPlanner:
             raise QueryError(f"{node.op} takes a vector")
         group = self.group_labels(node)
         if node.op in ("topk", "bottomk", "limitk", "limit_ratio"):
-            rows = self._with_scalar(inner, self.eval(node.param, grid), "k").withColumn("group", key_of(group))
-            share = F.pmod(F.xxhash64("key").cast("decimal(20,0)"), F.lit(1 << 32).cast("decimal(20,0)")).cast("double") / float(1 << 32)
+            k = self.eval(node.param, grid)
+            if node.op == "limit_ratio" and isinstance(k, Scalar) and k.constant is not None and abs(k.constant) > 1:
+                self.say("warning", f"ratio value should be between -1 and 1, got {k.constant:g}, capping to {max(-1.0, min(1.0, k.constant)):g}")
+            if node.op in ("topk", "bottomk") and native.has_native(inner):
+                inner = native.floats(inner)
+                self.say("info", f"ignored histogram in {node.op} aggregation")
+            rows = self._with_scalar(inner, k, "k").withColumn("group", key_of(group))
+            if node.op in ("limitk", "limit_ratio"):
+                rows = rows.withColumn("hash", label_hash(F.col("labels")))
             if node.op == "limit_ratio":
+                share = F.conv("hash", 16, 10).cast("double") / float(1 << 64)
                 kept = rows.filter(F.when(F.col("k") >= 0, share < F.col("k")).otherwise(share >= 1 + F.col("k")))
             else:
-                order = {"topk": [F.isnan(_v()), _v().desc(), "key"], "bottomk": [F.isnan(_v()), _v().asc(), "key"], "limitk": [F.xxhash64("key"), "key"]}[node.op]
-                kept = rows.withColumn("rank", F.row_number().over(Window.partitionBy("step", "group").orderBy(*order))).filter(F.col("rank") <= F.col("k"))
-            return kept.select("labels", "key", "step", "value")
+                order = {"topk": [F.isnan(_v()), _v().desc(), "key"], "bottomk": [F.isnan(_v()), _v().asc(), "key"], "limitk": ["hash", "key"]}[node.op]
+                kept = rows.withColumn("rank", F.row_number().over(Window.partitionBy("step", "group").orderBy(*order))).filter(F.col("rank") <= F.floor("k"))
+            return kept.select("labels", "key", "step", *[c for c in kept.columns if c in ("value", "h")])
+        if native.has_native(inner):
+            if node.op in ("sum", "avg"):
+                rows = rekeyed(inner.select("step", group.alias("labels"), "value", "h"))
+                mixed = rows.groupBy("key", "step").agg(F.count("h").alias("nh"), F.count("*").alias("n")).filter("nh > 0 and nh < n")
+                self.doubt(mixed, F.lit("encountered a mix of histograms and floats for aggregation"))
+                return native.aggregated(node.op, rows, self._aggregated(node, native.floats(inner), group, grid))
+            if node.op in ("count", "group"):
+                inner = inner.withColumn("value", F.coalesce("value", F.lit(0.0))).drop("h")
+            else:
+                inner = native.floats(inner)
+                self.say("info", f"ignored histogram in {node.op} aggregation")
+        return self._aggregated(node, inner, group, grid)
+
+    def _aggregated(self, node: Aggregate, inner: DataFrame, group: Column, grid: Grid) -> DataFrame:
         rows = inner.select("step", group.alias("labels"), "value")
         if node.op == "count_values":
             rows = rows.withColumn("labels", put(F.col("labels"), node.param.value, format_value(_v()))).withColumn("value", F.lit(1.0))
@@ -423,9 +523,11 @@ class MetricPlanner:
         rows = rekeyed(rows).groupBy("key", "step")
         labels = labels_of(F.col("key")).alias("labels")
         if node.op == "quantile":
-            out = self._with_scalar(rows.agg(labels, F.array_sort(F.collect_list(_v())).alias("a")), self.eval(node.param, grid), "q")
+            q = self.eval(node.param, grid)
+            self._quantile_doubt(q)
+            out = self._with_scalar(rows.agg(labels, F.array_sort(F.collect_list(_v())).alias("a")), q, "q")
             return out.select("labels", "key", "step", ieee.interpolated(F.col("q"), F.col("a")).alias("value"))
-        simple = {"sum": F.sum(_v()), "avg": F.avg(_v()), "min": ieee.least_of(_v()), "max": ieee.most_of(_v()), "count": F.count(_v()).cast("double"), "group": F.max(F.lit(1.0)), "stddev": F.stddev_pop(_v()), "stdvar": F.var_pop(_v())}
+        simple = {"sum": ieee.sum_of(_v()), "avg": ieee.mean_of(_v()), "min": ieee.least_of(_v()), "max": ieee.most_of(_v()), "count": F.count(_v()).cast("double"), "group": F.max(F.lit(1.0)), "stddev": F.stddev_pop(_v()), "stdvar": F.var_pop(_v())}
         return rows.agg(labels, simple[node.op].alias("value")).select("labels", "key", "step", "value")
 
     # -- operators
@@ -434,24 +536,38 @@ class MetricPlanner:
         left, right = self.eval(node.left, grid), self.eval(node.right, grid)
         op, compares = node.op, node.op in _COMPARE
         if isinstance(left, Scalar) and isinstance(right, Scalar):
-            if op in _SETS or compares and not node.is_bool:
+            if op in _SETS or op in TRIMS or compares and not node.is_bool:
                 raise QueryError(f"{op} between scalars")
             if left.frame is None and right.frame is None:
-                out = arithmetic(op, left.column.cast("double"), right.column.cast("double"))
+                out = self.arithmetic(op, left.column.cast("double"), right.column.cast("double"))
                 return Scalar(out.cast("double"))
             rows = self._with_scalar(self._with_scalar(grid.frame(self.spark), left, "l"), right, "r")
-            return Scalar(frame=rows.select("step", arithmetic(op, F.col("l"), F.col("r")).cast("double").alias("value")))
+            return Scalar(frame=rows.select("step", self.arithmetic(op, F.col("l"), F.col("r")).cast("double").alias("value")))
         if isinstance(left, Scalar) or isinstance(right, Scalar):
             if op in _SETS:
                 raise QueryError(f"{op} needs vectors")
             vector, scalar = (right, left) if isinstance(left, Scalar) else (left, right)
             rows = self._with_scalar(vector, scalar, "s")
             a, b = (F.col("s"), _v()) if vector is right else (_v(), F.col("s"))
-            if compares and not node.is_bool:
-                return rows.filter(arithmetic(op, a, b)).select("labels", "key", "step", "value")
-            return self._mapped(rows, arithmetic(op, a, b).cast("double"))
+            if native.has_native(rows):
+                none = F.lit(None).cast(native.nh.TYPE)
+                x, y = ((F.col("s"), none), (_v(), F.col("h"))) if vector is right else ((_v(), F.col("h")), (F.col("s"), none))
+                hit, value, h = native.paired(op, x, y, node.is_bool)
+                found = native.histograms(rows).filter(hit).select((F.col("labels") if op in TRIMS else drop(F.col("labels"), [NAME])).alias("labels"), "step", value.alias("value"), h.alias("h"))
+                rest = native.floats(vector)
+                numbers = rest.limit(0) if op in TRIMS else self._scalar_pairs(node, native.floats(rows), a, b)
+                return native.both(numbers, rekeyed(found))
+            if op in TRIMS:
+                return rows.filter(F.lit(False)).select("labels", "key", "step", "value")
+            return self._scalar_pairs(node, rows, a, b)
         return self._matched(node, left, right)
 
+    def _scalar_pairs(self, node: Binary, rows: DataFrame, a: Column, b: Column) -> DataFrame:
+        value = self.arithmetic(node.op, a, b)
+        if node.op in _COMPARE and not node.is_bool:
+            return rows.filter(value).select("labels", "key", "step", "value")
+        return self._mapped(rows, value.cast("double"))
+
     def _matched(self, node: Binary, left: DataFrame, right: DataFrame) -> DataFrame:
         m, op = node.matching, node.op
         signature = key_of(keep(F.col("labels"), list(m.names)) if m.on else drop(F.col("labels"), [*m.names, NAME]))
@@ -460,25 +576,37 @@ class MetricPlanner:
             other = right.select("step", "sig").distinct()
             if op == "or":
                 extra = right.join(left.select("step", "sig").distinct(), ["step", "sig"], "left_anti")
-                return left.select("labels", "key", "step", "value").unionByName(extra.select("labels", "key", "step", "value"))
-            return left.join(other, ["step", "sig"], "left_semi" if op == "and" else "left_anti").select("labels", "key", "step", "value")
+                return left.drop("sig").unionByName(extra.drop("sig"), allowMissingColumns=True)
+            return left.join(other, ["step", "sig"], "left_semi" if op == "and" else "left_anti").drop("sig")
         swapped = m.side == "right"
         many, one = (right, left) if swapped else (left, right)
+        with_h = native.has_native(left) or native.has_native(right)
+        if with_h:
+            many, one = (x if native.has_native(x) else x.withColumn("h", F.lit(None).cast(native.nh.TYPE)) for x in (many, one))
+        elif op in TRIMS:
+            return left.filter(F.lit(False)).select("labels", "key", "step", "value")
         # The one side must be unique for each signature and step; so must the other without grouping.
-        lone = one.groupBy("step", "sig").agg(F.first("labels").alias("ol"), F.first("value").alias("ov"), F.count("*").alias("n"))
+        lone = one.groupBy("step", "sig").agg(F.first("labels").alias("ol"), F.first("value").alias("ov"), F.count("*").alias("n"), *([F.first("h").alias("oh")] if with_h else []))
         lone = lone.withColumn("ov", F.when(F.col("n") > 1, F.raise_error(F.lit("many-to-many matching: labels must be unique on one side")).cast("double")).otherwise(F.col("ov"))).drop("n")
         rows = many.join(lone, ["step", "sig"])
         a, b = (F.col("ov"), _v()) if swapped else (_v(), F.col("ov"))
-        value = arithmetic(op, a, b)
+        value = F.lit(None).cast("double") if op in TRIMS else self.arithmetic(op, a, b)
         compares = op in _COMPARE and not node.is_bool
-        if compares:
-            rows, value = rows.filter(value), a
-        labels = F.col("labels") if compares else drop(F.col("labels"), [NAME])
+        keeps, h = (value if compares else F.lit(True)), []
+        value = a if compares else value.cast("double")
+        if with_h:
+            x, y = ((F.col("ov"), F.col("oh")), (_v(), F.col("h"))) if swapped else ((_v(), F.col("h")), (F.col("ov"), F.col("oh")))
+            either = F.col("h").isNotNull() | F.col("oh").isNotNull()
+            hit, number, total = native.paired(op, x, y, node.is_bool)
+            keeps = F.when(either, hit).otherwise(F.lit(False) if op in TRIMS else keeps)
+            value, h = F.when(either, number).otherwise(value), [F.when(either, total).alias("h")]
+        rows = rows.filter(keeps)
+        labels = F.col("labels") if compares or op in TRIMS else drop(F.col("labels"), [NAME])
         if not m.side:
             labels = keep(labels, list(m.names)) if m.on else drop(labels, list(m.names)) if m.names else labels
         for name in m.include:
             labels = put(labels, name, value_of(F.col("ol"), name))
-        return self._unique(rekeyed(rows.select(labels.alias("labels"), "step", value.cast("double").alias("value"))))
+        return self._unique(rekeyed(rows.select(labels.alias("labels"), "step", value.alias("value"), *h)))
 
 
 def format_value(v: Column) -> Column:
