@@ -9,7 +9,7 @@ from .plans.logql import LogPlanner
 from .plans.promql import LOOKBACK, MetricPlanner
 from .plans.promql_parser import format_query
 from .plans.promql_parser import parse as parse_metric_query
-from .plans.traceql import TracePlanner, parse
+from .plans.traceql import TracePlanner, metric_window, parse
 
 
 class Engine:
@@ -41,8 +41,9 @@ class Engine:
     def trace_spans(self, query: str) -> DataFrame:
         return TracePlanner(self.spans).select(parse(query))
 
-    def trace_metrics(self, query: str, start: int, end: int, step: int) -> DataFrame:
-        return TracePlanner(self.spans).metrics(query, Grid(start, end, step))
+    def trace_metrics(self, query: str, start: int, end: int, step: int | None = None) -> DataFrame:
+        """On the window aligned to the step; without one, about 240 points."""
+        return TracePlanner(self.spans).metrics(query, metric_window(start, end, step))
 
     @staticmethod
     def format(query: str) -> str:

@@ -1,4 +1,4 @@
-"""Line and label templates as columns: text, fields, pipelines of functions, if and with. Loops are not supported."""
+"""Line and label templates as columns: text, fields, pipelines of functions, if and with. Loops and values that are no text go to `template_loops`."""
 
 from __future__ import annotations
 
@@ -65,6 +65,14 @@ def _title(s: Column) -> Column:
     return F.array_join(F.transform(F.split(s, " "), lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.substring(w, 2, 1 << 30))), " ")
 
 
+def _rounded(v: Column, places: Column, threshold: Column | None = None) -> Column:
+    """To a number of places; up where the fraction of the last one reaches the threshold."""
+    power = F.pow(F.lit(10.0), _int(places))
+    digit = _float(v) * power
+    part = digit - F.when(digit < 0, F.ceil(digit)).otherwise(F.floor(digit))
+    return F.when(part >= (F.lit(0.5) if threshold is None else threshold), F.ceil(digit)).otherwise(F.floor(digit)).cast("double") / power
+
+
 #: Functions by name; the piped value comes last.
 FUNCTIONS: dict[str, Callable[..., Column]] = {
     "upper": F.upper, "ToUpper": F.upper, "lower": F.lower, "ToLower": F.lower, "title": _title,
@@ -72,7 +80,7 @@ FUNCTIONS: dict[str, Callable[..., Column]] = {
     "trimAll": lambda cut, s: F.btrim(s, cut), "Trim": lambda s, cut: F.btrim(s, cut), "TrimLeft": lambda s, cut: F.ltrim(s, cut), "TrimRight": lambda s, cut: F.rtrim(s, cut),
     "trimPrefix": lambda p, s: F.when(F.startswith(s, p), F.substr(s, F.length(p) + 1)).otherwise(s), "TrimPrefix": lambda s, p: F.when(F.startswith(s, p), F.substr(s, F.length(p) + 1)).otherwise(s),
     "trimSuffix": lambda p, s: F.when(F.endswith(s, p), F.left(s, F.length(s) - F.length(p))).otherwise(s), "TrimSuffix": lambda s, p: F.when(F.endswith(s, p), F.left(s, F.length(s) - F.length(p))).otherwise(s),
-    "replace": lambda a, b, s: F.replace(s, a, b), "Replace": lambda s, a, b, n: F.when(_int(n) < 0, F.replace(s, a, b)).otherwise(F.regexp_replace(s, F.concat(F.lit("^(?s)(.*?)"), _quote(a)), F.concat(F.lit("$1"), b))),
+    "replace": lambda a, b, s: F.replace(s, a, b), "Replace": lambda s, a, b, n: F.when(_int(n) < 0, F.replace(s, a, b)).otherwise(F.call_function("array_join", F.split(s, _quote(a), (_int(n) + 1).cast("int")), b)),
     "repeat": lambda n, s: F.repeat(s, _int(n).cast("int")), "indent": lambda n, s: F.concat(F.repeat(F.lit(" "), _int(n).cast("int")), F.replace(s, F.lit("\n"), F.concat(F.lit("\n"), F.repeat(F.lit(" "), _int(n).cast("int"))))),
     "nindent": lambda n, s: F.concat(F.lit("\n"), F.repeat(F.lit(" "), _int(n).cast("int")), F.replace(s, F.lit("\n"), F.concat(F.lit("\n"), F.repeat(F.lit(" "), _int(n).cast("int"))))),
     "alignLeft": _pad_right, "alignRight": _pad_left, "trunc": _trunc, "substr": lambda a, b, s: F.substr(s, (_int(a) + 1).cast("int"), F.when(_int(b) < 0, F.length(s)).otherwise((_int(b) - _int(a)).cast("int"))),
@@ -83,7 +91,7 @@ FUNCTIONS: dict[str, Callable[..., Column]] = {
     "int": _int, "float64": _float, "add": _fold(lambda a, b: a + b, _int), "sub": _fold(lambda a, b: a - b, _int), "mul": _fold(lambda a, b: a * b, _int),
     "div": _fold(lambda a, b: F.call_function("div", a, F.nullif(b, F.lit(0).cast("bigint"))), _int), "mod": _fold(lambda a, b: F.try_mod(a, b), _int), "min": _fold(F.least, _int), "max": _fold(F.greatest, _int),
     "addf": _fold(lambda a, b: a + b, _float), "subf": _fold(lambda a, b: a - b, _float), "mulf": _fold(lambda a, b: a * b, _float), "divf": _fold(F.try_divide, _float), "minf": _fold(F.least, _float), "maxf": _fold(F.greatest, _float),
-    "floor": lambda v: F.floor(_float(v)).cast("double"), "ceil": lambda v: F.ceil(_float(v)).cast("double"), "round": lambda v, n=None: F.round(_float(v), 0),
+    "floor": lambda v: F.floor(_float(v)).cast("double"), "ceil": lambda v: F.ceil(_float(v)).cast("double"), "round": _rounded,
     "bytes": bytes_of, "duration": seconds_of, "duration_seconds": seconds_of,
     "default": lambda d, s: F.when(_true(s), _text(s)).otherwise(d), "and": _fold(lambda a, b: a & b, _true), "or": lambda *a: F.coalesce(*[F.when(_true(x), _text(x)) for x in a], _text(a[-1])), "not": lambda a: ~_true(a),
     "eq": _compare(lambda a, b: a == b), "ne": _compare(lambda a, b: a != b), "lt": _compare(lambda a, b: a < b), "le": _compare(lambda a, b: a <= b), "gt": _compare(lambda a, b: a > b), "ge": _compare(lambda a, b: a >= b),

@@ -24,8 +24,19 @@ def issues(errors: DataFrame) -> DataFrame:
     return rows.groupBy("fingerprint").agg(F.count("*").alias("count"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.max_by("message", F.struct("ts", "message")).alias("latest"))
 
 
-def rate_jumps(errors: DataFrame, by: list[str], width: int = 5 * MINUTE, least: int = 5, factor: float = 3.0) -> DataFrame:
-    """by, window (its start), baseline, current where a tumbling window has factor times the one before it, which has least at least."""
+def rate_jumps(errors: DataFrame, by: list[str], width: int = 5 * MINUTE, least: int = 5, factor: float = 3.0, started: int | None = None, emitted: DataFrame | None = None) -> DataFrame:
+    """by, window (its start), baseline, current where a tumbling window has factor times the one before it, which has least at least.
+
+    started: when watching began; windows whose baseline began before it are incomplete, and give nothing. emitted (by, window):
+    what was told before; a window is told once.
+    """
+    out = _jumps(errors, by, width, least, factor)
+    if started is not None:
+        out = out.filter(F.col("window") - width >= started)
+    return out if emitted is None else out.join(emitted.select(*by, "window").distinct(), [*by, "window"], "left_anti")
+
+
+def _jumps(errors: DataFrame, by: list[str], width: int, least: int, factor: float) -> DataFrame:
     window = F.col("ts") - F.pmod("ts", F.lit(width))
     counts = errors.groupBy(*by, window.alias("window")).agg(F.count("*").alias("current"))
     before = counts.select(*by, (F.col("window") + width).alias("window"), F.col("current").alias("baseline"))
@@ -48,7 +59,23 @@ def reliability_windows(bins: DataFrame, at: int, service: str = "service", base
     rows = bins.filter((F.col("minute") >= low) & (F.col("minute") < at))
     now = F.col("minute") >= mid
     total = lambda c, when: F.coalesce(F.sum(F.when(when, F.col(c))), F.lit(0)).cast("long")
-    return rows.groupBy(service).agg(*[total(c, w).alias(f"{p}_{c}") for c in ("errors", "entries", "span_count", "span_errors", "span_ns") for p, w in (("baseline", ~now), ("current", now))])
+    spread = lambda w: F.array(*[F.coalesce(F.sum(F.when(w, F.get("durations", F.lit(i)))), F.lit(0)).cast("long") for i in range(6)])
+    return rows.groupBy(service).agg(spread(~now).alias("baseline_durations"), spread(now).alias("current_durations"), *[total(c, w).alias(f"{p}_{c}") for c in ("errors", "entries", "span_count", "span_errors", "span_ns") for p, w in (("baseline", ~now), ("current", now))])
+
+
+def shape(message: Column) -> Column:
+    """A short signature of what a message looks like, whatever numbers and addresses it names."""
+    return F.substring(F.sha2(normalised(message), 256), 1, 16)
+
+
+def shape_windows(logs: DataFrame, at: int, service: str = "service", baseline: int = 30, current: int = 5, n: int = 3) -> DataFrame:
+    """service, signature, sample, baseline and current counts of the n shapes of error lines that grew most in the current minutes; logs have ts, line, error."""
+    low, mid = at - (baseline + current) * MINUTE, at - current * MINUTE
+    rows = logs.filter(F.col("error") & (F.col("ts") >= low) & (F.col("ts") < at)).withColumn("signature", shape(F.col("line")))
+    counts = rows.groupBy(service, "signature").agg(F.min("line").alias("sample"), F.count_if(F.col("ts") < mid).alias("baseline"), F.count_if(F.col("ts") >= mid).alias("current"))
+    grown = F.col("current") * baseline - F.col("baseline") * current
+    rank = F.row_number().over(Window.partitionBy(service).orderBy(grown.desc(), "signature"))
+    return counts.withColumn("rank", rank).filter(F.col("rank") <= n)
 
 
 def newest_issue_events(errors: DataFrame, by: list[str], n: int = 3) -> DataFrame:

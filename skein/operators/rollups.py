@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ieee
@@ -92,3 +92,50 @@ def write_layout(df: DataFrame, path: str, by: list[str], day: Column, mode: str
 def retained(df: DataFrame, floor: int) -> DataFrame:
     """Rows at or above the retention floor; below it they are invisible even before they are deleted."""
     return df.filter(F.col("ts") >= floor)
+
+
+def compact(spark: SparkSession, path: str, by: list[str], most_files: int = 8) -> list[str]:
+    """Rewrites the days of a layout that have more than most_files files, ranged and sorted anew; gives their folders.
+
+    A day is written beside the layout first, then takes the place of the old files; days are small enough to be one job each.
+    """
+    fs, base = _filesystem(spark, path)
+    done = []
+    for day in _days(fs, base):
+        files = [f for f in fs.listStatus(day) if f.getPath().getName().startswith("part-")]
+        if len(files) <= most_files:
+            continue
+        name, staging = day.getName(), f"{path.rstrip('/')}.compacting/{day.getName()}"
+        rows = spark.read.parquet(str(day.toString()))
+        size = sum(f.getLen() for f in files)
+        rows.repartitionByRange(max(1, min(most_files, size // (128 << 20) + 1)), *by).sortWithinPartitions(*by).write.mode("overwrite").option("compression", "zstd").parquet(staging)
+        fresh = spark._jvm.org.apache.hadoop.fs.Path(staging)
+        for f in fs.listStatus(fresh):
+            if f.getPath().getName().startswith("part-"):
+                fs.rename(f.getPath(), spark._jvm.org.apache.hadoop.fs.Path(day, f.getPath().getName()))
+        for f in files:
+            fs.delete(f.getPath(), False)
+        fs.delete(fresh, True)
+        done.append(name)
+    return done
+
+
+def expire(spark: SparkSession, path: str, floor: int) -> list[str]:
+    """Deletes the days of a layout that end before the retention floor (ns); gives their folders. The floor's own day stays, `retained` hides its older rows."""
+    import datetime
+
+    fs, base = _filesystem(spark, path)
+    first = datetime.datetime.fromtimestamp(floor // 10**9, datetime.timezone.utc).date().isoformat()
+    gone = [d for d in _days(fs, base) if d.getName().removeprefix("day=") < first]
+    for d in gone:
+        fs.delete(d, True)
+    return [d.getName() for d in gone]
+
+
+def _filesystem(spark: SparkSession, path: str):
+    base = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return base.getFileSystem(spark._jsc.hadoopConfiguration()), base
+
+
+def _days(fs, base) -> list:
+    return sorted((f.getPath() for f in fs.listStatus(base) if f.getPath().getName().startswith("day=")), key=lambda p: p.getName())

@@ -92,13 +92,13 @@ def record(samples: DataFrame, name: str, query: str, at: int, labels: dict[str,
     return now.unionByName(gone)
 
 
-def record_group(samples: DataFrame, rules: list[tuple[str, str]], at: int) -> DataFrame:
-    """Rules in order, each of which sees what the earlier ones of the same time recorded."""
-    if len({n for n, _ in rules}) != len(rules) or not 1 <= len(rules) <= 64:
+def record_group(samples: DataFrame, rules: list[tuple], at: int) -> DataFrame:
+    """Rules (name, query) or (name, query, labels) in order, each of which sees what the earlier ones of the same time recorded."""
+    if len({(r[0], *sorted((r[2] if len(r) > 2 else {}).items())) for r in rules}) != len(rules) or not 1 <= len(rules) <= 64:
         raise ValueError("1 to 64 rules with names of their own")
     seen, out = samples, None
-    for name, query in rules:
-        new = record(seen, name, query, at)
+    for name, query, *labels in rules:
+        new = record(seen, name, query, at, labels[0] if labels else None)
         seen = seen.select(*new.columns).unionByName(new)
         out = new if out is None else out.unionByName(new)
     return out

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ieee
 from ..functions.labels import drop, java_regex, keep, key_of, labels_of, matches, no_labels, put, rekeyed, selects, value_of
+from ..functions.template_loops import loop_template, needs_loops
 from ..functions.templates import compile_template
 from ..functions.units import bytes_of, seconds_of
 from ..operators import rollups
@@ -268,10 +269,16 @@ class LogPlanner(MetricPlanner):
 
     @staticmethod
     def _template(text: str) -> Column:
+        if needs_loops(text):
+            return loop_template(text, F.col("bag"), F.col("line"), F.col("ts"))
         return compile_template(text, lambda name: value_of(F.col("bag"), name), F.col("line"), F.col("ts"))
 
     def _line_format(self, rows: DataFrame, text: str) -> DataFrame:
-        return rows.withColumn("line", self._template(text))
+        if not needs_loops(text):
+            return rows.withColumn("line", self._template(text))
+        # A row on which the template fails keeps its line.
+        made = _once(rows, "made", self._template(text))
+        return made.withColumn("err", F.coalesce("err", F.when(F.col("made").isNull(), F.lit("TemplateFormatErr")))).withColumn("line", F.coalesce("made", "line")).drop("made")
 
     def _label_format(self, rows: DataFrame, changes: tuple) -> DataFrame:
         """All values come from the bag before the stage; a renamed label goes."""

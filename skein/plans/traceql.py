@@ -294,19 +294,62 @@ def related(left: DataFrame, relation: str, right: DataFrame, spans: DataFrame)
     else:
         front = left.select("trace", "id").distinct()
         step = lambda f: links.join(f, ["trace", "id"], "left_semi").filter("parent is not null").select("trace", F.col("parent").alias("id")).distinct()
-    reached = None
-    front = step(front)
-    while True:  # as many rounds as the deepest trace has levels; a cycle adds nothing new and ends it
-        front = front.persist()
-        if front.isEmpty():
-            break
-        reached = front if reached is None else reached.union(front).distinct().persist()
-        front = step(front).join(reached, ["trace", "id"], "left_anti")
-    if reached is None:
-        return right.limit(0)
+    # As many rounds as the deepest trace has levels; a cycle adds nothing new and ends it. Each round is settled, so that plans do
+    # not grow with depth, and the rounds before it are let go.
+    reached = front = _settled(step(front))
+    while not front.isEmpty():
+        old = front
+        front = _settled(step(front).join(reached, ["trace", "id"], "left_anti"))
+        if old is not reached:
+            old.unpersist()
+        if not front.isEmpty():
+            old, reached = reached, _settled(reached.union(front))
+            old.unpersist()
     return right.join(reached, ["trace", "id"], "left_semi")
 
 
+def _settled(df: DataFrame) -> DataFrame:
+    """Computed once: in the cluster's checkpoint folder if it names one, else in executors' memory and disks."""
+    context = df.sparkSession.sparkContext
+    where = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not where:
+        return df.persist()
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(where)
+    return df.checkpoint()
+
+
+def metric_window(start: int, end: int, step: int | None = None) -> Grid:
+    """The grid of a metric query: aligned to the step, with an interval before its start; by default about 240 points at a round step."""
+    step = step or default_step(start, end)
+    if (end - start) // step > 10_000:
+        raise QueryError(f"the step is too small: {step}")
+    low, high = start - start % step, end + -end % step
+    return Grid(low - step if low > step else low, high, step)
+
+
+def default_step(start: int, end: int) -> int:
+    rough = (end - start) // 240
+    unit = 50_000_000 if end - start < 60 * 10**9 else next((s for s in (3600, 300, 60, 15, 5, 1) if s * 10**9 <= rough), 1) * 10**9
+    return max(rough // unit, 1) * unit
+
+
+def trace_json(spans: DataFrame, trace: str, version: int = 2) -> DataFrame:
+    """One row, json: a trace in the public JSON form of spans by resource; version 1 names the list `batches`, 2 wraps it in `trace`."""
+    kv = lambda m: F.transform(F.array_sort(F.map_entries(m)), lambda e: F.struct(e["key"].alias("key"), F.struct(e["value"].alias("stringValue")).alias("value")))
+    events = F.transform("events", lambda e: F.struct(e["ts"].cast("string").alias("timeUnixNano"), e["name"].alias("name"), kv(e["attrs"]).alias("attributes")))
+    span = F.struct(
+        F.col("trace").alias("traceId"), F.col("id").alias("spanId"), F.col("parent").alias("parentSpanId"), "name", "kind", F.col("start").cast("string").alias("startTimeUnixNano"), F.col("end").cast("string").alias("endTimeUnixNano"),
+        kv(F.col("attrs")).alias("attributes"), events.alias("events"), F.struct(F.col("status").alias("code")).alias("status"),
+    )
+    own = spans.filter(F.col("trace") == trace).select(F.to_json(kv(F.col("resource"))).alias("r"), kv(F.col("resource")).alias("attributes"), "start", "id", span.alias("span"))
+    by = own.groupBy("r").agg(F.first("attributes").alias("attributes"), F.transform(F.array_sort(F.collect_list(F.struct("start", "id", "span"))), lambda x: x["span"]).alias("spans"))
+    batch = F.struct(F.struct("attributes").alias("resource"), F.array(F.struct("spans")).alias("scopeSpans"))
+    one = by.agg(F.transform(F.array_sort(F.collect_list(F.struct("r", batch.alias("b")))), lambda x: x["b"]).alias("list")).filter(F.size("list") > 0)
+    body = F.struct(F.col("list").alias("batches")) if version == 1 else F.struct(F.struct(F.col("list").alias("resourceSpans")).alias("trace"))
+    return one.select(F.to_json(body).alias("json"))
+
+
 class TracePlanner:
     """Translates queries over one spans table."""
 
@@ -327,10 +370,11 @@ class TracePlanner:
         """Matched spans with the selected fields as further columns."""
         return self.matched(query).select("trace", "id", "parent", "name", "service", "start", "end", *[field_text(f).alias(f) for f in query.fields])
 
-    def search(self, text: str, start: int, end: int, limit: int = 20, spss: int = 3) -> DataFrame:
+    def search(self, text: str, start: int, end: int, limit: int = 20, spss: int = 3, strict: bool = False) -> DataFrame:
         """The most recent traces that overlap start..end as a whole and have a matching span.
 
         trace, root_name, root_service, start, duration_ms, matched, spans (up to spss of the matched), span_count, error_count.
+        Strict searches fail where `integrity` finds a problem.
         """
         query = parse(text)
         hits = self.matched(query).select("trace", "id", "name", "start", (F.col("end") - F.col("start")).alias("duration"))
@@ -339,8 +383,44 @@ class TracePlanner:
         whole = self.spans.join(sampled.select("trace"), "trace", "left_semi").groupBy("trace").agg(*_context(), F.count("*").alias("span_count"), F.count_if(F.col("status") == 2).alias("error_count"))
         whole = whole.filter((F.col("trace_start") < end) & (F.col("trace_end") >= start))
         out = whole.join(sampled, "trace").orderBy(F.col("trace_start").desc(), "trace").limit(limit)
+        if strict:  # the first problem fails the search
+            worst = self.integrity(text, start, end).agg(F.min("problem").alias("problem"))
+            checked = F.when(F.col("problem").isNotNull(), F.raise_error(F.col("problem"))).otherwise(F.col("trace"))
+            out = worst.join(out, F.lit(True), "left").withColumn("trace", checked).filter("trace is not null")
         return out.select("trace", "root_name", "root_service", F.col("trace_start").alias("start"), F.floor(F.col("trace_duration") / 1_000_000).alias("duration_ms"), "matched", "spans", "span_count", "error_count")
 
+    def integrity(self, text: str, start: int, end: int) -> DataFrame:
+        """trace, problem of the traces that a strict search refuses: spans without ids or times that do not end after they start, matched
+        traces without a start, with several roots, or longer than 2^32 - 1 ms."""
+        hits = self.matched(parse(text)).groupBy("trace").agg(F.count("*").alias("matched"))
+        unknown = F.col("id").isNull() | F.col("start").isNull() | F.col("end").isNull() | (F.col("end") < F.col("start"))
+        whole = self.spans.groupBy("trace").agg(F.max(unknown).alias("unknown"), F.min("start").alias("s"), F.max("end").alias("e"), F.count_distinct(F.when(F.col("parent").isNull(), F.col("id"))).alias("roots"))
+        whole = whole.join(hits, "trace", "left").filter(F.col("unknown") | ((F.col("s") < end) & (F.col("e") >= start)))
+        found = F.col("matched").isNotNull()
+        long = F.call_function("div", F.col("e") - F.col("s"), F.lit(1_000_000).cast("long")) > (1 << 32) - 1
+        problem = F.when(F.col("unknown"), "trace_metadata_unknown").when(found & (F.col("s") == 0), "trace_timestamp_unknown").when(found & (F.col("roots") > 1), "trace_root_conflict").when(found & long, "trace_duration_limit")
+        return whole.select("trace", problem.alias("problem")).filter("problem is not null")
+
+    def window_search(self, text: str, start: int, end: int, limit: int = 100) -> DataFrame:
+        """Traces by their stored spans that start in start..end alone: trace, start, end, duration, stored and matching span counts, and how many traces match."""
+        local = self.spans.filter((F.col("start") >= start) & (F.col("start") <= end))
+        hits = TracePlanner(local).matched(parse(text)).groupBy("trace").agg(F.count("*").alias("matching_spans"))
+        whole = local.join(hits.select("trace"), "trace", "left_semi").groupBy("trace").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("stored_spans"))
+        out = whole.join(hits, "trace")
+        top = out.orderBy(F.col("start").desc(), "trace").limit(limit)
+        return top.join(F.broadcast(out.agg(F.count("*").alias("matched_traces")))).select("trace", "start", "end", (F.col("end") - F.col("start")).alias("duration"), "stored_spans", "matching_spans", "matched_traces")
+
+    def find(self, start: int | None = None, end: int | None = None, limit: int | None = None, root_only: bool = False, min_duration: int | None = None, max_duration: int | None = None, attributes: dict | None = None, resource: dict | None = None, **exact) -> DataFrame:
+        """Spans by plain filters: exact values of trace, id, parent, service, name, kind and status, bounds, attributes; with a limit the newest."""
+        rows, took = self.spans, F.col("end") - F.col("start")
+        tests = [F.col(k) == v for k, v in exact.items() if v is not None]
+        tests += [F.col("start") >= start] * (start is not None) + [F.col("start") <= end] * (end is not None) + [F.col("parent").isNull()] * root_only
+        tests += [took >= min_duration] * (min_duration is not None) + [took <= max_duration] * (max_duration is not None)
+        tests += [F.element_at(bag, k) == str(v) for bag, given in (("attrs", attributes), ("resource", resource)) for k, v in (given or {}).items()]
+        for t in tests:
+            rows = rows.filter(t)
+        return rows if limit is None else rows.orderBy(F.col("start").desc(), "trace", "id").limit(limit)
+
     def metrics(self, text: str, grid: Grid) -> DataFrame:
         """labels, step (the end of an interval), value."""
         return self._metric(parse(text), grid)

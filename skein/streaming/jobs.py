@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -30,6 +30,27 @@ def tail(logs: DataFrame, query: str) -> DataFrame:
     return out.select("ts", F.col("bag").alias("labels"), "line")
 
 
+def tail_once(logs: DataFrame, query: str, delay: str = "10 minutes") -> DataFrame:
+    """The tail with each entry delivered once: retried pushes of the same stream, time and line are left out within the watermark."""
+    once = event_time(logs).withColumn("line_key", F.xxhash64("line")).withWatermark("at", delay).dropDuplicatesWithinWatermark(["key", "ts", "line_key"])
+    return tail(once.drop("at", "line_key"), query)
+
+
+def tail_delivery(deliver: Callable[[DataFrame, DataFrame], None], limit: int = 100) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch of a tail: deliver(entries, dropped) gets the newest `limit` entries of a batch, and ts and labels of those that a slow reader misses."""
+
+    def run(batch: DataFrame, _: int) -> None:
+        batch = batch.persist()
+        try:
+            rank = F.row_number().over(Window.orderBy(F.col("ts").desc(), "line")) if batch.count() > limit else F.lit(1)
+            ranked = batch.withColumn("rank", rank)
+            deliver(ranked.filter(F.col("rank") <= limit).drop("rank"), ranked.filter(F.col("rank") > limit).select("ts", "labels"))
+        finally:
+            batch.unpersist()
+
+    return run
+
+
 def deduplicated(df: DataFrame, keys: list[str], delay: str = "10 minutes") -> DataFrame:
     """Each key once within the watermark: retried pushes add nothing."""
     return event_time(df).withWatermark("at", delay).dropDuplicatesWithinWatermark(keys)
