@@ -153,12 +153,12 @@ def trimmed(h: Column, bound: Column, upper: bool = True) -> Column:
             near, far = _bound(e["key"] - 1, h["schema"]), _bound(e["key"], h["schema"])
             low, high = (near, far) if sign > 0 else (-far, -near)
             across = (bound > low) & (bound < high)
-            part = (log(bound) - log(near)) / (log(far) - log(near))
+            part = ieee.div(log(bound) - log(near), log(far) - log(near))
             below = F.when(bound <= low, 0.0).when(bound >= high, 1.0).otherwise(part if sign > 0 else 1 - part)
             keep = e["value"] * (below if upper else 1 - below)
             a, b = (F.lit(None).cast("double"), bound) if upper else (bound, F.lit(None).cast("double"))
             a, b = F.when(across, F.coalesce(a, low)).otherwise(low), F.when(across, F.coalesce(b, high)).otherwise(high)
-            return F.struct(e["key"].alias("key"), keep.alias("n"), (F.sqrt(F.abs(a * b)) * sign).alias("mid"))
+            return F.struct(e["key"].alias("key"), keep.alias("n"), (F.sqrt(F.abs(a) * F.abs(b)) * sign).alias("mid"))
 
         return F.transform(F.map_entries(m), one)
 

@@ -97,7 +97,7 @@ FUNCTIONS: dict[str, Callable[..., Column]] = {
     "eq": _compare(lambda a, b: a == b), "ne": _compare(lambda a, b: a != b), "lt": _compare(lambda a, b: a < b), "le": _compare(lambda a, b: a <= b), "gt": _compare(lambda a, b: a > b), "ge": _compare(lambda a, b: a >= b),
     "regexReplaceAll": lambda p, s, r: F.regexp_replace(s, p, F.regexp_replace(r, r"\$\{(\d+)\}", r"\$$1")), "regexReplaceAllLiteral": lambda p, s, r: F.regexp_replace(s, p, F.regexp_replace(r, r"([\\$])", r"\\$1")),
     "print": lambda *a: F.concat_ws("", *[_text(x) for x in a]), "println": lambda *a: F.concat(F.concat_ws(" ", *[_text(x) for x in a]), F.lit("\n")),
-    "unixEpoch": lambda t: F.floor(_int(t) / 1e9).cast("bigint"), "unixEpochMillis": lambda t: F.floor(_int(t) / 1e6).cast("bigint"), "unixEpochNanos": _int, "unixToTime": lambda s: _int(s) * 1_000_000_000,
+    "unixEpoch": lambda t: F.call_function("div", _int(t), F.lit(10**9).cast("bigint")), "unixEpochMillis": lambda t: F.call_function("div", _int(t), F.lit(10**6).cast("bigint")), "unixEpochNanos": _int, "unixToTime": lambda s: _int(s) * 1_000_000_000,
 }
 
 

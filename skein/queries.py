@@ -133,8 +133,8 @@ _SUB = 6 * 3600 * 10**9
 metric("prom_subquery", f"max_over_time(avg_over_time({_E}[1d])[2d:6h])", f"{_s()}, k AS (SELECT unnest(range({GRID.start - 2 * DAY}, {GRID.end} + 1, {_SUB})) AS t), a AS (SELECT event_type, t, avg(value) AS value FROM k JOIN s ON s.ts > t - {DAY} AND s.ts <= t GROUP BY event_type, t) || SELECT event_type, step, max(value) AS v FROM g JOIN a ON t > step - {2 * DAY} AND t <= step GROUP BY event_type, step")
 
 
-def prom_histogram_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of a day by value as a cumulative histogram, then its 0.9 quantile."""
+def prom_histogram_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by value as a cumulative histogram of one observation each."""
     bounds = ["10", "50", "100", "+Inf"]
     s = event_samples(spark, sf_dir)
     le = F.array(*[F.lit(b) for b in bounds])
@@ -142,8 +142,12 @@ def prom_histogram_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = s.withColumn("le", F.explode(le)).withColumn("value", F.when(F.col("value") <= limit, 1.0).otherwise(0.0))
     from .functions.labels import rekeyed
 
-    rows = rekeyed(rows.withColumn("labels", F.map_concat("labels", F.create_map(F.lit("le"), F.col("le")))).drop("le"))
-    return _flat(MetricPlanner(rows, GRID, DAY).run(f"histogram_quantile(0.9, sum_over_time({_E}[1d]))"), ["event_type"])
+    return rekeyed(rows.withColumn("labels", F.map_concat("labels", F.create_map(F.lit("le"), F.col("le")))).drop("le"))
+
+
+def prom_histogram_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a day by value as a cumulative histogram, then its 0.9 quantile."""
+    return _flat(MetricPlanner(prom_histogram_rows(spark, sf_dir), GRID, DAY).run(f"histogram_quantile(0.9, sum_over_time({_E}[1d]))"), ["event_type"])
 
 
 QUERIES["prom_histogram_quantile"] = prom_histogram_quantile
@@ -443,3 +447,5 @@ ORACLES["prom_native_quantile"] = """WITH b AS (SELECT event_type, pow(2, ceil(l
     q AS (SELECT c.event_type, high / 2 * pow(2, (0.9 * total - (seen - n)) / n) AS q90 FROM c JOIN a USING (event_type) WHERE seen >= 0.9 * total QUALIFY row_number() OVER (PARTITION BY c.event_type ORDER BY high) = 1),
     s AS (SELECT event_type, sum(n) FILTER (high > 8 AND high <= 64) AS inside FROM b GROUP BY ALL)
     SELECT event_type, round(CAST(q90 AS DOUBLE), 6) AS q90, round(CAST(inside / total AS DOUBLE), 6) AS share, round(average, 6) AS average FROM q JOIN a USING (event_type) JOIN s USING (event_type)"""
+
+from . import queries_more as _more  # noqa: E402, F401  registers further queries with what is defined above
