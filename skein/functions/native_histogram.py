@@ -117,7 +117,7 @@ def variance(h: Column) -> Column:
     def middle(b: Column) -> Column:
         return F.when(b["low"] > 0, F.sqrt(b["low"] * b["high"])).when(b["high"] < 0, -F.sqrt(b["low"] * b["high"])).otherwise(F.lit(0.0))
 
-    return F.aggregate(buckets(h), F.lit(0.0), lambda a, b: a + b["n"] * F.pow(middle(b) - mean, F.lit(2.0))) / h["count"]
+    return F.when(h["count"] == 0, ieee.nan()).otherwise(F.aggregate(buckets(h), F.lit(0.0), lambda a, b: a + b["n"] * F.pow(middle(b) - mean, F.lit(2.0))) / F.when(h["count"] != 0, h["count"]))
 
 
 def compacted(h: Column) -> Column:

@@ -11,6 +11,7 @@ import ipaddress
 import json
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -118,6 +119,9 @@ def _json_map(line: str) -> Column:
     return run(line)
 
 
+#: Range aggregates that add up over series, so that a sum over them may group while it counts.
+ADDITIVE = {"count_over_time", "rate", "bytes_over_time", "bytes_rate", "sum_over_time"}
+_FILLED_PAIR = r'([^\s="]+)=("(?:[^"\\]|\\.)+"|[^\s"]+)(?=\s|$)'
 _PAIR = r'([^\s="]+)=("(?:[^"\\]|\\.)*"|[^\s"]*)(?=\s|$)'
 
 
@@ -129,6 +133,47 @@ def logfmt_map(line: Column, keep_empty: bool) -> Column:
     return _first_of(wanted)
 
 
+def labels_read(node: RangeAggregate) -> set[str] | None:
+    """The labels that a range aggregate `by` some labels reads in its stages and groups; None where that cannot be told."""
+    if node.without is not False and node.op != "approx_count_distinct":
+        return None
+    out = {*node.names, ERROR}
+    if node.op == "approx_count_distinct":
+        out.add(node.param.value)
+
+    def tested(test: tuple) -> None:
+        if test[0] in ("and", "or"):
+            tested(test[1]), tested(test[2])
+        else:
+            out.add(test[1])
+
+    def read(template: str) -> bool:
+        if needs_loops(template) or re.search(r"\{\{[^}]*(?:\s|\()\.(?:\s|\)|\})", template):
+            return False  # the whole bag is read
+        out.update(re.findall(r"\.([A-Za-z_]\w*)", template))
+        return True
+
+    for stage in node.logs.stages:
+        kind = stage[0]
+        if kind == "filter":
+            tested(stage[1])
+        elif kind == "unwrap":
+            out.add(stage[1])
+        elif kind in ("drop", "keep"):
+            out.update(name for name, _, _ in stage[1])
+        elif kind == "line_format":
+            if not read(stage[1]):
+                return None
+        elif kind == "label_format":
+            for label, how, source in stage[1]:
+                out.add(label)
+                if how == "label":
+                    out.add(source)
+                elif not read(source):
+                    return None
+    return out
+
+
 def _first_of(pairs: Column) -> Column:
     """A map of pairs (k, v) in which the first of equal keys counts."""
     return F.aggregate(pairs, no_labels(), lambda m, p: F.when(F.map_contains_key(m, p["k"]), m).otherwise(F.map_concat(m, F.create_map(p["k"], p["v"]))))
@@ -141,6 +186,7 @@ class LogPlanner(MetricPlanner):
         """minutes: the minute rollup with metadata, which answers counts and bytes where windows begin and end on minutes."""
         super().__init__(logs, grid)
         self.logs, self.minutes = logs, minutes
+        self.wanted: set[str] | None = None  # the only labels that a pipeline's result needs, if known
 
     def parse(self, query: str):
         return parse(query)
@@ -232,7 +278,31 @@ class LogPlanner(MetricPlanner):
             out = self._added(rows, F.col("parsed"))
         return out.withColumn("err", F.coalesce("err", F.when(broken, F.lit("JSONParserErr")))).drop("parsed")
 
+    def _logfmt_wanted(self, rows: DataFrame, names: list[str]) -> DataFrame:
+        """As logfmt, but of what it finds only some labels are kept: no map of all pairs is made."""
+        key = lambda k: F.regexp_replace(k, r"[^a-zA-Z0-9_]", "_")
+        found = F.regexp_extract_all("line", F.lit(_FILLED_PAIR), F.lit(1))
+        if any("_" in n for n in names):  # other characters become _
+            found = F.transform(found, key)
+        rows = _once(rows, "found", F.struct(found.alias("k"), F.regexp_extract_all("line", F.lit(_FILLED_PAIR), F.lit(2)).alias("v")))
+
+        def value(name: str) -> Column:
+            v = F.get("found.v", F.array_position("found.k", F.lit(name)).cast("int") - 1)
+            return F.when(F.startswith(v, F.lit('"')), F.regexp_replace(F.substr(v, F.lit(2), F.length(v) - 2), r"\\(.)", "$1")).otherwise(v)
+
+        pairs = []
+        for n in names:
+            own = F.element_at("bag", n)
+            given = F.when(F.element_at("stream", n).isNull(), value(n))
+            if n.endswith("_extracted"):
+                base = n.removesuffix("_extracted")
+                given = F.coalesce(given, F.when(F.element_at("stream", base).isNotNull(), value(base)))
+            pairs.append(F.when(F.coalesce(own, given).isNotNull(), F.struct(F.lit(n).alias("key"), F.coalesce(own, given).alias("value"))))
+        return _once(rows, "bag", F.map_from_entries(F.array_compact(F.array(*pairs)))).drop("found")
+
     def _logfmt(self, rows: DataFrame, fields: tuple = (), flags: tuple = ()) -> DataFrame:
+        if self.wanted is not None and not fields and not flags:
+            return self._logfmt_wanted(rows, sorted(self.wanted - {ERROR}))
         found = logfmt_map(F.col("line"), "--keep-empty" in flags)
         if fields:
             pairs = [F.struct(F.lit(k).alias("k"), F.coalesce(F.element_at(found, source), F.lit("")).alias("v")) for k, source in fields]
@@ -357,11 +427,19 @@ class LogPlanner(MetricPlanner):
     def group_labels(node: Aggregate) -> Column:
         return drop(F.col("labels"), list(node.names)) if node.without else keep(F.col("labels"), list(node.names))
 
+    def aggregate(self, node: Aggregate, grid: Grid) -> DataFrame:
+        inner = node.inner
+        if node.op == "sum" and not node.without and isinstance(inner, RangeAggregate) and inner.op in ADDITIVE and inner.without is None:
+            return self.range_aggregate(replace(inner, names=node.names, without=False), grid)  # groups while it counts
+        return super().aggregate(node, grid)
+
     def range_aggregate(self, node: RangeAggregate, grid: Grid) -> DataFrame:
         if self.minutes is not None and self._in_minutes(node, grid):
             return self._minute_counts(node, grid)
         low = grid.start - node.window - node.offset + 1
+        self.wanted = labels_read(node)
         rows = self.entries(node.logs, low, grid.end - node.offset + 1).withColumn("ts", F.col("ts") + node.offset)
+        self.wanted = None
         if node.op == "absent_over_time":
             missing = grid.frame(self.spark).join(grid.windows(rows, node.window).select("step").distinct(), "step", "left_anti")
             equal = {k: v for k, op, v in node.logs.matchers if op == "="}
