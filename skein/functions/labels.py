@@ -33,7 +33,7 @@ def _unescaped(value: Column) -> Column:
 def key_of(labels: Column) -> Column:
     """The same for equal sets; an empty value is an absent label."""
     pairs = F.filter(F.map_entries(labels), lambda e: e["value"] != "")
-    return F.array_join(F.array_sort(F.transform(pairs, lambda e: F.concat(e["key"], F.lit("\x01"), _escaped(e["value"])))), "\x02")
+    return F.array_join(F.sort_array(F.transform(pairs, lambda e: F.concat(e["key"], F.lit("\x01"), _escaped(e["value"])))), "\x02")
 
 
 def keep(labels: Column, names: list[str]) -> Column:

@@ -27,7 +27,8 @@ class Grid:
         """The steps t with t - window < ts <= t, as an array; whole numbers only, as doubles cannot hold nanoseconds."""
         first = F.greatest(F.lit(0).cast("long"), _div(ts - self.start + (self.step - 1), self.step))
         last = F.least(F.lit(self.count - 1).cast("long"), _div(ts - self.start + (window - 1), self.step))
-        return F.when((first <= last) & (ts + (window - 1) >= self.start), F.transform(F.sequence(first, last), lambda i: i * self.step + self.start))
+        at = lambda i: i * self.step + self.start
+        return F.when((first <= last) & (ts + (window - 1) >= self.start), F.sequence(at(first), at(last), F.lit(self.step).cast("long")))
 
     def windows(self, samples: DataFrame, window: int) -> DataFrame:
         """A row for each sample and step whose window has it. Samples no step can see are left out before, so that the scan can skip them."""
