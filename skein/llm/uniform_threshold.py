@@ -1,11 +1,11 @@
 """Exact top-k search by inner product with the three-phase uniform threshold.
 
 The components of all vectors are dealt into `lists` ranges, whose partial products are the score lists of a query.
-Phase 1: each block of rows gathers, for each query and list, its k entries of highest partial score and resolves them; the
-k-th best of all resolved scores is a safe cutoff t of the query. Phase 2: t is broadcast; each list gives its entries of at
-least t / lists - a vector that reaches t has one in some list - and a candidate's unseen lists count with less than t / lists
-each, which bounds its score; candidates bounded below t go. Phase 3: the missing scores of the rest are resolved, and the
-k best of each block and query meet in the end.
+Phase 1: each tile of rows gathers the best entries of one list of each query, the lists in turn, and resolves just those; the
+k-th best of all resolved scores is a safe cutoff t of the query. Phase 2: t is broadcast; lists are collected one after
+the other, each only for the rows and queries with a pair that can still reach t: an entry of at least t / lists is seen or
+a list to come may hold one, and the sum so far with the norms of the lists to come (Cauchy-Schwarz) is t at least. Phase 3:
+once few pairs of a tile are left, their missing scores are resolved pair by pair, and the k best of each query meet in the end.
 
 Queries are taken in blocks of bounded size against all rows, one pass over the rows for each phase and block.
 """
@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import cut, table
 
 LISTS, BLOCK, ROWS, QUERIES_AT_ONCE = 4, 8192, 1024, 512
+#: Entries a tile and query that phase 1 resolves, as a multiple of k; the share of a tile below which pairs are resolved one by one.
+GATHER, SPARSE = 4, 0.04
 EXACT = float(1 << 53)
 
 
@@ -38,21 +40,45 @@ def _matrix(column: pa.ListArray, wide: int | None = None) -> np.ndarray:
 
 
 class _Side:
-    """The queries of a block with their lists."""
+    """The queries of a block."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
         self.most = float(np.abs(vectors).max(initial=0))
 
-    def partial(self, rows: slice, x: np.ndarray) -> list[np.ndarray]:
-        """Partial products of some queries and vectors, a matrix for each list; in whole numbers of any size where doubles could round."""
-        q = self.vectors[rows]
+
+class _Tile:
+    """Some queries and some rows, cut into lists; in whole numbers of any size where doubles could round."""
+
+    def __init__(self, side: _Side, rows: slice, ids: np.ndarray, x: np.ndarray):
+        q = side.vectors[rows]
         width = max(q.shape[1], x.shape[1])
         q, x = (np.pad(a, ((0, 0), (0, width - a.shape[1]))) for a in (q, x))
-        if self.most * float(np.abs(x).max(initial=0)) * max(width, 1) * LISTS >= EXACT:
+        self.exact = side.most * float(np.abs(x).max(initial=0)) * max(width, 1) * LISTS < EXACT
+        if not self.exact:
             q, x = (np.array([[int(v) for v in r] for r in a], dtype=object).reshape(a.shape) for a in (q, x))
         cuts = [width * i // LISTS for i in range(LISTS + 1)]
-        return [q[:, a:b] @ x[:, a:b].T if b > a else np.zeros((len(q), len(x)), q.dtype) for a, b in zip(cuts, cuts[1:], strict=False)]
+        self.q, self.x = ([a[:, i:j] for i, j in zip(cuts, cuts[1:], strict=False)] for a in (q, x))
+        self.rows, self.ids, self.own = rows, ids, side.ids[rows][:, None] == ids[None, :]
+        self.shape = self.own.shape
+
+    def scores(self, j: int, q, x) -> np.ndarray:
+        """The j-th list of some queries and rows."""
+        a, b = self.q[j][q], self.x[j][x]
+        return a @ b.T if a.shape[1] else np.zeros((len(a), len(b)), a.dtype)
+
+    def pairs(self, j: int, q: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """The j-th list of single pairs."""
+        return (self.q[j][q] * self.x[j][x]).sum(1)
+
+    def bounds(self, t: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """For each list: what all lists after it can add to a pair at most, and whether one of those may hold an entry of t / lists."""
+        norms = [np.sqrt((self.q[j] ** 2).sum(1))[:, None] * np.sqrt((self.x[j] ** 2).sum(1))[None, :] * (1 + 1e-9) + 1e-6 for j in range(LISTS)]
+        rest, may = [np.zeros(self.shape)], [np.zeros(self.shape, bool)]
+        for j in range(LISTS - 1, 0, -1):
+            rest.append(rest[-1] + norms[j])
+            may.append(may[-1] | (norms[j] * LISTS >= t))
+        return rest[::-1], may[::-1]
 
 
 def _best(q: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -63,14 +89,70 @@ def _best(q: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndar
     return order[np.arange(len(order)) - first < k]
 
 
-def _tiles(batches: Iterator[pa.RecordBatch], side: _Side) -> Iterator[tuple[slice, np.ndarray, list[np.ndarray], np.ndarray]]:
+def _tiles(batches: Iterator[pa.RecordBatch], side: _Side) -> Iterator[_Tile]:
     for batch in batches:
         for at in range(0, batch.num_rows, ROWS):
             part = batch.slice(at, ROWS)
             ids, x = np.asarray(part.column(0)), _matrix(part.column(1))
             for low in range(0, len(side.ids), QUERIES_AT_ONCE):
-                rows = slice(low, min(low + QUERIES_AT_ONCE, len(side.ids)))
-                yield rows, ids, side.partial(rows, x), side.ids[rows][:, None] == ids[None, :]
+                yield _Tile(side, slice(low, min(low + QUERIES_AT_ONCE, len(side.ids))), ids, x)
+
+
+def gather(batches: Iterator[pa.RecordBatch], side: _Side, k: int, work: dict | None = None) -> "_Kept":
+    """Phase 1: resolved entries of each query, at most k. work counts the list entries that are computed."""
+    kept, base = _Kept(k), 0
+    for n, tile in enumerate(_tiles(batches, side)):
+        j, every = n % LISTS, slice(None)
+        ranked = np.where(tile.own, -np.inf, tile.scores(j, every, every).astype(np.float64))
+        most = min(GATHER * k, len(tile.ids))
+        at = np.argpartition(-ranked, most - 1, 1)[:, :most]
+        q, x = np.repeat(np.arange(len(at)), most), at.ravel()
+        fine = ~tile.own[q, x]
+        q, x = q[fine], x[fine]
+        kept.add(q + tile.rows.start, x + base, sum(tile.pairs(i, q, x) for i in range(LISTS)))
+        _count(work, "gathered", ranked.size + LISTS * len(q))
+        base += len(tile.ids)
+    return kept
+
+
+def collect(batches: Iterator[pa.RecordBatch], side: _Side, cutoff: np.ndarray, k: int, work: dict | None = None) -> "_Kept":
+    """Phases 2 and 3: the k best of each query among the entries that reach its cutoff."""
+    kept = _Kept(k)
+    for tile in _tiles(batches, side):
+        t = cutoff[tile.rows][:, None]
+        alive = ~tile.own
+        if tile.exact:
+            rest, may = tile.bounds(t)
+            partial, seen = np.zeros(tile.shape), np.zeros(tile.shape, bool)
+            for j in range(LISTS):
+                if alive.mean() < SPARSE:
+                    q, x = np.nonzero(alive)
+                    score = partial[q, x]
+                    for i in range(j, LISTS):
+                        score = score + tile.pairs(i, q, x)
+                    _count(work, "resolved", len(q) * (LISTS - j))
+                    break
+                q, x = np.flatnonzero(alive.any(1)), np.flatnonzero(alive.any(0))
+                s = np.full(tile.shape, -np.inf)
+                s[np.ix_(q, x)] = tile.scores(j, q, x)
+                _count(work, "collected", len(q) * len(x))
+                seen |= s * LISTS >= t
+                partial = partial + s
+                alive &= (partial + rest[j] >= t) & (seen | may[j])
+            else:
+                q, x = np.nonzero(alive)
+                score = partial[q, x]
+        else:
+            q, x = np.nonzero(alive)
+            score = sum(tile.pairs(i, q, x) for i in range(LISTS))
+        ok = score >= t[q, 0]
+        kept.add(q[ok] + tile.rows.start, tile.ids[x[ok]], score[ok])
+    return kept
+
+
+def _count(work: dict | None, what: str, n: int) -> None:
+    if work is not None:
+        work[what] = work.get(what, 0) + int(n)
 
 
 class _Kept:
@@ -131,22 +213,10 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, block: int = BLOCK) -> DataF
 
 
 def _block_top_k(sound: DataFrame, side, k: int) -> DataFrame:
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = _Kept(k)
-        base = 0
-        for rows, ids, lists, own in _tiles(batches, side.value):
-            total, n = sum(lists), min(k, len(ids))
-            chosen = np.zeros(total.shape, bool)
-            for s in lists:
-                ranked = np.where(own, -np.inf, s.astype(np.float64))
-                at = np.argpartition(-ranked, n - 1, 1)[:, :n]
-                np.put_along_axis(chosen, at, True, 1)
-            q, x = np.nonzero(chosen & ~own)
-            kept.add(q + rows.start, x + base, total[q, x])
-            base += len(ids)
-        yield from _rows(kept)
-
-    first = sound.mapInArrow(gather, "q long, vec_id long, score long")
+    def first_phase(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _rows(gather(batches, side.value, k))
+
+    first = sound.mapInArrow(first_phase, "q long, vec_id long, score long")
     top = Window.partitionBy("q").orderBy(F.col("score").desc())
     cutoffs = first.withColumn("n", F.row_number().over(top)).filter(F.col("n") <= k).groupBy("q").agg(F.min("score").alias("t"), F.count("*").alias("n")).filter(F.col("n") == k)
     cutoff = np.full(len(side.value.ids), -np.inf)
@@ -154,20 +224,10 @@ def _block_top_k(sound: DataFrame, side, k: int) -> DataFrame:
         cutoff[r["q"]] = r["t"]
     sent = sound.sparkSession.sparkContext.broadcast(cutoff)
 
-    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = _Kept(k)
-        for rows, ids, lists, own in _tiles(batches, side.value):
-            t = sent.value[rows][:, None]
-            seen = [s * LISTS >= t for s in lists]
-            bound = sum(np.where(e, s * LISTS, t) for e, s in zip(seen, lists, strict=True))
-            alive = np.logical_or.reduce(seen) & ((bound >= t * LISTS) | np.isneginf(t)) & ~own
-            q, x = np.nonzero(alive)
-            score = sum(s[q, x] for s in lists)
-            ok = score >= t[q, 0]
-            kept.add(q[ok] + rows.start, ids[x[ok]], score[ok])
-        yield from _rows(kept, side.value.ids)
+    def last_phases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _rows(collect(batches, side.value, sent.value, k), side.value.ids)
 
-    found = sound.mapInArrow(collect, "q long, vec_id long, score long").withColumnRenamed("q", "query_id")
+    found = sound.mapInArrow(last_phases, "q long, vec_id long, score long").withColumnRenamed("q", "query_id")
     ranked = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", ranked).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
