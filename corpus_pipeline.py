@@ -1,6 +1,11 @@
 """A corpus pipeline: language ID, line dedup, near-duplicate documents, mixing to target weights, encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and reread as the next one's docs.
+
+What every stage does with odd rows: columns beyond those of documents are dropped by the first stage that meets them, whatever
+their names; texts of any length are read whole; rows that repeat a doc_id, or have none, are rows of their own; an empty table
+gives an empty one. Null texts have no letter, no line, no shingle and no word: language ID rejects them; the later stages,
+given one, keep it (line dedup, near duplicates), take it 0 times (mix), or encode it as the empty text. Empty texts likewise.
 """
 
 from __future__ import annotations

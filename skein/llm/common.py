@@ -17,9 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where the session names none (tests)."""
+    """The cluster's checkpoint folder; a temporary one only in local mode, where the session names none (tests)."""
     context = spark.sparkContext
     where = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not where and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not where:
         where = tempfile.mkdtemp(prefix="skein-checkpoint-")
     if not context.getCheckpointDir():

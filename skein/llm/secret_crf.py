@@ -377,7 +377,12 @@ def train_field(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_lines: int
 
 
 def scan_secrets(docs: DataFrame, field: SecretField, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and secrets, an array of (kind, start, end) in code points by start, then kind; null and empty texts have none."""
+    """id and secrets, an array of (kind, start, end) in code points by start, then kind; null and empty texts have none.
+
+    Long texts are scanned whole, as one chain of tokens. Rows that repeat are scanned each for itself; spans of
+    several kinds that begin together stay, by kind; an empty table gives an empty one. Columns other than the two named, whatever
+    their names, are not read.
+    """
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = slim.schema["id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(field)  # a few hundred numbers
