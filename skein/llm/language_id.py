@@ -140,7 +140,7 @@ def predict_languages(docs: DataFrame, net: ByteNet | None, text_col: str = "tex
     """The rows of docs with lang_pred and score (columns of these names are replaced).
 
     Null texts and texts without a letter are `und` with score 0, as all are without a network. A long text is read whole, window
-    by window, and its score is the mean over them. Of languages that tie the first in code point order is taken. Rows that
+    by window, and its score comes from their mean log probabilities by size. Of languages that tie the first in code point order is taken. Rows that
     repeat are predicted alike, each for itself; an empty table gives an empty one.
     """
     docs = docs.drop("lang_pred", "score")
