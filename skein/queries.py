@@ -355,7 +355,7 @@ ORACLES["err_rate_jumps"] = f"WITH e AS (SELECT epoch_ns(ts) AS ts FROM events W
 def reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = conversation_spans(spark, sf_dir)
     logs = spans.select("service", F.col("start").alias("ts"), (F.col("status") == 2).alias("error"))
-    return errors.reliability_windows(errors.reliability_bins(logs, spans), ORIGIN + 40 * 60 * 10**9)
+    return errors.reliability_windows(errors.reliability_bins(logs, spans), ORIGIN + 40 * 60 * 10**9).drop("baseline_durations", "current_durations")
 
 
 QUERIES["reliability_windows"] = reliability

@@ -351,3 +351,17 @@ def error_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LO, _MID = GRID.end - 35 * 60 * 24 * 60 * 10**9, GRID.end - 5 * 60 * 24 * 60 * 10**9
 add("error_shapes", error_shapes, f"WITH e AS (SELECT concat('s', user_id % 2) AS service, epoch_ns(ts) AS ts, concat('user ', user_id, ' failed') AS line FROM events WHERE event_type = 'error' AND epoch_ns(ts) >= {_LO} AND epoch_ns(ts) < {GRID.end}) SELECT service, min(line) AS sample, count(*) FILTER (ts < {_MID}) AS baseline, count(*) FILTER (ts >= {_MID}) AS current FROM e GROUP BY service")
+
+
+def reliability_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of the current and the baseline minutes by decade of their duration."""
+    spans = conversation_spans(spark, sf_dir)
+    logs = spans.select("service", F.col("start").alias("ts"), (F.col("status") == 2).alias("error"))
+    out = errors.reliability_windows(errors.reliability_bins(logs, spans), ORIGIN + 40 * 60 * 10**9)
+    rows = out.select("service", F.posexplode(F.arrays_zip("baseline_durations", "current_durations")).alias("bucket", "d"))
+    return rows.select("service", "bucket", F.col("d.baseline_durations").alias("baseline"), F.col("d.current_durations").alias("current"))
+
+
+_BUCKET = "least(5, greatest(0, CAST(ceil(log10(greatest(\"end\" - start, 1) / 1e6)) AS INT)))"
+_FROM, _TO, _SPLIT = ORIGIN + 5 * 60 * 10**9, ORIGIN + 40 * 60 * 10**9, ORIGIN + 35 * 60 * 10**9
+add("reliability_durations", reliability_durations, f"WITH {_T}, x AS (SELECT service, {_BUCKET} AS bucket, start - start % 60000000000 AS minute FROM t WHERE start >= {_FROM} AND start < {_TO}), k AS (SELECT service, CAST(b AS INT) AS bucket FROM (SELECT DISTINCT service FROM x) CROSS JOIN range(6) r(b)) SELECT k.service, k.bucket, count(x.minute) FILTER (x.minute < {_SPLIT}) AS baseline, count(x.minute) FILTER (x.minute >= {_SPLIT}) AS current FROM k LEFT JOIN x ON x.service = k.service AND x.bucket = k.bucket GROUP BY k.service, k.bucket")
