@@ -63,10 +63,6 @@ class Unigrams:
         seen = c * np.where(c <= K, self.discount[np.minimum(c, K)], 1.0) * self.scale / max(self.tokens, 1)
         return np.where(c > 0, seen, self.unknown)
 
-    def column(self, c):
-        small = F.element_at(F.array(*[F.lit(float(d)) for d in self.discount[1:]]), F.least(c, F.lit(K)).cast("int"))
-        return c * F.when(c <= K, small).otherwise(F.lit(1.0)) * F.lit(self.scale / max(self.tokens, 1))
-
 
 def pack_documents(docs: DataFrame) -> DataFrame:
     """block, ids, train, lengths (tokens a document), vocab, tokens: documents by the local ids of their tokens."""
@@ -125,8 +121,11 @@ class _Block:
             self.ids[at] = _numbers(a["a"], np.int64) * buckets + a["bucket"]
             self.counts[at] = _numbers(a["b"], np.int64)
 
-    def bigrams(self, buckets: int) -> dict:
-        """Distinct (context, token) pairs that could be seen, ordered by bucket; where each token's pair is (-1: none), and the training count of each."""
+    def bigrams(self, buckets: int, hot: int) -> dict:
+        """Distinct (context, token) pairs that could be seen, ordered by bucket; where each token's pair is (-1: none), and the training count of each.
+
+        The pairs of a context go to one bucket, but those of contexts that training has over `hot` times are dealt by token too.
+        """
         width = len(self.words)
         context = np.empty_like(self.tokens)
         context[1:] = self.tokens[:-1]
@@ -137,14 +136,16 @@ class _Block:
         trained = np.bincount(place, self.train[may], len(keys)).astype(np.int64)
         ids = np.append(self.ids, BEGIN)
         h, w = ids[keys // width], self.ids[keys % width]
-        bucket = mixed(h.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + w.view(np.uint64)) % np.uint64(buckets)
+        whole = np.append(self.counts, np.iinfo(np.int64).max)[keys // width]
+        spread = np.where(whole > hot, w.view(np.uint64) + np.uint64(1), np.uint64(0))
+        bucket = mixed(h.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + spread) % np.uint64(buckets)
         order = np.lexsort((w, h, bucket))
         rank = np.empty_like(order)
         rank[order] = np.arange(len(order))
         at = np.full(len(self.tokens), -1)
         at[may] = rank[place]
         once = int(self.train[~may].sum())  # each of these is a bigram of count one
-        return {"h": h[order], "w": w[order], "n": trained[order], "cuts": np.searchsorted(bucket[order], np.arange(buckets + 1)), "at": at, "context": context, "once": once}
+        return {"h": h[order], "w": w[order], "n": trained[order], "whole": whole[order], "c": self.counts[keys % width][order], "cuts": np.searchsorted(bucket[order], np.arange(buckets + 1)), "at": at, "context": context, "once": once}
 
 
 def _answers(replies: DataFrame, name: str) -> DataFrame:
@@ -216,26 +217,28 @@ def ask_words(packs: DataFrame, buckets: int) -> DataFrame:
     return packs.select("block", "ids", "train", "lengths", "vocab", "tokens").mapInArrow(ask, "bucket int, block long, a binary, b binary").groupBy("bucket").applyInArrow(add, _REPLY)
 
 
-def ask_bigrams(packs: DataFrame, buckets: int) -> DataFrame:
-    """As ask_words for bigrams. Kind 0: b is the count, 0 below the cutoff. Kind 1: the table of seen ones (x: context, y: token, z: count). Kind 2: how many (y) have the count x."""
+def ask_bigrams(packs: DataFrame, buckets: int, uni: Unigrams, hot: int) -> DataFrame:
+    """As ask_words for bigrams. Kind 0: b is the count, 0 below the cutoff. Kind 1: the table of seen ones (x: context, y: token, z: count).
+    Kind 2: how many (y) have the count x. Kind 3: contexts (a), packed, and by context (b) its count, how many of its pairs have the
+    counts 1 to K, the sum of the others and the sum of the unigram probabilities of its seen tokens."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("h", pa.binary()), ("w", pa.binary()), ("n", pa.binary()), ("once", pa.int64())])
+        kinds = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("h", pa.binary()), ("w", pa.binary()), ("n", pa.binary()), ("c", pa.binary()), ("whole", pa.binary()), ("once", pa.int64())])
         for batch in batches:
             for row in _dicts(batch):
                 block = _Block(row, buckets)
                 block.learn(row["words"], buckets)
-                q = block.bigrams(buckets)
-                out = [{"bucket": 0, "block": row["block"], "h": None, "w": None, "n": None, "once": q["once"]}]
+                q = block.bigrams(buckets, hot)
+                out = [{"bucket": 0, "block": row["block"], "h": None, "w": None, "n": None, "c": None, "whole": None, "once": q["once"]}]
                 for k, (a, b) in enumerate(zip(q["cuts"], q["cuts"][1:], strict=False)):
                     if b > a:
                         h = q["h"][a:b]
-                        out.append({"bucket": k, "block": row["block"], "h": _squeeze(np.diff(h, prepend=0)), "w": _squeeze(q["w"][a:b]), "n": _squeeze(q["n"][a:b]), "once": None})
+                        out.append({"bucket": k, "block": row["block"], "h": _squeeze(np.diff(h, prepend=0)), "w": _squeeze(q["w"][a:b]), "n": _squeeze(q["n"][a:b]), "c": _squeeze(q["c"][a:b]), "whole": _squeeze(q["whole"][a:b]), "once": None})
                 yield pa.RecordBatch.from_pylist(out, kinds)
 
     def add(key: tuple, asked: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket = key[0].as_py()
-        blocks, hs, ws, ns, once = [], [], [], [], 0
+        blocks, hs, ws, ns, cs, gs, once = [], [], [], [], [], [], 0
         for batch in asked:
             for row in _dicts(batch):
                 if row["h"] is None:
@@ -245,13 +248,16 @@ def ask_bigrams(packs: DataFrame, buckets: int) -> DataFrame:
                 hs.append(np.cumsum(_numbers(row["h"], np.int64)))
                 ws.append(_numbers(row["w"], np.int64))
                 ns.append(_numbers(row["n"], np.int64))
+                cs.append(_numbers(row["c"], np.int64))
+                gs.append(_numbers(row["whole"], np.int64))
         small: dict[int, int] = defaultdict(int)
         if once:
             small[1] += once
         if blocks:
             cuts = np.cumsum([0] + [len(x) for x in hs])
             h, w, n = np.concatenate(hs), np.concatenate(ws), np.concatenate(ns)
-            hs, ws, ns = [], [], []
+            c, whole = np.concatenate(cs), np.concatenate(gs)
+            hs, ws, ns, cs, gs = [], [], [], [], []
             order = np.lexsort((w, h))
             new = np.ones(len(order), bool)
             new[1:] = (h[order][1:] != h[order][:-1]) | (w[order][1:] != w[order][:-1])
@@ -265,6 +271,7 @@ def ask_bigrams(packs: DataFrame, buckets: int) -> DataFrame:
             first = order[new]
             seen = total >= CUTOFF
             yield _table_batch(1, bucket, h[first][seen], w[first][seen], total[seen])
+            yield from _context_sums(bucket, h[first][seen], whole[first][seen], total[seen], uni.probability(c[first][seen]))
             values, many = np.unique(total[total > 0], return_counts=True)
             for v, c in zip(values, many, strict=True):
                 if v <= K + 1:
@@ -272,28 +279,45 @@ def ask_bigrams(packs: DataFrame, buckets: int) -> DataFrame:
         if small:
             yield _reply(2, [(bucket, v, c, v * c) for v, c in small.items()])
 
-    return packs.select("block", "ids", "train", "lengths", "vocab", "tokens", "words").mapInArrow(ask, "bucket int, block long, h binary, w binary, n binary, once long").groupBy("bucket").applyInArrow(add, _REPLY)
+    return packs.select("block", "ids", "train", "lengths", "vocab", "tokens", "words").mapInArrow(ask, "bucket int, block long, h binary, w binary, n binary, c binary, whole binary, once long").groupBy("bucket").applyInArrow(add, _REPLY)
+
+
+def _context_sums(bucket: int, h: np.ndarray, whole: np.ndarray, total: np.ndarray, p: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of kind 3 from seen pairs sorted by context."""
+    at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+    if not len(at):
+        return
+    parts = [whole[at].astype(np.float64)] + [np.add.reduceat((total == r).astype(np.float64), at) for r in range(1, K + 1)] + [np.add.reduceat(np.where(total > K, total, 0).astype(np.float64), at), np.add.reduceat(p, at)]
+    for low in range(0, len(at), 500_000):
+        part = slice(low, low + 500_000)
+        one = [pa.array([3], pa.int32()), pa.nulls(1, pa.int64()), pa.array([bucket], pa.int32()), pa.array([_squeeze(np.ascontiguousarray(h[at][part]))], pa.binary()), pa.array([_squeeze(np.concatenate([x[part] for x in parts]))], pa.binary()), *(pa.nulls(1, pa.int64()) for _ in range(3))]
+        yield pa.RecordBatch.from_arrays(one, ["kind", "block", "bucket", "a", "b", "x", "y", "z"])
 
 
 def _store(df: DataFrame, where: str) -> dict[int, DataFrame]:
     """Written once in the shared folder, a folder for each kind of row and bucket; read back by kind."""
     df.write.partitionBy("kind").parquet(where)
     back = df.sparkSession.read.schema(df.schema).parquet(where)
-    return {k: back.filter(F.col("kind") == k) for k in (0, 1, 2)}
+    return {k: back.filter(F.col("kind") == k) for k in (0, 1, 2, 3)}
 
 
-def backoff_weights(words: DataFrame, seen: DataFrame, unigrams: Unigrams, discount: np.ndarray, begins: int) -> DataFrame:
+def backoff_weights(sums: DataFrame, discount: np.ndarray, begins: int) -> DataFrame:
     """h, alpha, scale for contexts with seen bigrams: P(w | h) is scale * d * c / c(h) if seen, else alpha * P(w)."""
-    table_ = words.select(F.col("x").alias("id"), F.col("y").alias("c"))
-    low = table_.select(F.col("id").alias("w"), unigrams.column(F.col("c")).alias("p"))
-    d = F.element_at(F.array(*[F.lit(float(v)) for v in discount[1:]]), F.least("z", F.lit(K)).cast("int"))
-    mass = seen.select(F.col("x").alias("h"), F.col("y").alias("w"), (F.when(F.col("z") <= K, d).otherwise(F.lit(1.0)) * F.col("z")).alias("m"))
-    # A frequent context meets in one task only as partial sums.
-    sums = mass.join(low, "w").groupBy("h").agg(F.sum("m").alias("m"), F.sum("p").alias("p"))
-    contexts = table_.select(F.col("id").alias("h"), "c").union(seen.sparkSession.createDataFrame([(BEGIN, begins)], "h long, c long"))
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in _dicts(batch):
+                h = _numbers(row["a"], np.int64)
+                parts = _numbers(row["b"], np.float64).reshape(K + 3, -1)
+                mass = parts[K + 1] + sum(r * discount[r] * parts[r] for r in range(1, K + 1))
+                whole = np.where(h == BEGIN, float(begins), parts[0])
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(whole), pa.array(mass), pa.array(parts[K + 2])], ["h", "c", "m", "p"])
+
+    # A frequent context has sums in several buckets.
+    whole = sums.select("a", "b").mapInArrow(unpack, "h long, c double, m double, p double").groupBy("h").agg(F.max("c").alias("c"), F.sum("m").alias("m"), F.sum("p").alias("p"))
     share = F.col("m") / F.col("c")
     rest = F.greatest(1 - share, 0.5 / (F.col("c") + 1))
-    return sums.join(contexts, "h").select("h", (rest / (1 - F.col("p"))).alias("alpha"), ((1 - rest) / share).alias("scale"))
+    return whole.select("h", (rest / (1 - F.col("p"))).alias("alpha"), ((1 - rest) / share).alias("scale"))
 
 
 def score_documents(docs: DataFrame, train) -> DataFrame:
@@ -310,17 +334,18 @@ def score_documents(docs: DataFrame, train) -> DataFrame:
     packs = cut(pack_documents(slim))
 
     stored = _store(ask_words(packs, buckets), f"{where}/words")
-    word_answers, words = stored[0], stored[1]
+    word_answers = stored[0]
     stats = stored[2].groupBy("x").agg(F.sum("y").alias("y"), F.sum("z").alias("z")).collect()  # a row a small count
     uni = Unigrams(sum(r["z"] for r in stats), sum(r["y"] for r in stats), {r["x"]: r["y"] for r in stats if r["x"] <= K + 1})
 
     told = packs.join(_answers(word_answers, "words"), "block")
-    stored = _store(ask_bigrams(told, buckets), f"{where}/bigrams")
-    pair_answers, seen = stored[0], stored[1]
+    hot = max(1000, uni.tokens // (20 * buckets))
+    stored = _store(ask_bigrams(told, buckets, uni, hot), f"{where}/bigrams")
+    pair_answers = stored[0]
     counts = {r["x"]: r["n"] for r in stored[2].groupBy("x").agg(F.sum("y").alias("n")).collect()}
     discount = good_turing(counts)
     begins = int(chars["begins"] or 0)
-    weights = backoff_weights(words, seen, uni, discount, begins)
+    weights = backoff_weights(stored[3], discount, begins)
 
     def gather(key: tuple, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(list(rows))
@@ -353,7 +378,7 @@ def score_documents(docs: DataFrame, train) -> DataFrame:
             for row in _dicts(batch):
                 block = _Block(row, buckets)
                 block.learn(row["words"], buckets)
-                q = block.bigrams(buckets)
+                q = block.bigrams(buckets, hot)
                 pair = np.zeros(len(q["h"]) + 1, np.int64)
                 for a in row["pairs"] or []:
                     pair[q["cuts"][a["bucket"]] : q["cuts"][a["bucket"] + 1]] = _numbers(a["b"], np.int32)
