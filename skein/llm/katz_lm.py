@@ -317,7 +317,9 @@ def backoff_weights(sums: DataFrame, discount: np.ndarray, begins: int) -> DataF
     whole = sums.select("a", "b").mapInArrow(unpack, "h long, c double, m double, p double").groupBy("h").agg(F.max("c").alias("c"), F.sum("m").alias("m"), F.sum("p").alias("p"))
     share = F.col("m") / F.col("c")
     rest = F.greatest(1 - share, 0.5 / (F.col("c") + 1))
-    return whole.select("h", (rest / (1 - F.col("p"))).alias("alpha"), ((1 - rest) / share).alias("scale"))
+    # Where discounting frees enough, the scale is 1 to the last digit, and answers that repeat it take no space.
+    scale = F.when(1 - share >= 0.5 / (F.col("c") + 1), F.lit(1.0)).otherwise((1 - rest) / share)
+    return whole.select("h", (rest / (1 - F.col("p"))).alias("alpha"), scale.alias("scale"))
 
 
 def score_documents(docs: DataFrame, train) -> DataFrame:
