@@ -1,12 +1,15 @@
 """Line dedup by a segment-partition edit join.
 
-A line goes if an earlier line (by doc_id, then place) of the input is equal or within the edits that their length allows (or
-a flat `threshold`). Two lines within t edits share one of the t + 1 even segments of the shorter, at a place of the other
-that lengths restrict to a few offsets. So each line gives the hash of each segment under its own length, and of each substring that could be a segment of a line
-shorter by up to t; keys that only one distinct line has go in a partial aggregation, before anything is joined. Pairs that
-share a key are verified by the banded bit-parallel edit distance: a band of 2t + 1 bits moves along the diagonal.
-
-Only DataFrame functions. Equal lines collapse before any join; a line is known by two 64-bit hashes.
+A line goes if an earlier line (by doc_id, nulls first, then place, then text) of the input is equal or within the edits that their
+length allows (or a flat `threshold`). Lines are dealt to classes of length; the class of the shorter of two lines sets the edits t
+and the size of t + 1 segments: the first ones are counted from the start of a line, the last ones from its end. Of two lines
+within t edits, some segment i of one lies unchanged in the other, moved by at most i from the start and t - i from the end. A segment gives
+the hashes of the few substrings of it whose places differ by every such move (`places`), so both lines give one hash in common
+wherever it lies: 15 keys a line at 6 edits. Keys that only one distinct line has go in a partial aggregation. The lines of a key are first held
+against its earliest line, and only those that are not near to that one against the others. Pairs
+are verified by the banded bit-parallel edit distance: a band of 2t + 1 bits moves along the diagonal.
+
+Only DataFrame functions. A line is known by two 64-bit hashes; occurrences of equal lines collapse before they are shuffled.
 """
 
 from __future__ import annotations
@@ -19,36 +22,48 @@ from .common import cut, let, table
 MIN_CHARS = 20
 #: Two lines are near within an edit for each CHARS_PER_EDIT characters of the shorter, at least LEAST and at most MOST: a changed word is.
 LEAST, MOST, CHARS_PER_EDIT = 2, 6, 10
+#: Least lengths of the classes of length; edits are the same within a class.
+CLASSES = (20, 30, 40, 50, 60, 90, 140, 210, 320, 480, 720)
 #: Rows of two longs that may be broadcast; beyond it the joins are shuffled.
 BROADCAST_ROWS = 1_000_000
 
 
-def segments(length: Column, i: Column, threshold: Column) -> tuple[Column, Column]:
-    """Start (from 0) and size of the i-th of threshold + 1 even segments of a line; the last ones are longer by one if need be."""
-    parts = threshold + 1
-    base, longer = F.floor(length / parts), length % parts
-    before = F.greatest(F.lit(0), i - (parts - longer))
-    return (i * base + before).cast("int"), (base + F.when(i >= parts - longer, 1).otherwise(0)).cast("int")
-
-
 def edits_allowed(length: Column, threshold: int | None) -> Column:
     """How many edits two lines may be apart, by the length of the shorter."""
     return F.lit(threshold) if threshold is not None else F.least(F.lit(MOST), F.greatest(F.lit(LEAST), F.floor(length / CHARS_PER_EDIT))).cast("int")
 
 
-def probe_keys(lines: DataFrame, threshold: int | None = None, min_chars: int = MIN_CHARS) -> DataFrame:
-    """h1, h2, key, index: the hash of each segment of a line itself (index), and of each substring that may be a segment of a line shorter by d."""
-    most = MOST if threshold is None else threshold
-    rows = [(t, d, i, o) for t in ([threshold] if threshold is not None else range(LEAST, MOST + 1)) for d in range(t + 1) for i in range(t + 1) for o in range(max(-i, d - (t - i)), min(i, d + (t - i)) + 1)]
-    # A line may be as long as one of a class above that of the shorter: each takes the probes of its own class and of the one below.
-    dealt = [(u, *r) for u in range(most + 1) for r in rows if u - 1 <= r[0] <= u]
-    probes = F.broadcast(lines.sparkSession.createDataFrame(dealt, "u int, t int, d int, i int, o int"))
-    out = lines.withColumn("u", edits_allowed(F.col("size"), threshold)).join(probes, "u")
-    out = out.withColumn("short", F.col("size") - F.col("d")).filter((F.col("short") >= min_chars) & (F.col("t") == edits_allowed(F.col("short"), threshold)))
-    start, size = segments(F.col("short"), F.col("i"), F.col("t"))
-    at = start + F.col("o")
-    out = out.filter((at >= 0) & (at + size <= F.col("size")) & (size > 0))
-    return out.select("h1", "h2", F.xxhash64(F.col("short").cast("int"), F.col("i"), F.substr("line", at + 1, size)).alias("key"), ((F.col("d") == 0) & (F.col("o") == 0)).alias("index"))
+def places(reach: int) -> list[int]:
+    """The smallest set of places of its form, of which two differ by each of 0 to reach: 0 to m - 1, and each m-th from 2m - 1."""
+    sets = [[*range(m), *range(2 * m - 1, reach + m, m)] for m in range(1, reach + 2)]
+    return min(sets, key=lambda x: (len(x), x[-1]))
+
+
+def substrings(threshold: int | None, min_chars: int) -> list[tuple[int, int, int, int, int, int]]:
+    """Class, length that lines of the class above must be under, segment, place (negative: from the end), size and class that reads it."""
+    lows = [min_chars, *(x for x in CLASSES if x > min_chars)]
+    out = []
+    for c, low in enumerate(lows):
+        edits = threshold if threshold is not None else min(MOST, max(LEAST, low // CHARS_PER_EDIT))
+        block = low // (edits + 1)
+        for i in range(edits + 1):
+            at = places(min(i, edits - i))
+            if block <= at[-1]:
+                raise ValueError(f"lines of {low} characters are too short for {edits} edits")
+            begin = i * block if i <= edits - i else -(edits + 1 - i) * block
+            for a in at:
+                out += [(c, lows[u] + edits if u > c else 2**31 - 1, i, begin + a, block - at[-1], u) for u in (c, c + 1) if u < len(lows)]
+    return out
+
+
+def segment_keys(lines: DataFrame, threshold: int | None = None, min_chars: int = MIN_CHARS) -> DataFrame:
+    """h1, h2, place, key: hashes of substrings, of which two lines within the edits allowed share one."""
+    lows = [min_chars, *(x for x in CLASSES if x > min_chars)]
+    rows = F.broadcast(lines.sparkSession.createDataFrame(substrings(threshold, min_chars), "c int, under int, i int, at int, chars int, u int"))
+    u = sum((F.when(F.col("size") >= low, 1).otherwise(0) for low in lows[1:]), F.lit(0))
+    out = lines.withColumn("u", u).join(rows, "u").filter(F.col("size") < F.col("under"))
+    at = F.when(F.col("at") < 0, F.col("size") + F.col("at")).otherwise(F.col("at"))
+    return out.select("h1", "h2", "place", F.xxhash64("c", "i", F.substr("line", at + 1, F.col("chars"))).alias("key"))
 
 
 def banded_distance(longer: Column, shorter: Column, threshold: int = MOST) -> Column:
@@ -94,22 +109,27 @@ def banded_distance(longer: Column, shorter: Column, threshold: int = MOST) -> C
     return F.transform(chars, run)[0]
 
 
-def may_be_near(x: Column, y: Column, threshold: int) -> Column:
-    """A cheap test that no pair within the threshold fails; for one edit: all before it is equal, and all after it, to a quarter of the line."""
-    if threshold != 1:
-        return F.levenshtein(x, y, threshold) >= 0  # most pairs share one segment only, and verification is dear
-    n = F.least(F.length(x), F.length(y))
-    quarter = [F.floor(n * k / 4).cast("int") for k in range(4)]
-    head = lambda k: F.left(x, quarter[k]) == F.left(y, quarter[k])
-    tail = lambda k: F.right(x, n - quarter[k] - 1) == F.right(y, n - quarter[k] - 1)  # noqa: E731  after an edit before quarter k
-    return head(3) | (head(2) & tail(3)) | (head(1) & tail(2)) | tail(1)
+def _judged(line: Column, size: Column, min_chars: int, equal_chars: int | None) -> Column:
+    """Lines of at least min_chars characters, and others that are not blank of at least equal_chars."""
+    return (size >= min_chars) | F.lit(equal_chars is not None) & (size >= F.lit(equal_chars)) & line.rlike(r"\S")
+
+
+def _owner(doc_id: Column, text: Column) -> Column:
+    """A number that orders rows by doc_id (nulls first), with room for the place of a line (31 bits), then by 31 bits of a hash of the text."""
+    key = F.coalesce(doc_id.cast("decimal(38,0)"), F.lit(str(-(2**63) - 1)).cast("decimal(38,0)"))
+    return (key * F.lit(str(2**62)).cast("decimal(38,0)") + F.xxhash64(text).bitwiseAND(F.lit(2**31 - 1)).cast("decimal(38,0)")).cast("decimal(38,0)")
+
+
+def _at(no: Column) -> Column:
+    return (no.cast("decimal(38,0)") * F.lit(2**31).cast("decimal(38,0)")).cast("decimal(38,0)")
 
 
 def _lines(docs: DataFrame, min_chars: int, equal_chars: int | None = None) -> DataFrame:
-    """Lines of at least min_chars characters, and others that are not blank of at least equal_chars: doc_id, t (hash of the text), no, line, h1, h2, size."""
-    out = docs.select("doc_id", F.xxhash64("text").alias("t"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    out = out.withColumn("size", F.length("line")).filter((F.col("size") >= min_chars) | F.lit(equal_chars is not None) & (F.col("size") >= F.lit(equal_chars)) & F.col("line").rlike(r"\S"))
-    return out.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64("line", F.lit(1)))
+    """The judged lines: place, no, line, size, h1, h2; places order the lines of all documents."""
+    out = docs.select(_owner(F.col("doc_id"), F.col("text")).alias("owner"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
+    out = out.withColumn("size", F.length("line")).filter(_judged(F.col("line"), F.col("size"), min_chars, equal_chars))
+    place = (F.col("owner") + _at(F.col("no"))).cast("decimal(38,0)")
+    return out.select(place.alias("place"), "no", "line", "size", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"))
 
 
 def _some(big: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
@@ -118,52 +138,73 @@ def _some(big: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
     return big.join(F.broadcast(small) if few else small, on, "left_semi")
 
 
-def line_links(docs: DataFrame, threshold: int | None = None, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Pairs of distinct lines within the edits allowed of each other: a1, a2, b1, b2 (their hashes), distance."""
+def _near(pairs: DataFrame, texts: DataFrame, threshold: int | None) -> DataFrame:
+    """h1, h2 of the lines y of pairs (x1, x2, y1, y2) that are within the edits allowed of their x."""
     most = MOST if threshold is None else threshold
-    lines = cut(_lines(docs, min_chars).groupBy("h1", "h2").agg(F.first("line").alias("line"), F.first("size").alias("size")))
-    keys = probe_keys(lines, threshold, min_chars)
-    shared = keys.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.max("index").alias("index")).filter("low <> high and index").select("key")
-    shared = cut(shared)
-    contested = _some(keys, shared, ["key"]).groupBy("key", "h1", "h2").agg(F.max("index").alias("index"))
-    contested = cut(contested)  # read for both sides of the join
-    a = contested.filter("index").select("key", F.col("h1").alias("a1"), F.col("h2").alias("a2"))
-    b = contested.select("key", F.col("index").alias("also"), F.col("h1").alias("b1"), F.col("h2").alias("b2"))
-    pairs = a.join(b, "key").filter("(a1 <> b1 or a2 <> b2) and (not also or a1 < b1 or (a1 = b1 and a2 < b2))")
-    one, two = (F.struct(F.col(f"{x}1").alias("h1"), F.col(f"{x}2").alias("h2")) for x in "ab")
-    pairs = cut(pairs.select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b")).selectExpr("a.h1 a1", "a.h2 a2", "b.h1 b1", "b.h2 b2").distinct())
-    ends = pairs.select(F.col("a1").alias("h1"), F.col("a2").alias("h2")).union(pairs.select("b1", "b2")).distinct()
-    texts = _some(lines.select("h1", "h2", "line"), ends, ["h1", "h2"])
-    both = pairs.join(texts.toDF("a1", "a2", "x"), ["a1", "a2"]).join(texts.toDF("b1", "b2", "y"), ["b1", "b2"])
-    both = both.filter(may_be_near(F.col("x"), F.col("y"), most))
-    longer, shorter = F.when(F.length("x") >= F.length("y"), F.col("x")).otherwise(F.col("y")), F.when(F.length("x") >= F.length("y"), F.col("y")).otherwise(F.col("x"))
-    near = F.col("distance") <= edits_allowed(F.least(F.length("x"), F.length("y")), threshold)
-    return both.withColumn("distance", banded_distance(longer, shorter, most)).filter(near).select("a1", "a2", "b1", "b2", "distance")
+    both = pairs.join(texts.select(F.col("h1").alias("x1"), F.col("h2").alias("x2"), F.col("line").alias("x")), ["x1", "x2"])
+    both = both.join(texts.select(F.col("h1").alias("y1"), F.col("h2").alias("y2"), F.col("line").alias("y")), ["y1", "y2"])
+    both = both.filter((F.abs(F.length("x") - F.length("y")) <= most) & (F.levenshtein("x", "y", most) >= 0))  # most pairs fail this; what follows is dear
+    x_longer = F.length("x") >= F.length("y")
+    longer, shorter = F.when(x_longer, F.col("x")).otherwise(F.col("y")), F.when(x_longer, F.col("y")).otherwise(F.col("x"))
+    allowed = edits_allowed(F.length(shorter), threshold)
+    return cut(both.filter(banded_distance(longer, shorter, most) <= allowed).select(F.col("y1").alias("h1"), F.col("y2").alias("h2")).distinct())
+
+
+def near_lines(docs: DataFrame, threshold: int | None = None, min_chars: int = MIN_CHARS) -> DataFrame:
+    """h1, h2 of the lines of at least min_chars characters that have an earlier one, not equal, within the edits allowed."""
+    lines = _lines(docs, min_chars)
+    keys = segment_keys(lines, threshold, min_chars)
+    shared = cut(keys.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low <> high").select("key"))
+    contested = cut(_some(keys, shared, ["key"]).groupBy("key", "h1", "h2").agg(F.min("place").alias("place")))
+    known = contested.select("h1", "h2").distinct()
+    texts = cut(_some(lines, known, ["h1", "h2"]).groupBy("h1", "h2", "line").agg(F.min("place").alias("place")))
+    order = F.struct("place", "h1", "h2")
+    groups = cut(contested.groupBy("key").agg(F.min(order).alias("first"), F.count("*").alias("n")))
+    members = contested.join(groups, "key").filter(order > F.col("first"))
+    near = _near(members.selectExpr("first.h1 x1", "first.h2 x2", "h1 y1", "h2 y2").distinct(), texts, threshold)
+    others = members.filter("n > 2").select("key", "h1", "h2", "place")
+    y = others.join(near, ["h1", "h2"], "left_anti").selectExpr("key", "h1 y1", "h2 y2", "place as y_place")
+    pairs = others.selectExpr("key", "h1 x1", "h2 x2", "place as x_place").join(y, "key")
+    pairs = pairs.filter(F.struct("x_place", "x1", "x2") < F.struct("y_place", "y1", "y2"))
+    return near.union(_near(pairs.select("x1", "x2", "y1", "y2").distinct(), texts, threshold))
 
 
 def dedup_lines(docs: DataFrame, threshold: int | None = None, min_chars: int = MIN_CHARS, equal_chars: int | None = None) -> DataFrame:
-    """The rows of docs with further columns n_lines, n_equal and n_near (lines that go because an earlier one is equal, or near) and kept_text.
+    """The rows of docs (doc_id a whole number) with further columns n_lines, n_equal and n_near (lines that go because an earlier one is equal, or near) and kept_text.
 
     Lines shorter than min_chars are near to none; they stay, but those of equal_chars or more that are not blank and equal an
     earlier line go, if it is given. Null texts have no lines and stay null; empty ones have one, which stays. Lines are
     judged on the input, not on what is left. Rows that repeat doc_id and text count as one row, and get the same result.
     """
     names = docs.columns
-    small = cut(_lines(docs, min_chars, equal_chars).select("doc_id", "t", "no", "h1", "h2"))
-    firsts = small.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "no")).alias("first"))
-    links = line_links(docs, threshold, min_chars)
-    ends = links.join(firsts.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("first").alias("fa")), ["a1", "a2"]).join(firsts.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("first").alias("fb")), ["b1", "b2"])
-    later = ends.select(F.when(F.col("fa") > F.col("fb"), F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2"))).otherwise(F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2"))).alias("z")).select("z.*").distinct()
-    judged = small.join(firsts, ["h1", "h2"]).join(later.withColumn("near", F.lit(True)), ["h1", "h2"], "left")
-    gone = judged.select("doc_id", "t", "no", F.when(F.struct("doc_id", "no") > F.col("first"), F.lit(1)).when(F.col("near"), F.lit(2)).otherwise(F.lit(0)).alias("why")).filter("why > 0")
-    by_doc = gone.groupBy("doc_id", "t").agg(F.sort_array(F.collect_set(F.struct("no", "why"))).alias("gone"))
-    by_doc = by_doc.select(F.col("doc_id").alias("__d"), F.col("t").alias("__t"), "gone", F.transform("gone", lambda x: x["no"]).alias("places"))
-    out = docs.join(by_doc, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__t")), "left")
+    firsts = _lines(docs, min_chars, equal_chars).groupBy("h1", "h2").agg(F.min("place").alias("place"), F.min_by("no", "place").alias("no"))
+    near = near_lines(docs, threshold, min_chars).withColumn("near", F.lit(True))
+    first = F.struct("no", "h1", F.coalesce("near", F.lit(False)).alias("near"))
+    owner = (F.col("place") - _at(F.col("no"))).cast("decimal(38,0)")
+    by_doc = firsts.join(near, ["h1", "h2"], "left").groupBy(owner.alias("__owner")).agg(F.collect_list(first).alias("__firsts"))
+    out = docs.withColumn("__key", _owner(F.col("doc_id"), F.col("text"))).join(by_doc, F.col("__key") == F.col("__owner"), "left")
+
+    def judge(x: Column) -> Column:
+        all_places = F.sequence(F.lit(0), F.size(x) - 1)
+        judged = F.filter(all_places, lambda i: _judged(F.get(x, i), F.length(F.get(x, i)), min_chars, equal_chars))
+        own = F.filter(F.coalesce("__firsts", F.array()), lambda f: F.xxhash64(F.get(x, f["no"])) == f["h1"])
+
+        def result(f: Column) -> Column:
+            gone = F.array_except(judged, F.transform(F.filter(f, lambda k: ~k["near"]), lambda k: k["no"]))
+            near = F.size(F.filter(f, lambda k: k["near"]))
+            finish = lambda g: F.struct(
+                (F.size(g) - near).cast("long").alias("equal"), near.cast("long").alias("near"),
+                F.when(F.size(g) > 0, F.array_join(F.transform(F.array_except(all_places, g), lambda i: F.get(x, i)), "\n")).alias("kept"),
+            )
+            return let(gone, finish)
+
+        return let(own, result)
+
     lines = F.split("text", "\n")
-    kept = let(lines, lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("places")), lambda i: F.get(x, i)))
-    count = lambda w: F.coalesce(F.size(F.filter("gone", lambda x: x["why"] == w)), F.lit(0)).cast("long")
-    has = F.col("gone").isNotNull()
-    return out.select(*[docs[c] for c in names], F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long").alias("n_lines"), F.when(has, count(1)).otherwise(F.lit(0)).alias("n_equal"), F.when(has, count(2)).otherwise(F.lit(0)).alias("n_near"), F.when(has, F.array_join(kept, "\n")).otherwise(F.col("text")).alias("kept_text"))
+    out = out.withColumn("__r", F.when(F.col("text").isNotNull(), let(lines, judge)))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    counts = [zero(F.size(lines).cast("long")).alias("n_lines"), zero(F.col("__r.equal")).alias("n_equal"), zero(F.col("__r.near")).alias("n_near")]
+    return out.select(*[F.col(f"`{c}`") for c in names], *counts, F.coalesce("__r.kept", "text").alias("kept_text"))
 
 
 def op5_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
