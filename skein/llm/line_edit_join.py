@@ -9,7 +9,7 @@ wherever it lies: 15 keys a line at 6 edits. Keys that only one distinct line ha
 against its earliest line, and only those that are not near to that one against the others. Pairs
 are verified by the banded bit-parallel edit distance: a band of 2t + 1 bits moves along the diagonal.
 
-Only DataFrame functions. A line is known by two 64-bit hashes; occurrences of equal lines collapse before they are shuffled.
+Only DataFrame functions. Equal lines are known by two 64-bit hashes; occurrences of equal lines collapse before they are shuffled.
 """
 
 from __future__ import annotations
@@ -57,13 +57,13 @@ def substrings(threshold: int | None, min_chars: int) -> list[tuple[int, int, in
 
 
 def segment_keys(lines: DataFrame, threshold: int | None = None, min_chars: int = MIN_CHARS) -> DataFrame:
-    """h1, h2, place, key: hashes of substrings, of which two lines within the edits allowed share one."""
+    """h1 (of the line) and key: hashes of substrings, of which two lines within the edits allowed share one."""
     lows = [min_chars, *(x for x in CLASSES if x > min_chars)]
     rows = F.broadcast(lines.sparkSession.createDataFrame(substrings(threshold, min_chars), "c int, under int, i int, at int, chars int, u int"))
     u = sum((F.when(F.col("size") >= low, 1).otherwise(0) for low in lows[1:]), F.lit(0))
     out = lines.withColumn("u", u).join(rows, "u").filter(F.col("size") < F.col("under"))
     at = F.when(F.col("at") < 0, F.col("size") + F.col("at")).otherwise(F.col("at"))
-    return out.select("h1", "h2", "place", F.xxhash64("c", "i", F.substr("line", at + 1, F.col("chars"))).alias("key"))
+    return out.select("h1", F.xxhash64("c", "i", F.substr("line", at + 1, F.col("chars"))).alias("key"))
 
 
 def banded_distance(longer: Column, shorter: Column, threshold: int = MOST) -> Column:
@@ -139,15 +139,15 @@ def _some(big: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
 
 
 def _near(pairs: DataFrame, texts: DataFrame, threshold: int | None) -> DataFrame:
-    """h1, h2 of the lines y of pairs (x1, x2, y1, y2) that are within the edits allowed of their x."""
+    """h1, h2 of the later lines of pairs (a, b) of first hashes that are within the edits allowed."""
     most = MOST if threshold is None else threshold
-    both = pairs.join(texts.select(F.col("h1").alias("x1"), F.col("h2").alias("x2"), F.col("line").alias("x")), ["x1", "x2"])
-    both = both.join(texts.select(F.col("h1").alias("y1"), F.col("h2").alias("y2"), F.col("line").alias("y")), ["y1", "y2"])
-    both = both.filter((F.abs(F.length("x") - F.length("y")) <= most) & (F.levenshtein("x", "y", most) >= 0))  # most pairs fail this; what follows is dear
-    x_longer = F.length("x") >= F.length("y")
-    longer, shorter = F.when(x_longer, F.col("x")).otherwise(F.col("y")), F.when(x_longer, F.col("y")).otherwise(F.col("x"))
-    allowed = edits_allowed(F.length(shorter), threshold)
-    return cut(both.filter(banded_distance(longer, shorter, most) <= allowed).select(F.col("y1").alias("h1"), F.col("y2").alias("h2")).distinct())
+    line = lambda name: F.struct("place", "h1", "h2", "line").alias(name)
+    both = pairs.join(texts.select(F.col("h1").alias("a"), line("x")), "a").join(texts.select(F.col("h1").alias("b"), line("y")), "b")
+    x, y = F.col("x.line"), F.col("y.line")
+    both = both.filter((F.abs(F.length(x) - F.length(y)) <= most) & (F.levenshtein(x, y, most) >= 0))  # most pairs fail this; what follows is dear
+    longer, shorter = F.when(F.length(x) >= F.length(y), x).otherwise(y), F.when(F.length(x) >= F.length(y), y).otherwise(x)
+    near = both.filter(banded_distance(longer, shorter, most) <= edits_allowed(F.length(shorter), threshold))
+    return cut(near.select(F.greatest("x", "y").alias("z")).select("z.h1", "z.h2").distinct())
 
 
 def near_lines(docs: DataFrame, threshold: int | None = None, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -155,18 +155,17 @@ def near_lines(docs: DataFrame, threshold: int | None = None, min_chars: int = M
     lines = _lines(docs, min_chars)
     keys = segment_keys(lines, threshold, min_chars)
     shared = cut(keys.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low <> high").select("key"))
-    contested = cut(_some(keys, shared, ["key"]).groupBy("key", "h1", "h2").agg(F.min("place").alias("place")))
-    known = contested.select("h1", "h2").distinct()
-    texts = cut(_some(lines, known, ["h1", "h2"]).groupBy("h1", "h2", "line").agg(F.min("place").alias("place")))
-    order = F.struct("place", "h1", "h2")
-    groups = cut(contested.groupBy("key").agg(F.min(order).alias("first"), F.count("*").alias("n")))
-    members = contested.join(groups, "key").filter(order > F.col("first"))
-    near = _near(members.selectExpr("first.h1 x1", "first.h2 x2", "h1 y1", "h2 y2").distinct(), texts, threshold)
-    others = members.filter("n > 2").select("key", "h1", "h2", "place")
-    y = others.join(near, ["h1", "h2"], "left_anti").selectExpr("key", "h1 y1", "h2 y2", "place as y_place")
-    pairs = others.selectExpr("key", "h1 x1", "h2 x2", "place as x_place").join(y, "key")
-    pairs = pairs.filter(F.struct("x_place", "x1", "x2") < F.struct("y_place", "y1", "y2"))
-    return near.union(_near(pairs.select("x1", "x2", "y1", "y2").distinct(), texts, threshold))
+    contested = cut(_some(keys, shared, ["key"]).distinct())
+    texts = cut(_some(lines, contested.select("h1").distinct(), ["h1"]).groupBy("h1", "h2", "line").agg(F.min("place").alias("place")))
+    dated = contested.join(texts.groupBy("h1").agg(F.min("place").alias("place")), "h1")
+    groups = cut(dated.groupBy("key").agg(F.min(F.struct("place", "h1")).alias("first"), F.count("*").alias("n"))).selectExpr("key", "first.h1 as first", "n")
+    members = contested.join(groups, "key").filter("h1 <> first")
+    ordered = lambda p, q: [F.least(p, q).alias("a"), F.greatest(p, q).alias("b")]
+    near = _near(members.select(*ordered(F.col("first"), F.col("h1"))).distinct(), texts, threshold)
+    others = members.filter("n > 2").select("key", "h1")
+    y = others.join(near, ["h1"], "left_anti").withColumnRenamed("h1", "y")
+    pairs = others.join(y, "key").filter("h1 <> y").select(*ordered(F.col("h1"), F.col("y"))).distinct()
+    return near.union(_near(pairs, texts, threshold)).distinct()
 
 
 def dedup_lines(docs: DataFrame, threshold: int | None = None, min_chars: int = MIN_CHARS, equal_chars: int | None = None) -> DataFrame:

@@ -124,3 +124,21 @@ def test_secret_field_learns_from_long_lines_and_decides_alone(spark):
         assert secret_crf.Scanner(field).scan("my key = sk_live4eC39HqLyjWDarjtT1zdp7dc") == [(9, 3, 40)]
     field.viterbi = lambda e: np.array([secret_crf.O, secret_crf.B, secret_crf.O, secret_crf.B])
     assert secret_crf.Scanner(field).scan("pwd correcthorse is abc") == [(4, 3, 16), (20, 3, 23)]
+
+
+def test_near_lines_across_classes_of_length(spark):
+    rng, rows = random.Random(3), []
+    for size in (28, 31, 39, 41, 50, 58, 61, 88, 91, 139, 142, 208, 322, 730):
+        base = [rng.choice("abcdefghijklmnopqrstuvwxyz é") for _ in range(size)]
+        rows.append("".join(base))
+        for _ in range(12):
+            line = list(base)
+            for _ in range(rng.randint(1, 8)):
+                at = rng.choice([0, len(line), rng.randrange(len(line))])
+                line[at : at + rng.choice([0, 1])] = rng.choice(["", "X", "Y"])
+            rows.append("".join(line))
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    out = {r.doc_id: r.n_near for r in line_edit_join.dedup_lines(docs).collect()}
+    want = {i: int(any(abs(len(x) - len(y)) <= 6 and edits(x, y) <= min(6, max(2, min(len(x), len(y)) // 10)) for y in rows[:i]) and x not in rows[:i]) for i, x in enumerate(rows)}
+    assert out == want and 60 < sum(want.values()) < len(rows) - 14
