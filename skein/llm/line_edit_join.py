@@ -57,13 +57,13 @@ def substrings(threshold: int | None, min_chars: int) -> list[tuple[int, int, in
 
 
 def segment_keys(lines: DataFrame, threshold: int | None = None, min_chars: int = MIN_CHARS) -> DataFrame:
-    """h1 (of the line) and key: hashes of substrings, of which two lines within the edits allowed share one."""
+    """h1 and size (of the line) and key: hashes of substrings, of which two lines within the edits allowed share one."""
     lows = [min_chars, *(x for x in CLASSES if x > min_chars)]
     rows = F.broadcast(lines.sparkSession.createDataFrame(substrings(threshold, min_chars), "c int, under int, i int, at int, chars int, u int"))
     u = sum((F.when(F.col("size") >= low, 1).otherwise(0) for low in lows[1:]), F.lit(0))
     out = lines.withColumn("u", u).join(rows, "u").filter(F.col("size") < F.col("under"))
     at = F.when(F.col("at") < 0, F.col("size") + F.col("at")).otherwise(F.col("at"))
-    return out.select("h1", F.xxhash64("c", "i", F.substr("line", at + 1, F.col("chars"))).alias("key"))
+    return out.select("h1", "size", F.xxhash64("c", "i", F.substr("line", at + 1, F.col("chars"))).alias("key"))
 
 
 def banded_distance(longer: Column, shorter: Column, threshold: int = MOST) -> Column:
@@ -162,9 +162,9 @@ def near_lines(docs: DataFrame, threshold: int | None = None, min_chars: int = M
     members = contested.join(groups, "key").filter("h1 <> first")
     ordered = lambda p, q: [F.least(p, q).alias("a"), F.greatest(p, q).alias("b")]
     near = _near(members.select(*ordered(F.col("first"), F.col("h1"))).distinct(), texts, threshold)
-    others = members.filter("n > 2").select("key", "h1")
-    y = others.join(near, ["h1"], "left_anti").withColumnRenamed("h1", "y")
-    pairs = others.join(y, "key").filter("h1 <> y").select(*ordered(F.col("h1"), F.col("y"))).distinct()
+    others = members.filter("n > 2").select("key", "h1", "size")
+    y = others.join(near, ["h1"], "left_anti").selectExpr("key", "h1 as y", "size as y_size")
+    pairs = others.join(y, "key").filter((F.col("h1") != F.col("y")) & (F.abs(F.col("size") - F.col("y_size")) <= (MOST if threshold is None else threshold))).select(*ordered(F.col("h1"), F.col("y"))).distinct()
     return near.union(_near(pairs, texts, threshold)).distinct()
 
 
