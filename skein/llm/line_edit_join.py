@@ -5,19 +5,23 @@ length allows (or a flat `threshold`). Lines are dealt to classes of length; the
 and the size of t + 1 segments: the first ones are counted from the start of a line, the last ones from its end. Of two lines
 within t edits, some segment i of one lies unchanged in the other, moved by at most i from the start and t - i from the end. A segment gives
 the hashes of the few substrings of it whose places differ by every such move (`places`), so both lines give one hash in common
-wherever it lies: 15 keys a line at 6 edits. Keys that only one distinct line has go in a partial aggregation. The lines of a key are first held
-against its earliest line, and only those that are not near to that one against the others. Pairs
-are verified by the banded bit-parallel edit distance: a band of 2t + 1 bits moves along the diagonal.
+wherever it lies: 15 keys a line at 6 edits. Keys are shuffled once, and those that only one distinct line has go where they arrive. A line's
+sketch counts its letters; an edit moves two counts by one, so pairs whose sketches differ by more are never
+made. The lines of a key are first held against its earliest line, and only those that are not near to that one against the
+others. Pairs are verified by the banded bit-parallel edit distance: a band of 2t + 1 bits moves along the diagonal.
 
 Only DataFrame functions. Equal lines are known by two 64-bit hashes; occurrences of equal lines collapse before they are shuffled.
 """
 
 from __future__ import annotations
 
+import functools
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, let, table
+from .common import cut, let, parts_for, table
 
 MIN_CHARS = 20
 #: Two lines are near within an edit for each CHARS_PER_EDIT characters of the shorter, at least LEAST and at most MOST: a changed word is.
@@ -26,6 +30,12 @@ LEAST, MOST, CHARS_PER_EDIT = 2, 6, 10
 CLASSES = (20, 30, 40, 50, 60, 90, 140, 210, 320, 480, 720)
 #: Rows of two longs that may be broadcast; beyond it the joins are shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Bits of a key; two that meet by chance only make a pair more.
+KEY_BITS = 40
+#: A line's two sketches count these single bytes; lines of other scripts have weaker sketches and so more pairs to verify.
+LETTERS = (" eniatrsodhulcm", "wfgbypvkjqz.,IT")
+#: Characters of texts that may be broadcast; beyond it the texts of pairs are shuffled.
+BROADCAST_CHARS = 50_000_000
 
 
 def edits_allowed(length: Column, threshold: int | None) -> Column:
@@ -57,13 +67,42 @@ def substrings(threshold: int | None, min_chars: int) -> list[tuple[int, int, in
 
 
 def segment_keys(lines: DataFrame, threshold: int | None = None, min_chars: int = MIN_CHARS) -> DataFrame:
-    """h1 and size (of the line) and key: hashes of substrings, of which two lines within the edits allowed share one."""
+    """h1 (of the line) and key: hashes of substrings, of which two lines within the edits allowed share one."""
     lows = [min_chars, *(x for x in CLASSES if x > min_chars)]
-    rows = F.broadcast(lines.sparkSession.createDataFrame(substrings(threshold, min_chars), "c int, under int, i int, at int, chars int, u int"))
+    # An expression and no table: equal plans are known as equal, so that keys are shuffled once.
+    reads = [f"array({', '.join(f'struct({c} as c, {under} as under, {i} as i, {at} as at, {chars} as chars)' for c, under, i, at, chars, u in substrings(threshold, min_chars) if u == k)})" for k in range(len(lows))]
     u = sum((F.when(F.col("size") >= low, 1).otherwise(0) for low in lows[1:]), F.lit(0))
-    out = lines.withColumn("u", u).join(rows, "u").filter(F.col("size") < F.col("under"))
+    out = lines.select("h1", "size", "line", F.explode(F.get(F.expr(f"array({', '.join(reads)})"), u)).alias("r")).select("h1", "size", "line", "r.*").filter(F.col("size") < F.col("under"))
     at = F.when(F.col("at") < 0, F.col("size") + F.col("at")).otherwise(F.col("at"))
-    return out.select("h1", "size", F.xxhash64("c", "i", F.substr("line", at + 1, F.col("chars"))).alias("key"))
+    key = F.xxhash64("c", "i", F.substr("line", at + 1, F.col("chars"))).bitwiseAND(F.lit(2**KEY_BITS - 1))
+    return out.select("h1", key.alias("key"))
+
+
+def sketch(line: Column, letters: str) -> Column:
+    """60 bits: how often each of 15 letters stands in a line, modulo 8, in a code that changes one bit a step.
+
+    An edit takes one character and adds one at most, so sketches (of different letters, together) of lines within t edits differ in at most 2t bits.
+    """
+    ones = F.lit(0x111111111111111)
+
+    def count(x: Column) -> Column:
+        of = [(F.octet_length(x) - F.octet_length(F.replace(x, F.lit(c), F.lit("")))).cast("long").bitwiseAND(F.lit(7)) for c in letters]
+        return functools.reduce(lambda x, y: x.bitwiseOR(y), [F.shiftleft(n, 4 * k) for k, n in enumerate(of)])
+
+    def code(n: Column) -> Column:
+        a, b, d = n.bitwiseAND(ones), F.shiftright(n, 1).bitwiseAND(ones), F.shiftright(n, 2).bitwiseAND(ones)
+        bits = [d.bitwiseXOR(a.bitwiseOR(b)), d.bitwiseXOR(b), d.bitwiseXOR(a.bitwiseAND(b)), d]
+        return functools.reduce(lambda x, y: x.bitwiseOR(y), [F.shiftleft(x, k) for k, x in enumerate(bits)])
+
+    return let(count(line), code)
+
+
+def _may_be_near(x: str, y: str, threshold: int | None) -> Column:
+    """Whether the lengths and the sketches of two lines leave it open that they are within the edits allowed."""
+    sizes = F.col(f"{x}.size"), F.col(f"{y}.size")
+    edits = edits_allowed(F.least(*sizes), threshold)
+    differ = [F.bit_count(F.col(f"{x}.{k}").bitwiseXOR(F.col(f"{y}.{k}"))) for k in ("s0", "s1")]
+    return (F.abs(sizes[0] - sizes[1]) <= edits) & (functools.reduce(lambda p, q: p + q, differ) <= 2 * edits)
 
 
 def banded_distance(longer: Column, shorter: Column, threshold: int = MOST) -> Column:
@@ -109,6 +148,18 @@ def banded_distance(longer: Column, shorter: Column, threshold: int = MOST) -> C
     return F.transform(chars, run)[0]
 
 
+def _trimmed(pair: Column) -> Column:
+    """a and b without what both begin and end with, in whole steps of 16 characters: the edit distance stays."""
+    size = lambda p: F.least(F.length(p["a"]), F.length(p["b"]))
+    steps = lambda p: F.transform(F.sequence(F.lit(0), F.floor(size(p) / 16).cast("int")), lambda k: k * 16)
+    head = lambda p: F.array_max(F.filter(steps(p), lambda k: F.substr(p["a"], F.lit(1), k) == F.substr(p["b"], F.lit(1), k)))
+    end = lambda x, k: F.substr(x, F.length(x) - k + 1, k)
+    tail = lambda p: F.array_max(F.filter(steps(p), lambda k: end(p["a"], k) == end(p["b"], k)))
+    behind = lambda p: let(head(p), lambda k: F.struct(F.substr(p["a"], k + 1, F.length(p["a"]) - k).alias("a"), F.substr(p["b"], k + 1, F.length(p["b"]) - k).alias("b")))
+    before = lambda p: let(tail(p), lambda k: F.struct(F.substr(p["a"], F.lit(1), F.length(p["a"]) - k).alias("a"), F.substr(p["b"], F.lit(1), F.length(p["b"]) - k).alias("b")))
+    return let(let(pair, behind), before)
+
+
 def _judged(line: Column, size: Column, min_chars: int, equal_chars: int | None) -> Column:
     """Lines of at least min_chars characters, and others that are not blank of at least equal_chars."""
     return (size >= min_chars) | F.lit(equal_chars is not None) & (size >= F.lit(equal_chars)) & line.rlike(r"\S")
@@ -138,34 +189,55 @@ def _some(big: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
     return big.join(F.broadcast(small) if few else small, on, "left_semi")
 
 
-def _near(pairs: DataFrame, texts: DataFrame, threshold: int | None) -> DataFrame:
-    """h1, h2 of the later lines of pairs (a, b) of first hashes that are within the edits allowed."""
+def _release(spark: SparkSession) -> None:
+    """Spark removes the files of a shuffle when the driver collects the plan that made it; a cut plan is not used again."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def _near(pairs: DataFrame, lines: DataFrame, known: DataFrame, threshold: int | None) -> DataFrame:
+    """id of the later lines (b) of pairs (a, b) of ids that are within the edits allowed; known has the ids' hashes."""
     most = MOST if threshold is None else threshold
-    line = lambda name: F.struct("place", "h1", "h2", "line").alias(name)
-    both = pairs.join(texts.select(F.col("h1").alias("a"), line("x")), "a").join(texts.select(F.col("h1").alias("b"), line("y")), "b")
-    x, y = F.col("x.line"), F.col("y.line")
-    both = both.filter((F.abs(F.length(x) - F.length(y)) <= most) & (F.levenshtein(x, y, most) >= 0))  # most pairs fail this; what follows is dear
+    pairs = cut(pairs.distinct())
+    ids = cut(known.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id").select("id", "h1", "h2"))
+    few = ids.count() <= BROADCAST_ROWS
+    texts = cut(lines.select("h1", "h2", "line").join(F.broadcast(ids) if few else ids, ["h1", "h2"]).select("id", "line").distinct())
+    few = (texts.agg(F.sum(F.length("line"))).first()[0] or 0) <= BROADCAST_CHARS
+    xs, ys = texts.selectExpr("id as a", "line as x"), texts.selectExpr("id as b", "line as y")
+    parts = parts_for(pairs.sparkSession, 0)
+    both = pairs.repartition(parts).join(F.broadcast(xs), "a").join(F.broadcast(ys), "b") if few else pairs.join(xs, "a").join(ys, "b")
+    x, y = F.col("x"), F.col("y")
+    both = both.filter((F.abs(F.length(x) - F.length(y)) <= most) & (F.levenshtein(x, y, most) >= 0))  # many pairs fail this; what follows is dear
     longer, shorter = F.when(F.length(x) >= F.length(y), x).otherwise(y), F.when(F.length(x) >= F.length(y), y).otherwise(x)
-    near = both.filter(banded_distance(longer, shorter, most) <= edits_allowed(F.length(shorter), threshold))
-    return cut(near.select(F.greatest("x", "y").alias("z")).select("z.h1", "z.h2").distinct())
+    middle = let(F.struct(longer.alias("a"), shorter.alias("b")), _trimmed)
+    both = both.select("b", F.length(shorter).alias("size"), middle.alias("m"))
+    near = both.filter(banded_distance(F.col("m.a"), F.col("m.b"), most) <= edits_allowed(F.col("size"), threshold))
+    out = cut(near.select(F.col("b").alias("id")).distinct())
+    _release(out.sparkSession)
+    return out
 
 
 def near_lines(docs: DataFrame, threshold: int | None = None, min_chars: int = MIN_CHARS) -> DataFrame:
     """h1, h2 of the lines of at least min_chars characters that have an earlier one, not equal, within the edits allowed."""
     lines = _lines(docs, min_chars)
-    keys = segment_keys(lines, threshold, min_chars)
-    shared = cut(keys.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low <> high").select("key"))
-    contested = cut(_some(keys, shared, ["key"]).distinct())
-    texts = cut(_some(lines, contested.select("h1").distinct(), ["h1"]).groupBy("h1", "h2", "line").agg(F.min("place").alias("place")))
-    dated = contested.join(texts.groupBy("h1").agg(F.min("place").alias("place")), "h1")
-    groups = cut(dated.groupBy("key").agg(F.min(F.struct("place", "h1")).alias("first"), F.count("*").alias("n"))).selectExpr("key", "first.h1 as first", "n")
-    members = contested.join(groups, "key").filter("h1 <> first")
-    ordered = lambda p, q: [F.least(p, q).alias("a"), F.greatest(p, q).alias("b")]
-    near = _near(members.select(*ordered(F.col("first"), F.col("h1"))).distinct(), texts, threshold)
-    others = members.filter("n > 2").select("key", "h1", "size")
-    y = others.join(near, ["h1"], "left_anti").selectExpr("key", "h1 as y", "size as y_size")
-    pairs = others.join(y, "key").filter((F.col("h1") != F.col("y")) & (F.abs(F.col("size") - F.col("y_size")) <= (MOST if threshold is None else threshold))).select(*ordered(F.col("h1"), F.col("y"))).distinct()
-    return near.union(_near(pairs, texts, threshold)).distinct()
+    keys = segment_keys(lines, threshold, min_chars).repartition("key")
+    shared = keys.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low <> high").select("key")
+    contested = cut(keys.join(shared.hint("shuffle_hash"), "key").distinct())  # a semi-join would go below the shuffle, and make a second one
+    _release(docs.sparkSession)
+    known = _some(lines, contested.select("h1").distinct(), ["h1"]).select("h1", "h2", "place", "size", *(sketch(F.col("line"), x).alias(f"s{k}") for k, x in enumerate(LETTERS)))
+    known = cut(known.groupBy("h1", "h2").agg(F.min("place").alias("place"), *(F.min(c).alias(c) for c in ("size", "s0", "s1"))))
+    # Ids are in the order of places.
+    known = cut(known.repartitionByRange("place").sortWithinPartitions("place").withColumn("id", F.monotonically_increasing_id()).drop("place"))
+    members = contested.join(known, "h1").select("key", F.struct("id", "size", "s0", "s1").alias("y")).repartition("key")
+    groups = members.groupBy("key").agg(F.min("y").alias("x"), F.count("*").alias("n")).filter("n > 1")
+    grouped = members.join(groups, "key")
+    pair = [F.col("x.id").alias("a"), F.col("y.id").alias("b")]
+    near = _near(grouped.filter((F.col("x.id") < F.col("y.id")) & _may_be_near("x", "y", threshold)).select(*pair), lines, known, threshold)
+    rest = grouped.filter((F.col("n") > 2) & (F.col("x.id") < F.col("y.id"))).select("key", "y")  # without the earliest of each key
+    later = rest.withColumn("id", F.col("y.id")).join(near, "id", "left_anti").select("key", "y").repartition("key")
+    pairs = rest.withColumnRenamed("y", "x").join(later, "key").filter((F.col("x.id") < F.col("y.id")) & _may_be_near("x", "y", threshold)).select(*pair)
+    near = near.union(_near(pairs, lines, known, threshold)).distinct()
+    return cut(known.join(near, "id", "left_semi").select("h1", "h2"))
 
 
 def dedup_lines(docs: DataFrame, threshold: int | None = None, min_chars: int = MIN_CHARS, equal_chars: int | None = None) -> DataFrame:

@@ -142,3 +142,29 @@ def test_near_lines_across_classes_of_length(spark):
     out = {r.doc_id: r.n_near for r in line_edit_join.dedup_lines(docs).collect()}
     want = {i: int(any(abs(len(x) - len(y)) <= 6 and edits(x, y) <= min(6, max(2, min(len(x), len(y)) // 10)) for y in rows[:i]) and x not in rows[:i]) for i, x in enumerate(rows)}
     assert out == want and 60 < sum(want.values()) < len(rows) - 14
+
+
+def test_lines_that_share_a_key_only_are_not_paired(spark, monkeypatch):
+    rng, pairs, near = random.Random(5), [], line_edit_join._near
+    monkeypatch.setattr(line_edit_join, "_near", lambda p, *rest: pairs.append(p.distinct().count()) or near(p, *rest))
+    rows = ["the same beginning: " + "".join(rng.choice("eniatrsodh ") for _ in range(45)) for _ in range(150)]
+    rows.append(rows[7][:40] + "xyz" + rows[7][42:])
+    out = {r.doc_id: r.n_near for r in line_edit_join.dedup_lines(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert out == {i: int(i == 150) for i in range(151)}
+    assert sum(pairs) < 1500  # of 11,325
+
+
+def test_sketches_and_trimming_leave_near_lines_near(spark):
+    rng, rows = random.Random(8), []
+    for _ in range(150):
+        a = [rng.choice(" eniatrsodhulcmwfgé😀,T") for _ in range(rng.choice([0, 3, 20, 64, 300]))]
+        b = list(a)
+        for _ in range(rng.randint(0, 7)):
+            at = rng.randint(0, len(b))
+            b[at : at + rng.choice([0, 1])] = rng.choice(["", "e", "😀", "z"])
+        rows.append(("".join(a), "".join(b)))
+    differ = sum(F.bit_count(line_edit_join.sketch(F.col("a"), x).bitwiseXOR(line_edit_join.sketch(F.col("b"), x))) for x in line_edit_join.LETTERS)
+    m = line_edit_join._trimmed(F.struct("a", "b"))
+    for r in spark.createDataFrame(rows, "a string, b string").select("a", "b", differ.alias("differ"), m.alias("m")).collect():
+        d = edits(r.a, r.b)
+        assert r.differ <= 2 * d and edits(r.m.a, r.m.b) == d
