@@ -27,6 +27,7 @@ from .common import cut, parts_for, shared_dir, table
 from .shingles import mixed
 
 K, CUTOFF, PACK_TOKENS = 5, 1, 800_000
+TABLE_ROWS = 200_000  # n-grams that a row of a stored table packs
 BEGIN = -1  # context of the first token; no token itself
 END = b""  # the word of the end token: no word is empty
 
@@ -173,14 +174,29 @@ def _reply(kind: int, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(([kind] * n, block, bucket, a, b, x, y, z), kinds, strict=True)], ["kind", "block", "bucket", "a", "b", "x", "y", "z"])
 
 
-def _table_batch(kind: int, bucket: int, x, y, z) -> pa.RecordBatch:
-    n = len(x)
-    none = lambda t: pa.nulls(n, t)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), none(pa.int64()), pa.array(np.full(n, bucket, np.int32)), none(pa.binary()), none(pa.binary()), pa.array(x), pa.array(y), pa.array(z)], ["kind", "block", "bucket", "a", "b", "x", "y", "z"])
+def _table_rows(bucket: int, x: np.ndarray, y: np.ndarray, z: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of kind 1, packed: x as differences in a, y and then z in b, their number in x; as columns they would be most of an executor's memory."""
+    for low in range(0, len(x), TABLE_ROWS):
+        part = slice(low, low + TABLE_ROWS)
+        packed = [_squeeze(np.diff(x[part], prepend=0)), _squeeze(np.concatenate([y[part], z[part]]))]
+        one = [pa.array([1], pa.int32()), pa.nulls(1, pa.int64()), pa.array([bucket], pa.int32()), *(pa.array([v], pa.binary()) for v in packed), pa.array([len(x[part])], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())]
+        yield pa.RecordBatch.from_arrays(one, ["kind", "block", "bucket", "a", "b", "x", "y", "z"])
+
+
+def table_rows(packed: DataFrame) -> DataFrame:
+    """x, y, z: the rows of a stored table (kind 1), unpacked."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in _dicts(batch):
+                y, z = _numbers(row["b"], np.int64).reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.cumsum(_numbers(row["a"], np.int64))), pa.array(y), pa.array(z)], ["x", "y", "z"])
+
+    return packed.select("a", "b").mapInArrow(unpack, "x long, y long, z long")
 
 
 def ask_words(packs: DataFrame, buckets: int) -> DataFrame:
-    """Kind 0: each block's answers (a: place of a word in its bucket, b: its training count). Kind 1: the table (x: id, y: count). Kind 2: how many words (y) have the count x, z tokens in all."""
+    """Kind 0: each block's answers (a: place of a word in its bucket, b: its training count). Kind 1: the table, packed (x: id, y: count). Kind 2: how many words (y) have the count x, z tokens in all."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,7 +224,7 @@ def ask_words(packs: DataFrame, buckets: int) -> DataFrame:
         for block, at, _ in questions:
             yield _reply(0, [(block, bucket, _squeeze(at), _squeeze(total[at]))])
         many = np.flatnonzero(total >= CUTOFF)
-        yield _table_batch(1, bucket, many * buckets + bucket, total[many], np.zeros(len(many), np.int64))
+        yield from _table_rows(bucket, many * buckets + bucket, total[many], np.zeros(len(many), np.int64))
         values, n = np.unique(total[total > 0], return_counts=True)
         small = values <= K + 1
         tail = n[~small].sum()
@@ -218,7 +234,7 @@ def ask_words(packs: DataFrame, buckets: int) -> DataFrame:
 
 
 def ask_bigrams(packs: DataFrame, buckets: int, uni: Unigrams, hot: int) -> DataFrame:
-    """As ask_words for bigrams. Kind 0: b is the count, 0 below the cutoff. Kind 1: the table of seen ones (x: context, y: token, z: count).
+    """As ask_words for bigrams. Kind 0: b is the count, 0 below the cutoff. Kind 1: the table of seen ones, packed (x: context, y: token, z: count).
     Kind 2: how many (y) have the count x. Kind 3: contexts (a), packed, and by context (b) its count, how many of its pairs have the
     counts 1 to K, the sum of the others and the sum of the unigram probabilities of its seen tokens."""
 
@@ -259,19 +275,24 @@ def ask_bigrams(packs: DataFrame, buckets: int, uni: Unigrams, hot: int) -> Data
             c, whole = np.concatenate(cs), np.concatenate(gs)
             hs, ws, ns, cs, gs = [], [], [], [], []
             order = np.lexsort((w, h))
+            h, w = h[order], w[order]
             new = np.ones(len(order), bool)
-            new[1:] = (h[order][1:] != h[order][:-1]) | (w[order][1:] != w[order][:-1])
+            new[1:] = (h[1:] != h[:-1]) | (w[1:] != w[:-1])
             group = np.cumsum(new) - 1
             total = np.bincount(group, n[order]).astype(np.int64)
-            each = np.empty(len(order), np.int64)
-            each[order] = total[group]
-            each[each < CUTOFF] = 0
+            each = np.empty(len(order), np.int32)
+            each[order] = np.where(total < CUTOFF, 0, total)[group]
+            del group, n
             for i, block in enumerate(blocks):
-                yield _reply(0, [(block, bucket, b"", _squeeze(each[cuts[i] : cuts[i + 1]].astype(np.int32)))])
-            first = order[new]
+                yield _reply(0, [(block, bucket, b"", _squeeze(each[cuts[i] : cuts[i + 1]]))])
+            del each
             seen = total >= CUTOFF
-            yield _table_batch(1, bucket, h[first][seen], w[first][seen], total[seen])
-            yield from _context_sums(bucket, h[first][seen], whole[first][seen], total[seen], uni.probability(c[first][seen]))
+            first = order[new][seen]
+            h, w, c, whole, counts = h[new][seen], w[new][seen], c[first], whole[first], total[seen]
+            del order, new, first
+            yield from _table_rows(bucket, h, w, counts)
+            del w
+            yield from _context_sums(bucket, h, whole, counts, uni.probability(c))
             values, many = np.unique(total[total > 0], return_counts=True)
             for v, c in zip(values, many, strict=True):
                 if v <= K + 1:

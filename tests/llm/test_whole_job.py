@@ -168,3 +168,27 @@ def test_sketches_and_trimming_leave_near_lines_near(spark):
     for r in spark.createDataFrame(rows, "a string, b string").select("a", "b", differ.alias("differ"), m.alias("m")).collect():
         d = edits(r.a, r.b)
         assert r.differ <= 2 * d and edits(r.m.a, r.m.b) == d
+
+
+def test_katz_tables_are_stored_packed_and_whole(spark, monkeypatch):
+    stored, store = [], katz_lm._store
+    monkeypatch.setattr(katz_lm, "_store", lambda df, where: stored.append(store(df, where)) or stored[-1])
+    lines = ["a b c d a b", "a c b d", "", "e a b f"]
+    katz_lm.score_documents(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), F.col("doc_id") < 9).collect()
+    words, pairs = collections.Counter(), collections.Counter()
+    for line in lines:
+        tokens = line.split() + [""]
+        words.update(tokens)
+        pairs.update(zip([None, *tokens], tokens, strict=False))
+    one, two = (katz_lm.table_rows(x[1]).collect() for x in stored)
+    assert sorted(r.y for r in one) == sorted(words.values()) and len({r.x for r in one}) == len(words)
+    assert sorted(r.z for r in two) == sorted(pairs.values()) and len({(r.x, r.y) for r in two}) == len(pairs)
+    count, n = {r.x: r.y for r in one}, lambda w: len(lines) if w is None else words[w]
+    assert sorted((count.get(r.x, len(lines)), count[r.y], r.z) for r in two) == sorted((n(h), words[w], k) for (h, w), k in pairs.items())
+    assert stored[1][1].agg(F.sum("x")).first()[0] == len(pairs)
+    monkeypatch.setattr(katz_lm, "TABLE_ROWS", 3)
+    x = np.arange(7) * 5 - 3
+    parts = [b.to_pylist()[0] for b in katz_lm._table_rows(2, x, x + 1, x + 2)]
+    y, z = (np.concatenate([katz_lm._numbers(r["b"], np.int64).reshape(2, -1)[k] for r in parts]) for k in (0, 1))
+    assert [r["x"] for r in parts] == [3, 3, 1] and (y == x + 1).all() and (z == x + 2).all()
+    assert (np.concatenate([np.cumsum(katz_lm._numbers(r["a"], np.int64)) for r in parts]) == x).all()
