@@ -57,6 +57,11 @@ def tilted(lam: Column, size: Column, cap: float = CAP) -> Column:
     return F.when(lam * size >= F.log(F.lit(float(cap))), F.lit(float(cap))).otherwise(F.exp(lam * size))
 
 
+def _sum(x: Column) -> Column:
+    """A sum of doubles that does not depend on the order of rows, so that reruns agree to the last digit."""
+    return F.sum(x.cast("decimal(38,14)")).cast("double")
+
+
 def newton_tilts(classes: DataFrame, targets: DataFrame, cap: float = CAP, steps: int = STEPS, tolerance: float = TOLERANCE) -> DataFrame:
     """s (source), lam: where the dual's gradient sum(n * size * r) - target is zero, from classes (source, size, n) and targets (s, target).
 
@@ -75,7 +80,7 @@ def newton_tilts(classes: DataFrame, targets: DataFrame, cap: float = CAP, steps
             break
         now = worded.join(state.filter("not done"), F.col("source").eqNullSafe(F.col("s")))
         r = tilted(F.col("lam"), F.col("size"), cap)
-        sums = now.groupBy(F.col("source").alias("s1")).agg(F.sum(F.col("n") * F.col("size") * r).alias("f"), F.sum(F.when(r < cap, F.col("n") * F.col("size") * F.col("size") * r).otherwise(F.lit(0.0))).alias("h"))
+        sums = now.groupBy(F.col("source").alias("s1")).agg(_sum(F.col("n") * F.col("size") * r).alias("f"), _sum(F.when(r < cap, F.col("n") * F.col("size") * F.col("size") * r).otherwise(F.lit(0.0))).alias("h"))
         both = state.join(sums, F.col("s").eqNullSafe(F.col("s1")), "left").withColumn("g", F.col("f") - F.col("target"))
         low, high = F.when(F.col("g") <= 0, F.col("lam")).otherwise(F.col("low")), F.when(F.col("g") >= 0, F.col("lam")).otherwise(F.col("high"))
         both = both.withColumn("low", F.when(F.col("done"), F.col("low")).otherwise(low)).withColumn("high", F.when(F.col("done"), F.col("high")).otherwise(high))

@@ -192,3 +192,15 @@ def test_katz_tables_are_stored_packed_and_whole(spark, monkeypatch):
     y, z = (np.concatenate([katz_lm._numbers(r["b"], np.int64).reshape(2, -1)[k] for r in parts]) for k in (0, 1))
     assert [r["x"] for r in parts] == [3, 3, 1] and (y == x + 1).all() and (z == x + 2).all()
     assert (np.concatenate([np.cumsum(katz_lm._numbers(r["a"], np.int64)) for r in parts]) == x).all()
+
+
+def test_tilts_do_not_depend_on_the_order_of_rows(spark):
+    rng = random.Random(2)
+    rows = [(f"s{k % 3}", 1 + k // 3, rng.randint(1, 9)) for k in range(600)]
+    targets = spark.createDataFrame([(f"s{k}", w * sum(z * n for s, z, n in rows if s == f"s{k}")) for k, w in enumerate((0.3, 1.7, 2.6))], "s string, target double")
+    got = set()
+    for seed in range(4):
+        random.Random(seed).shuffle(rows)
+        classes = spark.createDataFrame(rows, "source string, size long, n long").repartition(seed + 2)
+        got.add(tuple(sorted(map(tuple, entropy_mix.newton_tilts(classes, targets).collect()))))
+    assert len(got) == 1
