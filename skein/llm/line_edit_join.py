@@ -5,9 +5,10 @@ length allows (or a flat `threshold`). Lines are dealt to classes of length; the
 and the size of t + 1 segments: the first ones are counted from the start of a line, the last ones from its end. Of two lines
 within t edits, some segment i of one lies unchanged in the other, moved by at most i from the start and t - i from the end. A segment gives
 the hashes of the few substrings of it whose places differ by every such move (`places`), so both lines give one hash in common
-wherever it lies: 15 keys a line at 6 edits. Keys are shuffled once, and those that only one distinct line has go where they arrive. A line's
-sketch counts its letters; an edit moves two counts by one, so pairs whose sketches differ by more are never
-made. The lines of a key are first held against its earliest line, and only those that are not near to that one against the
+wherever it lies: 15 keys a line at 6 edits. One pair of places stands for each move (`roles`), and one of two lines must be of the class
+that is read, so lines that only meet otherwise are no pair of that key. Keys are shuffled once, and those without such a pair go where
+they arrive. The sketches of a line's halves count letters; an edit moves two counts by one, so pairs whose sketches differ by more are never
+made, and a pair that has several unmoved segments in common is made in one of them. The lines of a key are first held against its earliest line, and only those that are not near to that one against the
 others. Pairs are verified by the banded bit-parallel edit distance: a band of 2t + 1 bits moves along the diagonal.
 
 Only DataFrame functions. Equal lines are known by two 64-bit hashes; occurrences of equal lines collapse before they are shuffled.
@@ -17,8 +18,9 @@ from __future__ import annotations
 
 import functools
 import gc
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, let, parts_for, table
@@ -26,14 +28,18 @@ from .common import cut, let, parts_for, table
 MIN_CHARS = 20
 #: Two lines are near within an edit for each CHARS_PER_EDIT characters of the shorter, at least LEAST and at most MOST: a changed word is.
 LEAST, MOST, CHARS_PER_EDIT = 2, 6, 10
-#: Least lengths of the classes of length; edits are the same within a class.
-CLASSES = (20, 30, 40, 50, 60, 90, 140, 210, 320, 480, 720)
+#: Least lengths of the classes of length; edits are the same within a class, and no class is narrower than the most edits. Those of short lines
+#: are narrow: a longer substring has fewer lines in common, which counts for more than the lines that read two classes.
+CLASSES = (20, 30, 40, 50, 60, 70, 77, 91, 112, 140, 210, 320, 480, 720)
 #: Rows of two longs that may be broadcast; beyond it the joins are shuffled.
 BROADCAST_ROWS = 1_000_000
 #: Bits of a key; two that meet by chance only make a pair more.
 KEY_BITS = 40
-#: A line's two sketches count these single bytes; lines of other scripts have weaker sketches and so more pairs to verify.
+#: Bits of h1 beside a key; lines that share them are told apart by h1 and h2 later.
+LINE_BITS = 48
+#: A line's two sketches, of its halves, count these single bytes, a frequent and a rare one together; lines of other scripts have weaker sketches and so more pairs to verify.
 LETTERS = (" eniatrsodhulcm", "wfgbypvkjqz.,IT")
+COUNTED = [x + y for x, y in zip(LETTERS[0], reversed(LETTERS[1]), strict=True)]
 #: Characters of texts that may be broadcast; beyond it the texts of pairs are shuffled.
 BROADCAST_CHARS = 50_000_000
 
@@ -49,8 +55,19 @@ def places(reach: int) -> list[int]:
     return min(sets, key=lambda x: (len(x), x[-1]))
 
 
-def substrings(threshold: int | None, min_chars: int) -> list[tuple[int, int, int, int, int, int]]:
-    """Class, length that lines of the class above must be under, segment, place (negative: from the end), size and class that reads it."""
+def roles(reach: int) -> list[tuple[int, int]]:
+    """For each of the places: its bit, and the bits of those it meets. A whole segment in common, moved by any number, shows in one such meeting."""
+    at = places(reach)
+    meets = [0] * len(at)
+    for move in range(reach + 1):
+        a, b = next((a, b) for a in range(len(at)) for b in range(a, len(at)) if at[b] - at[a] == move)
+        meets[a] |= 1 << b
+        meets[b] |= 1 << a
+    return [(1 << k, m) for k, m in enumerate(meets)]
+
+
+def substrings(threshold: int | None, min_chars: int) -> list[tuple[int, int, int, int, int, int, tuple[int, int, int]]]:
+    """Class, length that lines of the class above must be under, segment, place (negative: from the end), size, class that reads it, and its role with 1 if that is the same class."""
     lows = [min_chars, *(x for x in CLASSES if x > min_chars)]
     out = []
     for c, low in enumerate(lows):
@@ -61,48 +78,91 @@ def substrings(threshold: int | None, min_chars: int) -> list[tuple[int, int, in
             if block <= at[-1]:
                 raise ValueError(f"lines of {low} characters are too short for {edits} edits")
             begin = i * block if i <= edits - i else -(edits + 1 - i) * block
-            for a in at:
-                out += [(c, lows[u] + edits if u > c else 2**31 - 1, i, begin + a, block - at[-1], u) for u in (c, c + 1) if u < len(lows)]
+            for a, role in zip(at, roles(min(i, edits - i)), strict=True):
+                out += [(c, lows[u] + edits if u > c else 2**31 - 1, i, begin + a, block - at[-1], u, (*role, int(u == c))) for u in (c, c + 1) if u < len(lows)]
     return out
 
 
 def segment_keys(lines: DataFrame, threshold: int | None = None, min_chars: int = MIN_CHARS) -> DataFrame:
-    """h1 (of the line) and key: hashes of substrings, of which two lines within the edits allowed share one."""
+    """h (bits of h1 of the line) and key: hashes of substrings, of which two lines within the edits allowed share one; above KEY_BITS the number of the role in `role_table`."""
     lows = [min_chars, *(x for x in CLASSES if x > min_chars)]
+    number = {r: k for k, r in enumerate(role_table(threshold, min_chars))}
     # An expression and no table: equal plans are known as equal, so that keys are shuffled once.
-    reads = [f"array({', '.join(f'struct({c} as c, {under} as under, {i} as i, {at} as at, {chars} as chars)' for c, under, i, at, chars, u in substrings(threshold, min_chars) if u == k)})" for k in range(len(lows))]
-    u = sum((F.when(F.col("size") >= low, 1).otherwise(0) for low in lows[1:]), F.lit(0))
-    out = lines.select("h1", "size", "line", F.explode(F.get(F.expr(f"array({', '.join(reads)})"), u)).alias("r")).select("h1", "size", "line", "r.*").filter(F.col("size") < F.col("under"))
+    read = lambda u, size: f"array({', '.join(f'struct({c} as c, {i} as i, {at} as at, {chars} as chars, {number[role]}L as role)' for c, under, i, at, chars, of, role in substrings(threshold, min_chars) if of == u and size < under)})"
+    under = [next((x[1] for x in substrings(threshold, min_chars) if x[5] == k and not x[6][2]), 0) for k in range(len(lows))]  # lines shorter than that read the class below too
+    reads = [read(k, size) for k in range(len(lows)) for size in (0, 2**31 - 2)][1:]
+    which = sum((F.when(F.col("size") >= at, 1).otherwise(0) for k in range(1, len(lows)) for at in (lows[k], under[k])), F.lit(0))
+    out = lines.select("h", "size", "line", F.explode(F.get(F.expr(f"array({', '.join(reads)})"), which)).alias("r")).select("h", "size", "line", "r.*")
     at = F.when(F.col("at") < 0, F.col("size") + F.col("at")).otherwise(F.col("at"))
     key = F.xxhash64("c", "i", F.substr("line", at + 1, F.col("chars"))).bitwiseAND(F.lit(2**KEY_BITS - 1))
-    return out.select("h1", key.alias("key"))
+    return out.select("h", key.bitwiseOR(F.shiftleft("role", KEY_BITS)).alias("key"))
+
+
+def role_table(threshold: int | None, min_chars: int) -> list[tuple[int, int, int]]:
+    """Bit of the place, bits of the places it meets, 1 if the line is of the class that is read."""
+    return sorted({x[-1] for x in substrings(threshold, min_chars)})
+
+
+def contested_keys(keys: DataFrame, table: list[tuple[int, int, int]]) -> DataFrame:
+    """h, key and role of the rows that meet another line's in their key, each once."""
+    role = F.shiftright("key", KEY_BITS).cast("int")
+    of = lambda role, k: F.get(F.expr(f"array({', '.join(str(x[k]) for x in table)})"), role)
+    own = max(x[0] for x in table) * 2  # the bit of a line of the class that is read
+    low = F.col("key").bitwiseAND(F.lit(2**KEY_BITS - 1))
+    keys = keys.repartition(low).select("h", low.alias("key"), role.alias("role"))
+    shared = keys.groupBy("key").agg(F.min("h").alias("least"), F.max("h").alias("most"), F.bit_or(of(F.col("role"), 0).bitwiseOR(of(F.col("role"), 2) * own)).alias("there"))
+    shared = shared.filter((F.col("least") != F.col("most")) & (F.col("there") >= own)).select("key", "there")
+    both = keys.join(shared.hint("shuffle_hash"), "key")  # a semi-join would go below the shuffle, and make a second one
+    return both.filter(of(F.col("role"), 1).bitwiseAND(F.col("there")) != 0).select("h", "key", "role").distinct()
+
+
+def _meet(x: str, y: str, table: list[tuple[int, int, int]]) -> Column:
+    """Whether two roles in one key are a pair's."""
+    n = len(table)
+    meet = ", ".join(str(bool(p[1] & q[0] and p[2] | q[2])).lower() for p in table for q in table)
+    return F.get(F.expr(f"array({meet})"), F.col(x) * n + F.col(y))
+
 
+def _counted(x: Column, letters: Sequence[str]) -> Column:
+    without = lambda some: functools.reduce(lambda x, c: F.replace(x, F.lit(c), F.lit("")), some, x)
+    of = [(F.octet_length(x) - F.octet_length(without(some))).cast("long").bitwiseAND(F.lit(7)) for some in letters]
+    return functools.reduce(lambda x, y: x.bitwiseOR(y), [F.shiftleft(n, 4 * k) for k, n in enumerate(of)])
 
-def sketch(line: Column, letters: str) -> Column:
-    """60 bits: how often each of 15 letters stands in a line, modulo 8, in a code that changes one bit a step.
+
+def _coded(n: Column) -> Column:
+    ones = F.lit(0x111111111111111)
+    a, b, d = n.bitwiseAND(ones), F.shiftright(n, 1).bitwiseAND(ones), F.shiftright(n, 2).bitwiseAND(ones)
+    bits = [d.bitwiseXOR(a.bitwiseOR(b)), d.bitwiseXOR(b), d.bitwiseXOR(a.bitwiseAND(b)), d]
+    return functools.reduce(lambda x, y: x.bitwiseOR(y), [F.shiftleft(x, k) for k, x in enumerate(bits)])
+
+
+def sketch(line: Column, letters: Sequence[str]) -> Column:
+    """60 bits: how often each of 15 letters (or the letters of each of 15 strings) stands in a line, modulo 8, in a code that changes one bit a step.
 
     An edit takes one character and adds one at most, so sketches (of different letters, together) of lines within t edits differ in at most 2t bits.
     """
-    ones = F.lit(0x111111111111111)
+    return let(_counted(line, letters), _coded)
 
-    def count(x: Column) -> Column:
-        of = [(F.octet_length(x) - F.octet_length(F.replace(x, F.lit(c), F.lit("")))).cast("long").bitwiseAND(F.lit(7)) for c in letters]
-        return functools.reduce(lambda x, y: x.bitwiseOR(y), [F.shiftleft(n, 4 * k) for k, n in enumerate(of)])
 
-    def code(n: Column) -> Column:
-        a, b, d = n.bitwiseAND(ones), F.shiftright(n, 1).bitwiseAND(ones), F.shiftright(n, 2).bitwiseAND(ones)
-        bits = [d.bitwiseXOR(a.bitwiseOR(b)), d.bitwiseXOR(b), d.bitwiseXOR(a.bitwiseAND(b)), d]
-        return functools.reduce(lambda x, y: x.bitwiseOR(y), [F.shiftleft(x, k) for k, x in enumerate(bits)])
+def half_sketches(lines: DataFrame) -> DataFrame:
+    """s0 and s1 instead of line: sketches of its halves. Together they differ, for lines within t edits, in at most 2t bits, and one more if their sizes differ by an odd number.
 
-    return let(count(line), code)
+    Cut both lines where the half of the first ends in their alignment. What stands between that cut and the half of the second is in one sketch
+    too many and in the other too few; it is at most half as long as characters are added and taken, and half a character more where the sizes' difference is odd.
+    """
+    half = F.floor(F.col("size") / 2).cast("int")
+    # Columns by steps, as each is read many times.
+    lines = lines.withColumns({"s0": F.substr("line", F.lit(1), half), "s1": F.substr("line", half + 1, F.col("size"))}).drop("line")
+    lines = lines.withColumns({c: _counted(F.col(c), COUNTED) for c in ("s0", "s1")})
+    return lines.withColumns({c: _coded(F.col(c)) for c in ("s0", "s1")})
 
 
 def _may_be_near(x: str, y: str, threshold: int | None) -> Column:
     """Whether the lengths and the sketches of two lines leave it open that they are within the edits allowed."""
-    sizes = F.col(f"{x}.size"), F.col(f"{y}.size")
+    sizes = F.col(f"{x}size"), F.col(f"{y}size")
     edits = edits_allowed(F.least(*sizes), threshold)
-    differ = [F.bit_count(F.col(f"{x}.{k}").bitwiseXOR(F.col(f"{y}.{k}"))) for k in ("s0", "s1")]
-    return (F.abs(sizes[0] - sizes[1]) <= edits) & (functools.reduce(lambda p, q: p + q, differ) <= 2 * edits)
+    differ = [F.bit_count(F.col(f"{x}{k}").bitwiseXOR(F.col(f"{y}{k}"))) for k in ("s0", "s1")]
+    return (F.abs(sizes[0] - sizes[1]) <= edits) & (functools.reduce(lambda p, q: p + q, differ) <= 2 * edits + F.abs(sizes[0] - sizes[1]) % 2)
 
 
 def banded_distance(longer: Column, shorter: Column, threshold: int = MOST) -> Column:
@@ -180,13 +240,8 @@ def _lines(docs: DataFrame, min_chars: int, equal_chars: int | None = None) -> D
     out = docs.select(_owner(F.col("doc_id"), F.col("text")).alias("owner"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
     out = out.withColumn("size", F.length("line")).filter(_judged(F.col("line"), F.col("size"), min_chars, equal_chars))
     place = (F.col("owner") + _at(F.col("no"))).cast("decimal(38,0)")
-    return out.select(place.alias("place"), "no", "line", "size", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"))
-
-
-def _some(big: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
-    """Rows of big with a key in small; small is broadcast only if counted small."""
-    few = small.count() <= BROADCAST_ROWS
-    return big.join(F.broadcast(small) if few else small, on, "left_semi")
+    out = out.select(place.alias("place"), "no", "line", "size", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"))
+    return out.withColumn("h", F.col("h1").bitwiseAND(F.lit(2**LINE_BITS - 1)))
 
 
 def _release(spark: SparkSession) -> None:
@@ -220,22 +275,34 @@ def _near(pairs: DataFrame, lines: DataFrame, known: DataFrame, threshold: int |
 def near_lines(docs: DataFrame, threshold: int | None = None, min_chars: int = MIN_CHARS) -> DataFrame:
     """h1, h2 of the lines of at least min_chars characters that have an earlier one, not equal, within the edits allowed."""
     lines = _lines(docs, min_chars)
-    keys = segment_keys(lines, threshold, min_chars).repartition("key")
-    shared = keys.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low <> high").select("key")
-    contested = cut(keys.join(shared.hint("shuffle_hash"), "key").distinct())  # a semi-join would go below the shuffle, and make a second one
+    roles_ = role_table(threshold, min_chars)
+    contested = cut(contested_keys(segment_keys(lines, threshold, min_chars), roles_))
     _release(docs.sparkSession)
-    known = _some(lines, contested.select("h1").distinct(), ["h1"]).select("h1", "h2", "place", "size", *(sketch(F.col("line"), x).alias(f"s{k}") for k, x in enumerate(LETTERS)))
+    wanted = contested.select("h").distinct()
+    few = wanted.count() <= BROADCAST_ROWS
+    sketched = lambda x: half_sketches(x.select("h", "h1", "h2", "place", "size", "line"))
+    # An inner join, where both are shuffled: a semi-join would go below the sketches, and texts would be shuffled.
+    known = sketched(lines.join(F.broadcast(wanted), "h", "left_semi")) if few else sketched(lines).join(wanted, "h")
     known = cut(known.groupBy("h1", "h2").agg(F.min("place").alias("place"), *(F.min(c).alias(c) for c in ("size", "s0", "s1"))))
     # Ids are in the order of places.
     known = cut(known.repartitionByRange("place").sortWithinPartitions("place").withColumn("id", F.monotonically_increasing_id()).drop("place"))
-    members = contested.join(known, "h1").select("key", F.struct("id", "size", "s0", "s1").alias("y")).repartition("key")
-    groups = members.groupBy("key").agg(F.min("y").alias("x"), F.count("*").alias("n")).filter("n > 1")
-    grouped = members.join(groups, "key")
-    pair = [F.col("x.id").alias("a"), F.col("y.id").alias("b")]
-    near = _near(grouped.filter((F.col("x.id") < F.col("y.id")) & _may_be_near("x", "y", threshold)).select(*pair), lines, known, threshold)
-    rest = grouped.filter((F.col("n") > 2) & (F.col("x.id") < F.col("y.id"))).select("key", "y")  # without the earliest of each key
-    later = rest.withColumn("id", F.col("y.id")).join(near, "id", "left_anti").select("key", "y").repartition("key")
-    pairs = rest.withColumnRenamed("y", "x").join(later, "key").filter((F.col("x.id") < F.col("y.id")) & _may_be_near("x", "y", threshold)).select(*pair)
+    own = ["id", "size", "s0", "s1", "role"]
+    sketches = known.select(F.col("h1").bitwiseAND(F.lit(2**LINE_BITS - 1)).alias("h"), *own[:-1])
+    group = Window.partitionBy("key").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    pair = lambda x, y: [F.col(f"{x}id").alias("a"), F.col(f"{y}id").alias("b")]
+    may_be = lambda x, y: (F.col(f"{x}id") < F.col(f"{y}id")) & _meet(f"{x}role", f"{y}role", roles_) & _may_be_near(x, y, threshold)
+    members = contested.join(sketches, "h").select("key", *own).repartition("key")
+    grouped = members.select("key", *own, *(F.first(c).over(group).alias(f"x_{c}") for c in own))
+    near = _near(grouped.filter(may_be("x_", "")).select(*pair("x_", "")), lines, known, threshold)
+    # Two lines that meet in several keys are a pair of the smallest one where both have the first place of a segment of their class.
+    smaller = Window.partitionBy("h").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    plain = [k for k, (bit, _, same) in enumerate(roles_) if bit == 1 and same]
+    members = contested.withColumn("before", F.collect_list(F.when(F.col("role").isin(plain), F.col("key"))).over(smaller)).join(sketches, "h").select("key", "before", *own).repartition("key")
+    grouped = members.select("key", "before", *own, F.count("*").over(group).alias("n"), F.first("id").over(group).alias("x_id"))
+    rest = grouped.filter((F.col("n") > 2) & (F.col("x_id") < F.col("id"))).select("key", "before", *own)  # without the earliest of each key
+    later = rest.join(near, "id", "left_anti").select("key", *(F.col(c).alias(f"y_{c}") for c in ("before", *own))).repartition("key")
+    first = ~F.arrays_overlap("z_before", "y_before")
+    pairs = rest.select("key", *(F.col(c).alias(f"z_{c}") for c in ("before", *own))).join(later, "key").filter(may_be("z_", "y_") & first).select(*pair("z_", "y_"))
     near = near.union(_near(pairs, lines, known, threshold)).distinct()
     return cut(known.join(near, "id", "left_semi").select("h1", "h2"))
 
