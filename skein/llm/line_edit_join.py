@@ -35,7 +35,7 @@ CLASSES = (20, 30, 40, 50, 60, 70, 77, 91, 112, 140, 210, 320, 480, 720)
 BROADCAST_ROWS = 1_000_000
 #: Bits of a key; two that meet by chance only make a pair more.
 KEY_BITS = 40
-#: Bits of h1 beside a key; lines that share them are told apart by h1 and h2 later.
+#: Bits of h1 beside a key. Lines that share them are told apart by h1 and h2 later, but two that meet only each other count as one there (a chance of 2^-48 for a pair).
 LINE_BITS = 48
 #: A line's two sketches, of its halves, count these single bytes, a frequent and a rare one together; lines of other scripts have weaker sketches and so more pairs to verify.
 LETTERS = (" eniatrsodhulcm", "wfgbypvkjqz.,IT")
