@@ -389,13 +389,13 @@ class TracePlanner:
             out = worst.join(out, F.lit(True), "left").withColumn("trace", checked).filter("trace is not null")
         return out.select("trace", "root_name", "root_service", F.col("trace_start").alias("start"), F.floor(F.col("trace_duration") / 1_000_000).alias("duration_ms"), "matched", "spans", "span_count", "error_count")
 
-    def integrity(self, text: str, start: int, end: int) -> DataFrame:
+    def integrity(self, text: str, start: int | None = None, end: int | None = None) -> DataFrame:
         """trace, problem of the traces that a strict search refuses: spans without ids or times that do not end after they start, matched
-        traces without a start, with several roots, or longer than 2^32 - 1 ms."""
+        traces without a start, with several roots, or longer than 2^32 - 1 ms. A bound that is None is open."""
         hits = self.matched(parse(text)).groupBy("trace").agg(F.count("*").alias("matched"))
         unknown = F.col("id").isNull() | F.col("start").isNull() | F.col("end").isNull() | (F.col("end") < F.col("start"))
         whole = self.spans.groupBy("trace").agg(F.max(unknown).alias("unknown"), F.min("start").alias("s"), F.max("end").alias("e"), F.count_distinct(F.when(F.col("parent").isNull(), F.col("id"))).alias("roots"))
-        whole = whole.join(hits, "trace", "left").filter(F.col("unknown") | ((F.col("s") < end) & (F.col("e") >= start)))
+        whole = whole.join(hits, "trace", "left").filter(F.col("unknown") | _overlaps(F.col("s"), F.col("e"), start, end))
         found = F.col("matched").isNotNull()
         long = F.call_function("div", F.col("e") - F.col("s"), F.lit(1_000_000).cast("long")) > (1 << 32) - 1
         problem = F.when(F.col("unknown"), "trace_metadata_unknown").when(found & (F.col("s") == 0), "trace_timestamp_unknown").when(found & (F.col("roots") > 1), "trace_root_conflict").when(found & long, "trace_duration_limit")
@@ -528,6 +528,14 @@ def _predicates(test) -> list[Predicate]:
     return [] if test is None else [test] if isinstance(test, Predicate) else _predicates(test[1]) + _predicates(test[2])
 
 
+def _overlaps(first: Column, last: Column, start: int | None, end: int | None) -> Column:
+    """Whether what lasts from first to last overlaps start..end; a bound that is None is open."""
+    out = F.lit(True)
+    if end is not None:
+        out = out & (first < end)
+    return out if start is None else out & (last >= start)
+
+
 def _context() -> list[Column]:
     root = F.col("parent").isNull()
     return [F.min("start").alias("trace_start"), F.max("end").alias("trace_end"), (F.max("end") - F.min("start")).alias("trace_duration"), F.min_by("name", F.when(root, F.struct("start", "id"))).alias("root_name"), F.min_by("service", F.when(root, F.struct("start", "id"))).alias("root_service")]

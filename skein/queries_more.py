@@ -156,7 +156,7 @@ add("trace_window_search", lambda spark, sf_dir: TracePlanner(conversation_spans
 def trace_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over conversations whose second turns have lost their parent: traces with two roots."""
     spans = conversation_spans(spark, sf_dir).withColumn("parent", F.when(F.col("id") != "1", F.col("parent")))
-    return TracePlanner(spans).integrity("{ status = error }", ORIGIN, ORIGIN + 30 * DAY)
+    return TracePlanner(spans).integrity("{ status = error }")
 
 
 add("trace_integrity", trace_integrity, f"WITH {_T} SELECT trace, 'trace_root_conflict' AS problem FROM t GROUP BY trace HAVING count(*) FILTER (id IN ('0', '1')) > 1 AND count(*) FILTER (status = 2) > 0")
