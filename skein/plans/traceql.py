@@ -370,8 +370,8 @@ class TracePlanner:
         """Matched spans with the selected fields as further columns."""
         return self.matched(query).select("trace", "id", "parent", "name", "service", "start", "end", *[field_text(f).alias(f) for f in query.fields])
 
-    def search(self, text: str, start: int, end: int, limit: int = 20, spss: int = 3, strict: bool = False) -> DataFrame:
-        """The most recent traces that overlap start..end as a whole and have a matching span.
+    def search(self, text: str, start: int | None = None, end: int | None = None, limit: int = 20, spss: int = 3, strict: bool = False) -> DataFrame:
+        """The most recent traces that overlap start..end as a whole and have a matching span. A bound that is None is open.
 
         trace, root_name, root_service, start, duration_ms, matched, spans (up to spss of the matched), span_count, error_count.
         Strict searches fail where `integrity` finds a problem.
@@ -381,7 +381,7 @@ class TracePlanner:
         rank = F.row_number().over(Window.partitionBy("trace").orderBy("start", "id"))
         sampled = hits.withColumn("rank", rank).groupBy("trace").agg(F.count("*").alias("matched"), F.array_sort(F.collect_list(F.when(F.col("rank") <= spss, F.struct("start", "id", "name", "duration")))).alias("spans"))
         whole = self.spans.join(sampled.select("trace"), "trace", "left_semi").groupBy("trace").agg(*_context(), F.count("*").alias("span_count"), F.count_if(F.col("status") == 2).alias("error_count"))
-        whole = whole.filter((F.col("trace_start") < end) & (F.col("trace_end") >= start))
+        whole = whole.filter(_overlaps(F.col("trace_start"), F.col("trace_end"), start, end))
         out = whole.join(sampled, "trace").orderBy(F.col("trace_start").desc(), "trace").limit(limit)
         if strict:  # the first problem fails the search
             worst = self.integrity(text, start, end).agg(F.min("problem").alias("problem"))
