@@ -29,6 +29,8 @@ from .promql import MetricPlanner, Scalar, arithmetic
 from .promql_parser import Aggregate, Call, QueryError
 
 ERROR, DETAILS = "__error__", "__error_details__"
+#: The largest limit that one task takes; how many slices of time entries are counted by for a larger one, and about how many a task sorts.
+MOST_TOP, SLICES, TASK_ROWS = 5_000, 4_096, 100_000
 _MAP = "map<string,string>"
 
 
@@ -195,7 +197,7 @@ class LogPlanner(MetricPlanner):
         """Log queries: ts, labels, line of the newest (or oldest) entries. Metric queries: labels, step, value."""
         node = parse(query)
         if isinstance(node, LogQuery):
-            return self.newest(self.entries(node), limit, backward)
+            return self.newest(self.entries(node), self._in_span(node), limit, backward)
         return self.result(node)
 
     # -- log queries
@@ -208,14 +210,64 @@ class LogPlanner(MetricPlanner):
 
     def entries(self, node: LogQuery, start: int | None = None, end: int | None = None) -> DataFrame:
         """Entries start <= ts < end of the grid's span after the pipeline."""
+        return self.pipeline(self._in_span(node, start, end), node.stages)
+
+    def _in_span(self, node: LogQuery, start: int | None = None, end: int | None = None) -> DataFrame:
+        """The entries that a pipeline gets; it adds none."""
         low, high = self.grid.start if start is None else start, self.grid.end if end is None else end
-        rows = self.select(node).filter((F.col("ts") >= low) & (F.col("ts") < high))
-        return self.pipeline(rows, node.stages)
+        return self.select(node).filter((F.col("ts") >= low) & (F.col("ts") < high))
+
+    def newest(self, entries: DataFrame, given: DataFrame, limit: int, backward: bool) -> DataFrame:
+        """The first entries in order of time; given: what their pipeline got.
 
-    def newest(self, entries: DataFrame, limit: int, backward: bool) -> DataFrame:
+        Spark takes the first rows of an order in one task, which holds up to a limit of them from each partition. Above MOST_TOP, entries
+        are dealt to tasks by slices of time, whose bounds come from a count of what is given, and sorted there; a limit that cuts is
+        found by counts of entries.
+        """
         order = [F.col("ts").desc() if backward else F.col("ts"), F.col("line"), key_of(F.col("bag"))]
         labels = F.when(F.col("err").isNull(), F.col("bag")).otherwise(F.map_concat(drop(F.col("bag"), [ERROR]), F.create_map(F.lit(ERROR), F.col("err"))))
-        return entries.orderBy(*order).limit(limit).select("ts", labels.alias("labels"), "line")
+        if limit <= MOST_TOP:
+            first = entries.orderBy(*order).limit(limit)
+        else:
+            at, _, counts = self._slices(given, self.grid.start, self.grid.end, backward)
+            first = entries if sum(counts.values()) <= limit else self._cut(entries, limit, order, backward)
+            first = self._sorted(first, order, at, counts)
+        return first.select("ts", labels.alias("labels"), "line")
+
+    @staticmethod
+    def _slices(rows: DataFrame, low: int, high: int, backward: bool) -> tuple[Column, int, dict[int, int]]:
+        """The slice of time of a row between low and high, 0 for the first in order; how long one is; how many rows are in each."""
+        width = max(1, -(-(high - low) // SLICES))
+        ahead = F.lit(high - 1) - F.col("ts") if backward else F.col("ts") - low
+        at = F.call_function("div", ahead, F.lit(width).cast("long"))
+        return at, width, {r["at"]: r["count"] for r in rows.filter((F.col("ts") >= low) & (F.col("ts") < high)).groupBy(at.alias("at")).count().collect()}
+
+    @staticmethod
+    def _sorted(rows: DataFrame, order: list[Column], at: Column, counts: dict[int, int]) -> DataFrame:
+        """Rows in order, where the counts of slices bound them; Spark's sort, which computes rows twice to deal them out, where most rows are in few slices."""
+        if max(counts.values(), default=0) > 4 * TASK_ROWS:
+            return rows.orderBy(*order)
+        parts, seen = [], 0
+        for i in range(max(counts, default=0) + 1):
+            parts.append(seen // TASK_ROWS)
+            seen += counts.get(i, 0)
+        return rows.repartitionById(parts[-1] + 1, F.get(F.lit(parts), at.cast("int"))).sortWithinPartitions(*order)
+
+    def _cut(self, entries: DataFrame, limit: int, order: list[Column], backward: bool) -> DataFrame:
+        """The first `limit` entries, in no order: all before a slice of time, which is narrowed down while it has many, and the first of that slice."""
+        low, high, room, n, ts = self.grid.start, self.grid.end, limit, None, F.col("ts")
+        while n is None or n > MOST_TOP and high - low > 1:
+            _, width, counts = self._slices(entries, low, high, backward)
+            for i in sorted(counts):
+                if counts[i] > room:
+                    break
+                room -= counts[i]
+            else:
+                return entries
+            n = counts[i]
+            low, high = (max(low, high - (i + 1) * width), high - i * width) if backward else (low + i * width, min(high, low + (i + 1) * width))
+        whole = entries.filter(ts >= high if backward else ts < low)
+        return whole.unionByName(entries.filter((ts >= low) & (ts < high)).orderBy(*order).limit(room))
 
     def sampled(self, query: str, interval: int, limit: int = 100, backward: bool = True) -> DataFrame:
         """Entries in order of time, each at least `interval` (ns) after the one kept before it, over all streams.

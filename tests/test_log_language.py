@@ -4,10 +4,12 @@ from pyspark.sql import functions as F
 from skein.functions.labels import key_of
 from skein.functions.templates import TemplateError, compile_template
 from skein.functions.units import bytes_of, duration_ns, seconds_of
+from skein.plans import logql
 from skein.plans.grid import Grid
 from skein.plans.logql import LogPlanner, flatten_json, pattern_regex
 from skein.plans.logql_parser import parse
 from skein.plans.promql_parser import QueryError
+from skein.sources.model import as_logs
 
 S = 10**9
 
@@ -90,3 +92,31 @@ def test_pattern_captures():
     names = []
     assert pattern_regex("<ip> - <_> [<t>]", names) and names == ["ip", "t"]
     assert parse('{a="b"} |= "x" or "y"').stages[0][2] == (("text", "x"), ("text", "y"))
+
+
+def _stages(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_large_limits_take_no_single_task(spark, monkeypatch):
+    logs = as_logs(spark.range(3000), {"app": F.lit("a")}, F.expr("(id div 7) * 1000003"), F.concat(F.lit("k="), (F.col("id") * 7919 % 3000).cast("string")))
+    planner = LogPlanner(logs, Grid(0, 10 * S, S))
+    rows = lambda n, backward: [(r.ts, r.line) for r in planner.run('{app="a"} | logfmt | k >= 500', n, backward).collect()]
+    whole = {b: rows(1 << 30, b) for b in (True, False)}
+    assert "TakeOrdered" not in _stages(planner.run('{app="a"}', 1 << 30)) and "TakeOrdered" in _stages(planner.run('{app="a"}', 900))
+    assert len(whole[True]) == 2500 and whole[False] != whole[True]
+    for backward in (True, False):
+        assert whole[backward] == sorted(whole[backward], key=lambda r: (-r[0] if backward else r[0], r[1]))
+        assert rows(900, backward) == whole[backward][:900]  # one task takes them
+    monkeypatch.setattr(logql, "MOST_TOP", 4)
+    monkeypatch.setattr(logql, "SLICES", 3)
+    for task_rows in (100, 10_000):  # 3 slices of 1,000: Spark's sort, and slices dealt to tasks
+        monkeypatch.setattr(logql, "TASK_ROWS", task_rows)
+        for n in (5, 900, 2499, 2700):
+            assert rows(n, n % 2 == 0) == whole[n % 2 == 0][:n]
+    monkeypatch.setattr(logql, "SLICES", 4096)
+    monkeypatch.setattr(logql, "TASK_ROWS", 100)
+    for backward in (True, False):
+        assert rows(1 << 30, backward) == whole[backward]
+        assert planner.run('{app="a"}', 1 << 30, backward).rdd.getNumPartitions() > 20 and "SinglePartition" not in _stages(planner.run('{app="a"}', 1 << 30, backward))
+    assert planner.run('{app="b"}', 1 << 30).collect() == []
