@@ -36,6 +36,12 @@ def key_of(labels: Column) -> Column:
     return F.array_join(F.sort_array(F.transform(pairs, lambda e: F.concat(e["key"], F.lit("\x01"), _escaped(e["value"])))), "\x02")
 
 
+def key_from(values: dict[str, Column]) -> Column:
+    """`key_of` a set whose names are known: plain columns, where lambdas over a map are interpreted row by row."""
+    pairs = {k: v.cast("string") for k, v in sorted(values.items())}
+    return F.concat_ws("\x02", *[F.when(v != "", F.concat(F.lit(f"{k}\x01"), _escaped(v))) for k, v in pairs.items()])
+
+
 def keep(labels: Column, names: list[str]) -> Column:
     return F.map_filter(labels, lambda k, v: k.isin(names)) if names else no_labels()
 

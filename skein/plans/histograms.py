@@ -16,7 +16,8 @@ def buckets_of(vector: DataFrame) -> DataFrame:
     """labels, key, step, b: buckets (le, count) by rising le, equal bounds added up, counts made to rise."""
     bound = value_of(F.col("labels"), "le")
     le = F.when(bound.isin("+Inf", "Inf", "inf", "+inf"), F.lit(float("inf"))).otherwise(bound.try_cast("double"))
-    rows = rekeyed(vector.select(drop(F.col("labels"), [NAME, "le"]).alias("labels"), "step", le.alias("le"), "value").filter("le is not null"))
+    # The generator keeps the filter above the vector: below its aggregate, labels would be read from the key of each sample.
+    rows = rekeyed(vector.select(drop(F.col("labels"), [NAME, "le"]).alias("labels"), "step", F.explode(F.array(le)).alias("le"), "value").filter("le is not null"))
     rows = rows.groupBy("key", "step", "le").agg(labels_of(F.col("key")).alias("labels"), F.sum("value").alias("value"))
     lists = rows.groupBy("key", "step").agg(labels_of(F.col("key")).alias("labels"), F.array_sort(F.collect_list(F.struct("le", "value"))).alias("b"))
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.labels import NAME, no_labels, key_of, rekeyed
+from ..functions.labels import NAME, no_labels, key_from, key_of
 
 
 def ns(ts: Column) -> Column:
@@ -23,13 +23,13 @@ def label_map(**columns: Column) -> Column:
 
 
 def as_samples(df: DataFrame, metric: str, labels: dict[str, Column], ts: Column, value: Column) -> DataFrame:
-    bag = label_map(**{NAME: F.lit(metric), **labels})
-    return rekeyed(df.select(bag.alias("labels"), ts.alias("ts"), value.cast("double").alias("value"), F.lit(False).alias("stale")))
+    own = {NAME: F.lit(metric), **labels}
+    return df.select(label_map(**own).alias("labels"), ts.alias("ts"), value.cast("double").alias("value"), F.lit(False).alias("stale"), key_from(own).alias("key"))
 
 
 def as_logs(df: DataFrame, stream: dict[str, Column], ts: Column, line: Column, meta: dict[str, Column] | None = None) -> DataFrame:
     bag = label_map(**stream)
-    return df.select(bag.alias("stream"), (label_map(**meta) if meta else no_labels()).alias("meta"), key_of(bag).alias("key"), ts.alias("ts"), line.alias("line"))
+    return df.select(bag.alias("stream"), (label_map(**meta) if meta else no_labels()).alias("meta"), key_from(stream).alias("key"), ts.alias("ts"), line.alias("line"))
 
 
 def as_log_records(df: DataFrame) -> DataFrame:

@@ -3,12 +3,13 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
-from skein.functions.labels import NAME, rekeyed
+from skein.functions.labels import NAME, key_from, key_of, rekeyed
 from skein.plans.grid import Grid
 from skein.plans.promql import MetricPlanner
 from skein.plans.promql_parser import QueryError, format_query, parse
-from skein.sources.model import resolve_duplicates
+from skein.sources.model import as_samples, label_map, resolve_duplicates
 
 NAN, INF, S = float("nan"), float("inf"), 10**9
 STALE = "stale"
@@ -104,3 +105,20 @@ def test_refused(spark, query):
 def test_formatter():
     for q in ("sum by (a) (rate(b[5m]))", 'topk(3, a{b=~"x.*"} offset 5m)', "a / on (x) group_left (y) b", "max_over_time(rate(a[5m])[1h:5m] @ end())", "(a + b) * c"):
         assert format_query(parse(format_query(parse(q)))) == format_query(parse(q))
+
+
+def test_key_of_known_names(spark):
+    values = ["x", "", None, "\x01y\x03", "\x02", "7"]
+    rows = spark.createDataFrame([tuple(values[(i * (j + 2) + j) % 6] for j in range(5)) for i in range(12)], "a string, b string, c string, d string, e string")
+    own = dict(zip(["a", "ab", "a_b", NAME, "B"], map(F.col, "abcde"), strict=True))
+    keys = rows.select(key_from(own).alias("k"), key_of(label_map(**own)).alias("m")).collect()
+    assert all(r.k == r.m for r in keys) and len({r.k for r in keys}) > 4
+
+
+def test_buckets_are_filtered_after_their_sums(spark):
+    """Below the aggregate the filter would read labels from the key of each sample."""
+    le = F.element_at(F.array(F.lit("1"), F.lit("bad"), F.lit("+Inf")), (F.col("id") % 3 + 1).cast("int"))
+    samples = as_samples(spark.range(6), "m", {"le": le}, F.col("id") * S, F.lit(1.0))
+    out = MetricPlanner(samples, Grid(10 * S, 10 * S, S)).run("histogram_quantile(0.25, sum_over_time(m[20s]))")
+    below_sums = out._jdf.queryExecution().optimizedPlan().toString().rpartition("Aggregate")[2].partition("\n")[2]
+    assert "str_to_map" not in below_sums and out.first().value == 0.25
