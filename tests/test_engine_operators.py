@@ -171,6 +171,19 @@ def test_tables_on_storage(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "once")).count() == 10
 
 
+@pytest.mark.parametrize("most", [4, 500])
+def test_patterns_of_a_large_shape_in_segments(spark, most):
+    """As if one task read all lines, also where clusters change late or leave, and beside small shapes."""
+    word = lambda i: F.element_at(F.array(*[F.lit(w) for w in "abcdefg"]), (F.pmod(F.xxhash64("id", F.lit(i)), F.lit(7)) + 1).cast("int"))
+    text = F.when(F.col("id") < 500, F.concat_ws(" ", F.lit("a"), *[word(i) for i in range(4)])).when(F.col("id") < 1500, F.lit("a b b b b")).otherwise(F.concat_ws(" ", word(9), *[word(i) for i in range(4)]))
+    line = F.when(F.col("id") % 50 == 7, F.concat(F.lit("k="), F.col("id").cast("string"))).when(F.col("id") % 50 == 8, F.concat(F.lit("got "), F.col("id").cast("string"), F.lit(": x"))).otherwise(text)
+    logs = spark.range(2500).select((F.col("id") * S).alias("ts"), line.alias("line"))
+    rows = lambda **how: sorted((r.pattern, r.step, r["count"]) for r in patterns.log_patterns(logs, 600 * S, most=most, **how).collect())
+    one = rows()
+    assert sum(r[2] for r in one) == 2500
+    assert rows(together=45, segment=260) == one
+
+
 def test_metadata_keeps_newest_variants(spark):
     rows = [("m", "gauge", f"h{i}", "", i * S) for i in range(10)]
     out = discovery.metric_metadata(spark.createDataFrame(rows, "metric string, type string, help string, unit string, ts long"), 10 * S)
