@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import replace
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ieee
@@ -23,7 +23,7 @@ from ..functions.template_loops import loop_template, needs_loops
 from ..functions.templates import compile_template
 from ..functions.units import bytes_of, seconds_of
 from ..operators import rollups
-from .grid import Grid
+from .grid import Grid, with_before
 from .logql_parser import LogQuery, RangeAggregate, parse
 from .promql import MetricPlanner, Scalar, arithmetic
 from .promql_parser import Aggregate, Call, QueryError
@@ -549,9 +549,7 @@ class LogPlanner(MetricPlanner):
 
     def _counter_rate(self, rows: DataFrame, node: RangeAggregate, grid: Grid) -> DataFrame:
         """As the metric language's rate, but a single entry gives 0 and the ends are limited before the zero line is."""
-        series = Window.partitionBy("key").orderBy("ts", "raw")
-        rows = rows.withColumn("before", F.lag("value").over(series))
-        rows = rows.withColumn("lost", F.sum(F.when(ieee.compare("<", F.col("value"), F.col("before")), F.col("before")).otherwise(F.lit(0.0))).over(series.rowsBetween(Window.unboundedPreceding, 0)))
+        rows = with_before(rows.select("key", "ts", "raw", "value"), ["ts", "raw"], grid.start - node.window, grid.end)
         a, order = F.struct("value", "lost"), F.struct("ts", "raw")
         out = grid.windows(rows, node.window).groupBy("key", "step").agg(labels_of(F.col("key")).alias("labels"), F.min_by(a, order).alias("a"), F.max_by(a, order).alias("b"), F.min("ts").alias("t0"), F.max("ts").alias("t1"), F.count("*").alias("n"))
         gain = F.col("b.value") - F.col("a.value") + F.col("b.lost") - F.col("a.lost")

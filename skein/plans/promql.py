@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import ieee
 from ..functions.label_hash import label_hash
 from ..functions.labels import NAME, drop, java_regex, keep, key_of, labels_of, no_labels, put, rekeyed, selects, value_of
-from .grid import Grid
+from .grid import Grid, with_before
 from . import native
 from .promql_parser import TRIMS, Aggregate, Binary, Call, Negative, Number, QueryError, Selector, Subquery, Text, parse, resolved
 
@@ -270,12 +270,8 @@ class MetricPlanner:
 
     def _over_rows(self, name: str, rows: DataFrame, window: int, own: Grid, extra: list, grid: Grid) -> DataFrame:
         if name in _EXTRAPOLATED or name in _PAIRS:
-            series = Window.partitionBy("key").orderBy("ts")
             near = rows.filter((F.col("ts") > own.start - window) & (F.col("ts") <= own.end))
-            rows = near.withColumn("before", F.lag("value").over(series)).withColumn("before_ts", F.lag("ts").over(series))
-            falls = ieee.compare("<", _v(), F.col("before"))
-            if name in _EXTRAPOLATED:
-                rows = rows.withColumn("lost", F.sum(F.when(falls, F.col("before")).otherwise(F.lit(0.0))).over(series.rowsBetween(Window.unboundedPreceding, 0)))
+            rows = with_before(near.select("key", "ts", "value"), ["ts"], own.start - window, own.end)
         grouped = own.windows(rows, window).groupBy("key", "step")
         labels = labels_of(F.col("key")).alias("labels")
         if name in SIMPLE:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skein.functions.labels import NAME, key_from, key_of, rekeyed
-from skein.plans.grid import Grid
+from skein.plans.grid import Grid, with_before
 from skein.plans.promql import MetricPlanner
 from skein.plans.promql_parser import QueryError, format_query, parse
 from skein.sources.model import as_samples, label_map, resolve_duplicates
@@ -122,3 +122,19 @@ def test_buckets_are_filtered_after_their_sums(spark):
     out = MetricPlanner(samples, Grid(10 * S, 10 * S, S)).run("histogram_quantile(0.25, sum_over_time(m[20s]))")
     below_sums = out._jdf.queryExecution().optimizedPlan().toString().rpartition("Aggregate")[2].partition("\n")[2]
     assert "str_to_map" not in below_sums and out.first().value == 0.25
+
+
+def test_long_series_are_read_in_slices(spark):
+    """No task holds a series, and what is before a sample is found across slices, empty ones too."""
+    given = [(k, t * S + (7 if k == "b" else 0), NAN if t % 97 == 0 else float((t * 31) % 11 - 2)) for k in "ab" for t in range(600) if k == "a" or not 100 < t < 400] + [("c", 5, 1.0)]
+    out = with_before(spark.createDataFrame(given, "key string, ts long, value double").repartition(5), ["ts"], 0, 600 * S)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and all("slice" in line for line in plan.split("\n") if "Window" in line and "value" in line)
+    found = {(r.key, r.ts): (r.before, r.before_ts, r.lost) for r in out.collect()}
+    assert len(found) == len(given)
+    last, text = {}, repr  # NaN is not equal to itself
+    for k, ts, v in sorted(given, key=lambda x: x[:2]):
+        before, before_ts, lost = last.get(k, (None, None, 0.0))
+        lost += before if before is not None and v < before else 0.0
+        assert text(found[k, ts]) == text((before, before_ts, lost))
+        last[k] = (v, ts, lost)
